@@ -17,6 +17,9 @@ CHUNK_BYTES = 4 << 20
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of letters and digits: ASCII ones and all of longer UTF-8 characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
@@ -56,13 +59,20 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         row = last
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 class Words:
-    """The words of a chunk: byte ranges, hashes, and each row's first word."""
+    """The words of a chunk: byte ranges, hashes, and each row's first word.
+
+    ``solid`` says for each byte value whether it is part of a word.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, solid: np.ndarray = ~_SPACE):
         n = len(data)
         self.data = _LOWER[data] if lower else data
-        solid = ~_SPACE[data]
+        solid = solid[data]
         edge = np.empty(n + 1, bool)  # a word may start here: the byte before is no part of it
         edge[0] = edge[n] = True
         np.logical_not(solid[:-1], out=edge[1:n])
@@ -79,10 +89,19 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes from each byte on."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """A hash of the first ``size`` bytes (up to 8) of each word."""
+        head = self._lanes()[self.starts] & _MASK[np.minimum(self.ends - self.starts, size)]
+        return mix(head + U(size * 0xD6E8FEB86659FD93 % 2**64))
+
     def hashes(self) -> np.ndarray:
         size = self.ends - self.starts
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        lane = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        lane = self._lanes()
         out = lane[self.starts] & _MASK[np.minimum(size, 8)]
         out += size.astype(np.uint64) * U(0x9E3779B97F4A7C15)
         mix(out)
