@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runtime
+
 #: The characters themselves: SQL literals have their own escapes.
 _WS = " \t\n\x0b\x0c\r"
 
@@ -104,9 +106,15 @@ def failed(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) != 0
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger written once. Policies and ablations read this small table;
+    a filter on the unwritten ledger would be pushed down and measure again."""
+    return runtime.written(ledger(docs), "quality-ledger")
+
+
 def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with base_failed and the policy's verdict."""
-    return ledger(docs).withColumn("base_failed", failed("base")).withColumn("kept", ~failed("base") & ~failed(policy))
+    """The stored ledger with base_failed and the policy's verdict."""
+    return stored(docs).withColumn("base_failed", failed("base")).withColumn("kept", ~failed("base") & ~failed(policy))
 
 
 def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -262,3 +262,15 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{runtime.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: DuckDB SQL of ``round_trip`` over ``pages`` (base32 from the hex digest).
+SQL = r"""
+with p as (select page_id, url, coalesce(html, '') as body from pages),
+d as (select page_id, url, octet_length(encode(body))::bigint as payload_bytes, sha1(body) as hex from p),
+b as (select *, array_to_string(list_transform(range(0, 4), lambda g: array_to_string(list_transform(range(0, 8), lambda k:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * g + 1, 10))::bigint >> (35 - 5 * k)) & 31)::int + 1, 1)), '')), '') as payload_digest from d),
+m as (select *, max(page_id) over (partition by payload_digest) as top from b)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to, url from m
+"""
