@@ -119,6 +119,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_trees(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(tree_id, leaf, rank, formatted, mask): one row for each chosen path."""
+    messages = runtime.bounded_batches(messages)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     body = F.struct(F.col("parent_id").cast("long").alias("parent_id"), text("role").alias("role"), text("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     messages = messages.where("tree_id is not null and msg_id is not null").groupBy(F.col("tree_id").cast("long").alias("tree_id"), F.col("msg_id").cast("long").alias("msg_id")).agg(F.min(body).alias("b")).select("tree_id", "msg_id", "b.*")
@@ -145,6 +146,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations."""
+    formatted = runtime.bounded_batches(formatted)
     return formatted.select("tree_id", "formatted", "mask").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

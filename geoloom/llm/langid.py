@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import runtime, textkit
 
 SAMPLE_PER_LANG, SAMPLE_BYTES = 600, 200_000
 BUCKET_BITS = 12
@@ -123,6 +123,7 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits a model on labelled rows of ``docs`` (learning rows only)."""
+    docs = runtime.bounded_batches(docs)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     share = counts.withColumn("share", F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("n"))).drop("n")
@@ -187,6 +188,7 @@ def _predict(model: Model, at: int):
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous), a row for each row."""
+    docs = runtime.bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predict(model, 2), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -11,7 +11,7 @@ missed with probability (1 - 0.8**4)**32 < 5e-8.
 2. representatives that share a band key are joined to the least of the
    key (a star, not all pairs); the components of that graph are families;
 3. a family's documents are compared exactly, in blocks of ``BLOCK``
-   documents: a block product counts intersections, and only a spanning
+   documents and ``BLOCK_SHINGLES`` shingles on average: a block product counts intersections, and only a spanning
    forest of its links leaves the task. First every block by itself and
    against the family's first block; then only those pairs of blocks that
    still hold different components;
@@ -40,8 +40,8 @@ from .textkit import Words, fold, mix, whole
 
 SIZE, THRESHOLD = 4, 80
 BANDS, ROWS = 32, 4
-BLOCK = 512
-_COLUMNS = 4096
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+_COLUMNS = 2048
 V = np.uint32
 
 
@@ -192,14 +192,17 @@ def candidate_stars(profiles: DataFrame) -> DataFrame:
     return bands.join(heads, "key").where("a <> b").select("a", "b").distinct()
 
 
-def family_links(docs: DataFrame, families: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
-    """Exact links (a, b) that span every component inside the families (node, component)."""
+def family_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """Exact links (a, b) that span every component inside the families (node, component).
+
+    ``sizes`` (rep, n) has the number of shingles of each node.
+    """
     marked, _ = runtime.split_by_bitmap(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")), "doc", runtime.bitmap(families, "node"))
     texts = marked.join(families, F.col("doc") == F.col("node"), "left_semi").dropDuplicates(["doc"])
     grams = texts.mapInArrow(_sets(size), "doc long, grams binary")
-    sized = families.groupBy("component").agg(F.count("*").alias("members"))
+    sized = families.join(sizes, F.col("node") == F.col("rep"), "left").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     # place in the family by a hash: blocks of about BLOCK documents
-    placed = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = families.join(sized, "component").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = runtime.written(grams.join(placed, F.col("doc") == F.col("node")).select("doc", "grams", F.col("component").alias("family"), "block", "blocks"), "minhash-sets")
     own = held.select("family", "block", F.lit(-1).alias("other"), F.lit(0).cast("byte").alias("side"), "doc", "grams")
     many = held.where("blocks > 1")
@@ -228,13 +231,14 @@ def family_links(docs: DataFrame, families: DataFrame, id_col: str, text_col: st
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    docs = runtime.bounded_batches(docs)
     profiles = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(size, BANDS, ROWS), "doc long, n long, low long, high long, keys array<long>")
     profiles = runtime.written(profiles, "minhash-profiles")
     linkable = profiles.where("n > 0 and doc is not null")
     classes = linkable.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
     stars = runtime.cut(candidate_stars(classes.select("rep", "keys")))
     families = connected_components(stars)
-    found = family_links(docs, families, id_col, text_col, size, threshold)
+    found = family_links(docs, families, classes.select("rep", "n"), id_col, text_col, size, threshold)
     comp = connected_components(found).select(F.col("node").alias("rep"), "component")
     reps = linkable.groupBy("n", "low", "high").agg(F.min("doc").alias("rep")).join(comp, "rep", "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component"))
     return (

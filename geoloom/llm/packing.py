@@ -79,6 +79,7 @@ def _pieces(name: str, capacity: int):
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
+    docs = runtime.bounded_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(name, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -139,6 +140,7 @@ def _round(capacity: int, slack: int):
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    parts = runtime.bounded_batches(parts)
     parts = runtime.written(parts, "packing-pieces")
     item = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32"))
     bins = parts.select(F.col("length").cast("int").alias("used"), (F.col("length") < capacity).alias("open"), item.alias("members"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Bits of a membership bitmap: 2**22 bits are at most 65,536 rows of 64 bits,
 #: whatever the number of members, so its broadcast has a fixed bound (1 MB).
 BITMAP_BITS = 22
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +78,20 @@ def split_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataF
     return joined.where("bm_hit").select(*back), joined.where("not bm_hit").select(*back)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept small.
+
+    A batch is held by the JVM and by a Python worker at once, so both ends
+    stay within a few MB whatever the texts are. Smaller settings are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

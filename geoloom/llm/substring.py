@@ -224,6 +224,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Spans of a document may overlap; together they cover exactly the words
     to remove.
     """
+    docs = runtime.bounded_batches(docs)
     parts = runtime.shuffle_partitions(docs)
     packed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(8 * parts, width, mer), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_gather(width), _SPANS)
@@ -267,6 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Columns of ``docs`` named like an added one are replaced.
     """
+    docs = runtime.bounded_batches(docs)
     docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "ss_spans") if c in docs.columns])
     spans = runtime.cut(repeated_spans(docs, id_col, text_col, width, mer))
     hit, clean = runtime.split_by_bitmap(docs.withColumn("ss_key", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), "ss_key", runtime.bitmap(spans, "doc"))

@@ -1,7 +1,7 @@
 """Array kernels over Arrow text columns: words, word hashes, windows.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. All kernels work on the bytes of a whole
-batch at once, in chunks of rows of a few MB, so no Python object is made
+batch at once, in chunks of rows of about a MB, so no Python object is made
 for a word. Hashes are 64 bits wide.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import runtime, textkit
 from .langid import held_out
 from .textkit import ALNUM, Words
 
@@ -227,6 +227,7 @@ def fit(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, steps: int = STEP
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits a model on the labelled rows of ``docs`` (learning rows only)."""
+    docs = runtime.bounded_batches(docs)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = marks.where("toxic in (0, 1)")
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -285,6 +286,7 @@ def _score(model: Model, at: int):
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, spans), a row for each row."""
+    docs = runtime.bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_score(model, 2), f"doc_id {kind}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")

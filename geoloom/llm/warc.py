@@ -84,6 +84,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """A record for each row, equal payloads once, into text files under ``path``."""
+    pages = runtime.bounded_batches(pages)
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).cast("binary").alias("body"))
     facts = pages.select("page_id", "body").mapInArrow(_facts, _FACTS).where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
     facts = runtime.written(facts, "warc-facts")
@@ -160,6 +161,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("value string").option("lineSep", MAGIC.decode()).text(path)
+    rows = runtime.bounded_batches(rows)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 

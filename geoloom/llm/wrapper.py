@@ -345,6 +345,7 @@ def _small(df: DataFrame, size: str) -> DataFrame:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages``."""
+    pages = runtime.bounded_batches(pages)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     refs = runtime.written(pages.groupBy("host").agg(F.min_by("html", F.struct("page_id", F.length("html"))).alias("sample")), "wrapper-references")
