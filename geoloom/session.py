@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "geoloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -17,3 +19,15 @@ def session(name: str = "geoloom", cores: str = "*", partitions: int = 8) -> Spa
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by reliable checkpoint files.
+
+    They go to ``spark.checkpoint.dir``; only a session without that setting
+    (as in tests) gets a folder of its own.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
