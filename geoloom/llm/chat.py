@@ -87,8 +87,9 @@ def _doubled(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break  # what still has an ancestor runs in a cycle
         jumps.append(state.where("up is not null").select("tree_id", "msg_id", "up"))
         far = state.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("mid"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deep"))
-        state = state.join(far, (F.col("tree_id") == F.col("t")) & (F.col("up") == F.col("mid")), "left")
-        state = runtime.cut(state.select("tree_id", "msg_id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deep", F.lit(0))).alias("depth")))
+        # messages that reached their root keep their row and join no more
+        going = state.where("up is not null").join(far, (F.col("tree_id") == F.col("t")) & (F.col("up") == F.col("mid")))
+        state = runtime.cut(state.where("up is null").unionByName(going.select("tree_id", "msg_id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deep", F.lit(0))).alias("depth"))))
     return state.where("up is null").drop("up"), jumps
 
 
