@@ -36,8 +36,10 @@ from . import runtime, textkit
 from .textkit import Words, fold, sliding_min, whole
 
 WIDTH, MER = 13, 4
-FLUSH_BYTES = 24 << 20
-PASS_WINDOWS = 4_000_000
+FLUSH_BYTES = 16 << 20
+PASS_WINDOWS = 1_000_000
+#: Buckets for each shuffle partition.
+BUCKETS = 6
 NULL_ID = np.iinfo(np.int64).max
 _PACKED = "bucket long, blob binary"
 _SPANS = "doc long, lo int, hi int"
@@ -59,16 +61,16 @@ def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int) -> tuple
     return starts, nxt - starts, least[starts]
 
 
-def _pack(records: list[tuple[int, int, bytes]]) -> bytes:
+def _pack(zip_up: zstandard.ZstdCompressor, records: list[tuple[int, int, bytes]]) -> bytes:
     head = np.array([len(records)], np.int64).tobytes()
     ids = np.array([r[0] for r in records], np.int64).tobytes()
     at = np.array([(r[1], len(r[2])) for r in records], np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + ids + at + b"".join([r[2] for r in records]))
+    return zip_up.compress(head + ids + at + b"".join([r[2] for r in records]))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(unzip: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, first words, offsets, bytes) of a blob's records."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = unzip.decompress(blob)
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     ids = np.frombuffer(raw, np.int64, k, 8)
     at = np.frombuffer(raw, np.int32, 2 * k, 8 + 8 * k).reshape(k, 2)
@@ -84,15 +86,16 @@ def _scatter(buckets: int, width: int, mer: int):
         held: dict[int, dict[bytes, list]] = {}
         known: dict[int, list] = {}
         size = 0
+        zip_up = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
             keys, blobs = [], []
             for b, group in held.items():
                 keys.append(b)
-                blobs.append(_pack([(doc, at, text) for text, (doc, _, where) in group.items() for at in where]))
+                blobs.append(_pack(zip_up, [(doc, at, text) for text, (doc, _, where) in group.items() for at in where]))
             for b, spans in known.items():
                 keys.append(b)
-                blobs.append(zstandard.ZstdCompressor().compress(np.array(spans, np.int64).tobytes()))
+                blobs.append(zip_up.compress(np.array(spans, np.int64).tobytes()))
             held.clear()
             known.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -141,12 +144,14 @@ def _scatter(buckets: int, width: int, mer: int):
 
 def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, first words) of the windows of a bucket that a smaller id holds too."""
-    total = sum(len(zstandard.ZstdDecompressor().decompress(b)) for b in blobs) // 16 if len(blobs) > 64 else 0
+    unzip = zstandard.ZstdDecompressor()
+    # a word takes about 8 bytes with its space and its share of a record
+    total = sum(zstandard.frame_content_size(b) for b in blobs) // 8
     passes = np.uint64(1 + total // PASS_WINDOWS)
     for p in range(int(passes)):
         fps, docs, poss, keys = [], [], [], []
         for blob in blobs:
-            ids, at, offsets, data = _unpack(blob)
+            ids, at, offsets, data = _unpack(unzip, blob)
             for row, part, off in textkit.chunks(pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])):
                 words = Words(part, off)
                 h = words.hashes()
@@ -198,10 +203,11 @@ def _gather(width: int):
     """Reduce side: one bucket to the word spans it removes."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
+        blobs = [b.as_buffer() for chunk in table.column("blob").chunks for b in chunk]
         out = []
         if table.column("bucket")[0].as_py() < 0:
-            out = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64).reshape(-1, 3) for b in blobs]
+            unzip = zstandard.ZstdDecompressor()
+            out = [np.frombuffer(unzip.decompress(b), np.int64).reshape(-1, 3) for b in blobs]
         else:
             for doc, pos in _repeats(blobs, width):
                 order = np.lexsort((pos, doc))
@@ -226,7 +232,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = runtime.bounded_batches(docs)
     parts = runtime.shuffle_partitions(docs)
-    packed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(8 * parts, width, mer), _PACKED)
+    packed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(BUCKETS * parts, width, mer), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_gather(width), _SPANS)
 
 
