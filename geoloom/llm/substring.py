@@ -86,7 +86,7 @@ def _scatter(buckets: int, width: int, mer: int):
         held: dict[int, dict[bytes, list]] = {}
         known: dict[int, list] = {}
         size = 0
-        zip_up = zstandard.ZstdCompressor(level=1)
+        zip_up = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
             keys, blobs = [], []
