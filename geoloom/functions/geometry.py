@@ -163,7 +163,7 @@ def huber(r: Column, delta: float) -> Column:
 
 def per_mille(num: Column, den: Column) -> Column:
     """floor(1000 num / den) up to 1000; 0 for a zero denominator."""
-    return F.coalesce(F.least(F.lit(1000).cast("long"), F.floor(F.try_divide(num * 1000, den))), F.lit(0)).cast("long")
+    return F.when(den == 0, F.lit(0)).otherwise(F.least(F.lit(1000).cast("long"), F.floor(F.try_divide(num * 1000, den)))).cast("long")
 
 
 def in_range(v: Column, low: float | None, high: float | None) -> Column:

@@ -115,7 +115,7 @@ def overhangs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PQ = "with m as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_orderkey % 300 as tentative, l_partkey % 200 as verified, l_suppkey % 64 as cells, (l_partkey * 7) % 12000 as parallax, l_partkey % 150 as cheirality, l_orderkey % 180 as homography, (l_orderkey * 3) % 1001 as cycle from lineitem)"
-_PM = lambda n, d: f"coalesce(least(1000, floor(({n}) * 1000 / nullif({d}, 0))), 0)::bigint"
+_PM = lambda n, d: f"(case when {d} = 0 then 0 else least(1000, floor(({n}) * 1000 / nullif({d}, 0))) end)::bigint"
 
 
 @query("pair_quality", f"{_PQ}, s as (select *, {_PM('verified', 'tentative')} as i, {_PM('cells', '64')} as c, {_PM('parallax', '10000')} as p, {_PM('cheirality', 'verified')} as h, {_PM('homography', 'verified')} as o from m), t as (select *, (3 * i + 2 * c + 2 * p + 2 * h + cycle) // 10 as score from s) select case when verified < 15 or (o >= 950 and p < 100) then 'degenerate' when score >= 700 and verified >= 100 then 'strong' when score >= 400 then 'usable' else 'weak' end as quality, count(*)::bigint as n, sum(score)::bigint as score from t group by 1")
