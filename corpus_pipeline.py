@@ -16,23 +16,23 @@ from geoloom.llm import decontam, minhash, packing, quality, runtime, substring
 
 
 def _kept(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``rejected`` (bad); texts of documents that
+    """``docs`` without the ids in ``rejected`` (__rejected); texts of documents that
     surely stay are not shuffled. Rows with a null id stay."""
     rejected = runtime.cut(rejected)
-    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(rejected, "bad"))
-    return clean.unionByName(maybe.join(rejected, F.col("doc_id") == F.col("bad"), "left_anti"))
+    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(rejected, "__rejected"))
+    return clean.unionByName(maybe.join(rejected, F.col("doc_id") == F.col("__rejected"), "left_anti"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     ledger = quality.judged(docs)
-    return _kept(docs, ledger.where("not kept and doc_id is not null").select(F.col("doc_id").alias("bad")).distinct())
+    return _kept(docs, ledger.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__rejected")).distinct())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near duplicates."""
     groups = minhash.near_duplicates(docs)
-    return _kept(docs, groups.where("not kept").select(F.col("doc_id").alias("bad")).distinct())
+    return _kept(docs, groups.where("not kept").select(F.col("doc_id").alias("__rejected")).distinct())
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,9 +67,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    bad = runtime.cut(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct())
-    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(bad, "leaked"))
-    return clean.unionByName(maybe.join(bad, F.col("doc_id") == F.col("leaked"), "left_anti"))
+    bad = runtime.cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
+    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(bad, "__leaked"))
+    return clean.unionByName(maybe.join(bad, F.col("doc_id") == F.col("__leaked"), "left_anti"))
 
 
 def _sql_seeds(relation: str) -> str:

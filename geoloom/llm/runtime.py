@@ -53,13 +53,13 @@ def bitmap(ids: DataFrame, column: str) -> DataFrame:
     The number of rows is bounded by ``BITMAP_BITS``, not by the data.
     """
     return (
-        ids.select(F.xxhash64(column).alias("bm_h"))
+        ids.select(F.xxhash64(column).alias("__bm_h"))
         .select(
-            F.expr(f"shiftrightunsigned(bm_h, {64 - BITMAP_BITS + 6})").alias("bm_word"),
-            F.expr("shiftleft(1L, cast(bm_h & 63 as int))").alias("bm_bit"),
+            F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})").alias("__bm_word"),
+            F.expr("shiftleft(1L, cast(__bm_h & 63 as int))").alias("__bm_bit"),
         )
-        .groupBy("bm_word")
-        .agg(F.bit_or("bm_bit").alias("bm_bits"))
+        .groupBy("__bm_word")
+        .agg(F.bit_or("__bm_bit").alias("__bm_bits"))
     )
 
 
@@ -70,12 +70,12 @@ def split_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataF
     is shuffled. Rows with a null key are in the second part.
     """
     h = F.xxhash64(column)
-    tagged = df.withColumn("bm_h", h).withColumn("bm_word", F.expr(f"shiftrightunsigned(bm_h, {64 - BITMAP_BITS + 6})"))
-    joined = tagged.join(F.broadcast(marks), "bm_word", "left").withColumn(
-        "bm_hit", F.coalesce(F.expr("(shiftrightunsigned(bm_bits, cast(bm_h & 63 as int)) & 1L) = 1L"), F.lit(False)) & F.col(column).isNotNull()
+    tagged = df.withColumn("__bm_h", h).withColumn("__bm_word", F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})"))
+    joined = tagged.join(F.broadcast(marks), "__bm_word", "left").withColumn(
+        "__bm_hit", F.coalesce(F.expr("(shiftrightunsigned(__bm_bits, cast(__bm_h & 63 as int)) & 1L) = 1L"), F.lit(False)) & F.col(column).isNotNull()
     )
     back = [F.col(c) for c in df.columns]
-    return joined.where("bm_hit").select(*back), joined.where("not bm_hit").select(*back)
+    return joined.where("__bm_hit").select(*back), joined.where("not __bm_hit").select(*back)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -275,14 +275,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns of ``docs`` named like an added one are replaced.
     """
     docs = runtime.bounded_batches(docs)
-    docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "ss_spans") if c in docs.columns])
+    docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "__ss_spans") if c in docs.columns])
     spans = runtime.cut(repeated_spans(docs, id_col, text_col, width, mer))
-    hit, clean = runtime.split_by_bitmap(docs.withColumn("ss_key", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), "ss_key", runtime.bitmap(spans, "doc"))
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ss_spans"))
-    hit = hit.join(lists, F.col("ss_key") == F.col("doc"), "left").drop("doc")
-    clean = clean.withColumn("ss_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    both = hit.unionByName(clean).drop("ss_key")
-    out = both.drop("ss_spans").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
+    hit, clean = runtime.split_by_bitmap(docs.withColumn("__ss_key", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), "__ss_key", runtime.bitmap(spans, "doc"))
+    lists = spans.groupBy(F.col("doc").alias("__ss_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ss_spans"))
+    hit = hit.join(lists, "__ss_key", "left").select(*[F.col(c) for c in hit.columns], "__ss_spans")
+    clean = clean.withColumn("__ss_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    both = hit.unionByName(clean).drop("__ss_key")
+    out = both.drop("__ss_spans").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     return both.mapInArrow(_strip(docs.columns.index(text_col)), out)
 
 
