@@ -43,8 +43,11 @@ def applied(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def replayed(journal: DataFrame) -> DataFrame:
-    """(id, revision, body, deleted): the last effect of each entity, with its count of effects."""
-    return journal.groupBy(F.col("entity").alias("id")).agg((F.count("*") - 1).alias("revision"), F.max_by(F.struct("after"), "sequence").alias("l")).select("id", "revision", F.col("l.after").alias("body"), F.col("l.after").isNull().alias("deleted"))
+    """(id, revision, body, deleted): the last effect of each entity, with its count of effects.
+
+    Of effects with one sequence number the greatest body is the last; an absent body is the least.
+    """
+    return journal.groupBy(F.col("entity").alias("id")).agg((F.count("*") - 1).alias("revision"), F.max_by(F.struct("after"), F.struct("sequence", "after")).alias("l")).select("id", "revision", F.col("l.after").alias("body"), F.col("l.after").isNull().alias("deleted"))
 
 
 def active_roots(journal: DataFrame) -> DataFrame:

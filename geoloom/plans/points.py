@@ -155,6 +155,24 @@ def nearest_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_correspondence(*_two(spark, sf_dir), 40.0)
 
 
+# The SQL above compares all pairs, so it takes a third of the points as targets; these two take all.
+
+
+def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    return p.where("id % 50 = 0"), p
+
+
+@query("nearest_neighbours_all")
+def nearest_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.nearest_neighbours(*_all(spark, sf_dir), 4, 64.0)
+
+
+@query("nearest_correspondence_all")
+def nearest_correspondence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.nearest_correspondence(*_all(spark, sf_dir), 40.0)
+
+
 @query("nearest_to_ray", f"{P}, r as (select id, (x - 500) * (x - 500) + (z - 50) * (z - 50) as o from p where y >= 0) select (min({{'o': o, 'i': id}})).i as id, min(o) as off2 from r where o < 10000")
 def nearest_to_ray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_to_ray(points(spark, sf_dir), (500.0, 0.0, 50.0), (0.0, 1.0, 0.0), 100.0)
@@ -165,8 +183,16 @@ _BOXES = f"{P}, b as (select id, x as x0, x + 8 as x1, y as y0, y + 16 as y1, z
 
 @query("clearance_pairs", f"{_BOXES} select l.id as a, r.id as b from b l, b r where l.id < r.id and l.x0 <= r.x1 + 2 and r.x0 <= l.x1 + 2 and l.y0 <= r.y1 + 2 and r.y0 <= l.y1 + 2 and l.z0 <= r.z1 + 2 and r.z0 <= l.z1 + 2")
 def clearance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = points(spark, sf_dir).where("id % 3 = 0").selectExpr("id", "x as x0", "x + 8 as x1", "y as y0", "y + 16 as y1", "z as z0", "z + 4 as z1")
-    return joins.overlapping_boxes(b, 2.0, 32.0)
+    return joins.overlapping_boxes(_boxes(points(spark, sf_dir).where("id % 3 = 0")), 2.0, 32.0)
+
+
+@query("clearance_pairs_all")
+def clearance_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.overlapping_boxes(_boxes(points(spark, sf_dir)), 2.0, 32.0)
+
+
+def _boxes(p: DataFrame) -> DataFrame:
+    return p.selectExpr("id", "x as x0", "x + 8 as x1", "y as y0", "y + 16 as y1", "z as z0", "z + 4 as z1")
 
 
 @query("stratified_checkpoints", f"{P}, u as (select id, coalesce((x - min(x) over ()) / nullif(max(x) over () - min(x) over (), 0), 0.5) as ux, coalesce((y - min(y) over ()) / nullif(max(y) over () - min(y) over (), 0), 0.5) as uy from p), s as (select *, least(floor(ux * 6), 5)::int as sx, least(floor(uy * 6), 5)::int as sy from u) select sx, sy, arg_min(id, {{'d': (ux - (sx + 0.5) / 6) * (ux - (sx + 0.5) / 6) + (uy - (sy + 0.5) / 6) * (uy - (sy + 0.5) / 6), 'i': id}}) as id from s group by sx, sy")

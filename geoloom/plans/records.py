@@ -145,6 +145,12 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.replayed(j).join(last.select(F.col("entity").alias("id")), "id", "left_semi").select("id", "revision", "deleted")
 
 
+@query("journal_replay_all")
+def journal_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity, also those whose last sequence number is repeated."""
+    return documents.replayed(_journal(spark, sf_dir)).select("id", "revision", "body", "deleted")
+
+
 @query("journal_page", f"{_J} select entity, sequence from j where sequence > 300000000 order by sequence, entity limit 100")
 def journal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _journal(spark, sf_dir).where("sequence > 300000000").orderBy("sequence", "entity").limit(100).select("entity", "sequence")
