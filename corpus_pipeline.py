@@ -56,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents and their places in sequences."""
-    return packing.packed(docs)
+    return packing.packed(docs, encode_special_tokens=False)
 
 
 STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("benchmark_decontamination", decontamination), ("best_fit_packing", packing_stage)]

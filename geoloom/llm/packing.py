@@ -15,14 +15,17 @@ that vocabulary, which is several times faster.
 
 Defined results: a null text is empty and gives the end id alone; rows with
 repeated or null ids are packed each by itself; special-token strings inside
-texts are ordinary text; extra columns are not read; an empty table packs
-into nothing.
+texts are ordinary text with ``encode_special_tokens`` (as in ``tokenizers``)
+and become their own id without it, which is the library's default and what
+op9 and the pipeline use; extra columns are not read; an empty table packs into
+nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -43,17 +46,21 @@ _BIN = f"used int, open boolean, members array<{_MEMBER}>"
 
 
 @functools.cache
-def _encoder(name: str):
+def _encoder(name: str, encode_special_tokens: bool):
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {}
+    if not encode_special_tokens:
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(text: str, name: str = TOKENIZER) -> np.ndarray:
-    return np.append(_encoder(name).encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+def token_ids(text: str, name: str = TOKENIZER, encode_special_tokens: bool = True) -> np.ndarray:
+    return np.append(_encoder(name, encode_special_tokens).encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -63,12 +70,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, min(z, n) - a) for a, z in zip(starts, starts[1:] + [n])]
 
 
-def _pieces(name: str, capacity: int):
+def _pieces(name: str, capacity: int, encode_special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_ids(text.as_py() or "", name)
+                ids = token_ids(text.as_py() or "", name, encode_special_tokens)
                 rows += [(doc, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(cuts(len(ids), capacity))]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -77,10 +84,10 @@ def _pieces(name: str, capacity: int):
     return run
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = TOKENIZER, capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     docs = runtime.bounded_batches(docs)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(name, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(name, capacity, encode_special_tokens), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -163,5 +170,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
     return placed.select("m.*", "sequence_id", F.expr("cast(aggregate(slice(members, 1, at), 0L, (s, x) -> s + x.length) as bigint)").alias("offset"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return pack(pieces(docs))
+def packed(docs: DataFrame, encode_special_tokens: bool = True) -> DataFrame:
+    return pack(pieces(docs, encode_special_tokens=encode_special_tokens))

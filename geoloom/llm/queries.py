@@ -49,7 +49,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.packed(_table(spark, sf_dir, "documents"), encode_special_tokens=False)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
