@@ -23,14 +23,15 @@ Defined results: a null page is empty and has an empty text; pages without
 host form a group of their own; a host with few pages has no template, only
 names count then; rows with a repeated id are extracted each by itself;
 extra columns are not read; damaged markup (unclosed elements, pages cut off
-anywhere, stray brackets) is read as far as it goes.
+anywhere, stray brackets) is read as far as it goes: only the code of an
+unclosed script or style is left out, and trees may be of any depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,13 +44,13 @@ MIN_SAME = 0.9
 #: and at least this many pages other than copies of the reference match it.
 MIN_PAGES = 8
 BROADCAST_BYTES = 8 << 20
-MAX_DEPTH = 120
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*\Z|<[a-zA-Z/][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[a-z]+")
 # Names of HTML elements and usual class words.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select"}
+_RAW = {"script", "style", "textarea", "title", "iframe"}
+_FOREIGN = {"svg", "object", "select", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _NO_CONTENT = {"nav", "footer", "aside", "form", "button", "head", "dialog", "menu"}
@@ -74,13 +75,39 @@ class Node:
         return " ".join("".join(x if isinstance(x, str) else " " for x in self.items).split())
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a foreign tag start and end, without self-closed and unclosed ones."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){tag}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", page, re.I | re.S):
+        if m[3] is None:
+            continue
+        if not m[2]:
+            if not m[3].endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block elements of a page; inline elements are their text."""
     root = Node("#page")
-    stack, raw, at = [root], "", 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    stack, at = [root], 0
+    where: dict[str, list[int]] = {}  # the places in the stack of the open elements of each tag
+    closed: dict[str, dict[int, int]] = {}
+    ends: dict[str, int] = {}  # raw tags that are not closed from a place on
+
+    def last(tags: Iterable[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            where[n.tag].pop()
+        del stack[k:]
+
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         tag = m[2]
         if tag is None:
             text = m[0]
@@ -93,43 +120,46 @@ def parse(page: str) -> Node:
         if tag in _INLINE:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if k := last((tag,)):
+                close(k)
             continue
         if tag in _VOID:
             stack[-1].items.append(" ")
             continue
-        if tag in _RAW:
-            end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, m.end())
-            at = end.end() if end else len(page)
-            continue
-        if tag in _CLOSES_P and any(n.tag == "p" for n in stack[-4:]):
-            k = max(i for i, n in enumerate(stack) if n.tag == "p")
-            if k:
-                del stack[k:]
-        elif tag in _SAME_CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _SAME_CLOSES[tag]:
-                    break
-                if stack[k].tag == tag or tag in ("dt", "dd") and stack[k].tag in ("dt", "dd") or tag in ("td", "th") and stack[k].tag in ("td", "th"):
-                    del stack[k:]
-                    break
-        if len(stack) >= MAX_DEPTH:
+        if tag in _RAW and tag not in ends:
+            if end := re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(page, at):
+                at = end.end()
+                continue
+            ends[tag] = at
+        if tag in ("script", "style"):  # code up to the page's end
+            break
+        if tag in _FOREIGN:
+            if tag not in closed:
+                closed[tag] = _closed(page, tag)
+            if m.start() in closed[tag]:
+                at = closed[tag][m.start()]
+                continue
+        if (tag in _FOREIGN or tag in _RAW) and m[3].endswith("/"):
             stack[-1].items.append(" ")
             continue
+        if tag in _CLOSES_P and (k := last(("p",))) and k >= len(stack) - 4:
+            close(k)
+        elif tag in _SAME_CLOSES:
+            same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if (k := last(same)) > last(_SAME_CLOSES[tag]):
+                close(k)
         names, bad = "", tag in _NO_CONTENT
+        inside = last(("article", "main")) > 0
         if m[3]:
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower()
             words = set(_WORD.findall(names))
-            inside = any(n.tag in ("article", "main") for n in stack)
             bad = bad or bool(words & _NO_WORDS) and tag not in ("html", "body", "main", "article") or "header" in words and not inside or bool(_HIDDEN.search(m[3]))
-        if tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+        if tag == "header" and not inside:
             bad = True
         node = Node(tag, names, bad)
         stack[-1].items.append(node)
         stack[-1].kids.append(node)
+        where.setdefault(tag, []).append(len(stack))
         stack.append(node)
     return root
 
@@ -153,10 +183,29 @@ def match(a: Node, b: Node, memo: dict) -> int:
         return 1
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + _table(a.kids, b.kids, memo)[0]
+        todo = [(a, b)]  # a stack of its own, as trees may be of any depth
+        while todo:
+            x, y = todo[-1]
+            p, q = _middle(x.kids, y.kids)
+            deeper = [(s, t) for s in p if s.kids for t in q if t.kids and s.label == t.label and (id(s), id(t)) not in memo]
+            if deeper:
+                todo += deeper
+            else:
+                memo[id(x), id(y)] = 1 + _table(x.kids, y.kids, memo)[0]
+                todo.pop()
     return memo[key]
 
 
+def _middle(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Two lists without the ends that ``_table`` matches at once."""
+    lo, n, m = 0, len(x), len(y)
+    while lo < n and lo < m and x[lo].label == y[lo].label and not (x[lo].kids or y[lo].kids):
+        lo += 1
+    while n > lo and m > lo and x[n - 1].label == y[m - 1].label and not (x[n - 1].kids or y[m - 1].kids):
+        n, m = n - 1, m - 1
+    return x[lo:n], y[lo:m]
+
+
 def _table(x: list[Node], y: list[Node], memo: dict) -> tuple[int, list]:
     """(best sum, pairs) over two lists of children, in order.
 

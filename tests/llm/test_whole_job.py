@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from geoloom.llm import packing, queries
+from geoloom.llm import packing, queries, wrapper
 
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n 's  ", "<|endoftext", "<|im_end|> é", "plain text", "w <|endoftext|>" * 900]
 
@@ -27,3 +27,42 @@ def test_packing_takes_added_tokens_as_tokenizers_does(spark, tmp_path, stage):
         for k, (a, n) in enumerate(packing.cuts(len(ids), packing.CAPACITY)):
             want[doc, k] = (a, n, zlib.crc32(ids[a : a + n].tobytes()))
     assert got == want
+
+
+def text_of(page):
+    return wrapper.extract(page, None, [], 0)
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n ;i++){} // don't</script>",
+        "<script>a = '<!--'</script>",
+        "<style>a<b 'c</style>",
+        "<svg class=x />",
+        "<svg><path d=1>",
+        "<object data=x>",
+        "<noscript>",
+        "<noscript/>",
+        "<svg/><svg><text>no</text></svg>",
+        "<svg><svg><text>no</text></svg><text>no</text></svg>",
+        "<svg><script>'</svg>'</script><text>no</text></svg>",
+        "<title/>",
+        "<div>" * 300,
+        "<div>" * 300 + "</div>" * 300,
+    ],
+)
+def test_html_keeps_the_article(before):
+    assert text_of(before + "<article><p>First one.</p><p>Here it's more.</p></article>") == "First one. Here it's more."
+
+
+def test_html_deep_elements_close_themselves():
+    deep = "<div>" * 5000
+    page = f"<article>{deep}<section>in</section>{'</div>' * 5000}<p>after</p></article><footer>no</footer>"
+    assert text_of(page) == "in after"
+    tree = wrapper.parse(page)
+    assert len(wrapper.align(tree, wrapper.parse(page))) == len(wrapper.number(tree)) == 5000 + 5
+
+
+def test_html_of_an_unclosed_script_is_left_out():
+    assert text_of("<p>text</p><script>var a = 1; <p>code</p>") == "text"
