@@ -1,7 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. One page of each host (that of the least
-id) is its reference. Every page's tree of block elements is aligned with its
+Pages of one host share a template. One page of each host is its reference:
+that of the least id among the pages whose upper tree (the labels of its first
+``TOP`` levels, repeats left out) is the most common of the host; pages without
+elements come last. Every page's tree of block elements is aligned with its
 reference by simple tree matching: the largest top-down, order-keeping
 matching, found over lists of children by dynamic programming. Over all
 pages of the host each reference node counts how often it was matched and
@@ -29,6 +31,7 @@ unclosed script or style is left out, and trees may be of any depth.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
@@ -44,6 +47,8 @@ MIN_SAME = 0.9
 #: and at least this many pages other than copies of the reference match it.
 MIN_PAGES = 8
 BROADCAST_BYTES = 8 << 20
+#: Levels of a page's tree whose labels tell whole pages from damaged ones.
+TOP = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*\Z|<[a-zA-Z/][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -175,6 +180,15 @@ def number(root: Node) -> list[Node]:
     return out
 
 
+def signature(root: Node) -> tuple[int, int]:
+    """(hash, number) of the distinct labels of each of the upper levels, in order of appearance."""
+    labels, level = [], [root]
+    for k in range(1, TOP + 1):
+        level = [n for p in level for n in p.kids]
+        labels += [f"{k} {x}" for x in dict.fromkeys(n.label for n in level)]
+    return int.from_bytes(hashlib.blake2b("\n".join(labels).encode(), digest_size=8).digest(), "big", signed=True), len(labels)
+
+
 def match(a: Node, b: Node, memo: dict) -> int:
     """Simple tree matching: the number of pairs of the best matching of a and b."""
     if a.label != b.label:
@@ -307,7 +321,10 @@ def blocks(node: Node, drop: set[int]) -> list[str]:
 
 
 def extract(page: str, ref: list[Node] | None, constant: list[bool], root: int) -> str:
-    """The main text of a page, given its host's wrapper."""
+    """The main text of a page, given its host's wrapper.
+
+    Where that has no content root (-1) the page's own is taken.
+    """
     tree = parse(page)
     drop, start = set(), None
     if ref is not None:
@@ -338,6 +355,28 @@ class _Refs:
         return self.held[host]
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the signature of each page's tree (shape, labels) in place of the page."""
+    for batch in batches:
+        found = [signature(parse(page.as_py() or "")) for page in batch.column(0)]
+        cols = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*cols, *batch.columns[1:]], ["shape", "labels", *batch.schema.names[1:]])
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """(host, sample): the reference page of each host of pages (page_id, html, host)."""
+    key = F.struct("page_id", F.length("html").alias("size"), F.xxhash64("html").alias("hash"))
+    keyed = pages.select("html", "host", "page_id", key["size"].alias("size"), key["hash"].alias("hash"))
+    fields = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    shapes = keyed.mapInArrow(_shapes, "shape long, labels int, " + ", ".join(f"{k} {fields[k]}" for k in ("host", "page_id", "size", "hash")))
+    counts = shapes.groupBy("host", "shape", "labels").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "size", "hash")).alias("first"))
+    rank = F.struct(F.col("labels") > 0, "n", "labels", "shape")
+    picked = runtime.written(counts.groupBy("host").agg(F.max_by("first", rank).alias("first")), "wrapper-picks")
+    p = _small(picked.select(F.col("host").alias("__host"), "first.*").withColumnsRenamed({"page_id": "__id", "size": "__size", "hash": "__hash"}), "length(__host) + 40")
+    same = (F.col("host") == F.col("__host")) & F.col("page_id").eqNullSafe(F.col("__id")) & F.col("size").eqNullSafe(F.col("__size")) & (F.col("hash") == F.col("__hash"))
+    return keyed.join(p, same).groupBy("host").agg(F.min("html").alias("sample"))
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, matched, same, length) of a task's pages."""
     refs, sums = _Refs(), {}
@@ -381,7 +420,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 constant = [i in n and n[i]["matched"] >= MIN_PAGES and n[i]["same"] >= MIN_SAME * n[i]["matched"] for i in range(len(ref))]
                 varying = [n[i]["length"] / n[0]["matched"] if i in n else 0.0 for i in range(len(ref))] if n else [float(len(x.text())) for x in ref]
                 ref[0].hits = 1
-                ref[0].items = [constant, content_root(ref, varying)]
+                # a reference below whose root nothing varies says nothing of where the content is
+                ref[0].items = [constant, content_root(ref, varying) or (0 if any(varying[1:]) else -1)]
             constant, root = ref[0].items
             texts.append(extract(page, ref, constant, root))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -397,12 +437,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages = runtime.bounded_batches(pages)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    refs = runtime.written(pages.groupBy("host").agg(F.min_by("html", F.struct("page_id", F.length("html"))).alias("sample")), "wrapper-references")
-    held = _small(refs, "length(sample) + 100")
+    refs = runtime.written(references(pages), "wrapper-references")
+    held = _small(refs, "coalesce(length(sample), 0) + 100")
     evidence = pages.join(held, "host").select("host", "html", "sample").mapInArrow(_evidence, "host string, node int, matched long, same long, length long")
     sums = evidence.groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"), F.sum("length").alias("length"))
     stats = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "matched", "same", "length"))).alias("stats"))
     wrappers = runtime.written(refs.join(stats, "host", "left"), "wrappers")
-    texts = pages.join(_small(wrappers, "length(sample) + 100 + 40 * coalesce(size(stats), 0)"), "host").select("page_id", "url", "html", "host", "sample", "stats")
+    texts = pages.join(_small(wrappers, "coalesce(length(sample), 0) + 100 + 40 * coalesce(size(stats), 0)"), "host").select("page_id", "url", "html", "host", "sample", "stats")
     texts = texts.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

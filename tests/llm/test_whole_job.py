@@ -66,3 +66,21 @@ def test_html_deep_elements_close_themselves():
 
 def test_html_of_an_unclosed_script_is_left_out():
     assert text_of("<p>text</p><script>var a = 1; <p>code</p>") == "text"
+
+
+def site(k):
+    return f"<html><head><title>t</title></head><body><div class=box>Same words on each page</div><div class=story><h1>Title {k}</h1><p>Story {k} has its own text {k * 7}.</p></div><div class=end>The end</div></body></html>"
+
+
+@pytest.mark.parametrize("first", [None, "", "cut off", "<html><head><title>t", "<html><head></head><body><div class=box>Same words", "<html><body><p>Another kind of page</p></body></html>"])
+def test_wrapper_of_a_host_with_a_damaged_first_page(spark, first):
+    rows = [(0, "http://h/0", first)] + [(k, f"http://h/{k}", site(k)) for k in range(1, 14)] + [(None, "http://null/", None), (50, "http://null/", "")]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 16 and got[50] == got[None] == ""
+    assert all(got[k] == f"Title {k} Story {k} has its own text {k * 7}." for k in range(1, 14))
+
+
+def test_wrapper_without_a_usable_reference_takes_the_page_s_own_root():
+    page = "<html><body><div>a b</div><article><p>The text of the page.</p></article></body></html>"
+    ref = wrapper.number(wrapper.parse(""))
+    assert wrapper.extract(page, ref, [False], -1) == "The text of the page."
