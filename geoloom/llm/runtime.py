@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a membership bitmap: 2**22 bits are at most 65,536 rows of 64 bits,
@@ -63,17 +63,22 @@ def bitmap(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
+def marked_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with columns __bm_*, and whether a row may be a member (false for a null key)."""
+    h = F.xxhash64(column)
+    tagged = df.withColumn("__bm_h", h).withColumn("__bm_word", F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})"))
+    hit = F.coalesce(F.expr("(shiftrightunsigned(__bm_bits, cast(__bm_h & 63 as int)) & 1L) = 1L"), F.lit(False)) & F.col(column).isNotNull()
+    return tagged.join(F.broadcast(marks), "__bm_word", "left"), hit
+
+
 def split_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that may be members, rows that surely are not).
 
     The bitmap is broadcast (its size has a fixed bound), so neither part
     is shuffled. Rows with a null key are in the second part.
     """
-    h = F.xxhash64(column)
-    tagged = df.withColumn("__bm_h", h).withColumn("__bm_word", F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})"))
-    joined = tagged.join(F.broadcast(marks), "__bm_word", "left").withColumn(
-        "__bm_hit", F.coalesce(F.expr("(shiftrightunsigned(__bm_bits, cast(__bm_h & 63 as int)) & 1L) = 1L"), F.lit(False)) & F.col(column).isNotNull()
-    )
+    joined, hit = marked_by_bitmap(df, column, marks)
+    joined = joined.withColumn("__bm_hit", hit)
     back = [F.col(c) for c in df.columns]
     return joined.where("__bm_hit").select(*back), joined.where("not __bm_hit").select(*back)
 

@@ -19,6 +19,9 @@ shorter than a window lose none; of equal windows in one document none is
 removed unless a smaller id holds it too; rows with a null or repeated id
 are separate rows, and a null id counts as greater than all others, while
 rows of one id count as one document; extra columns are kept.
+
+Spans belong to a row: (id, hash of the text), where the hash is 0 for ids that
+surely occur once, so that it takes no room in the shuffle.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ PASS_WINDOWS = 1_000_000
 BUCKETS = 6
 NULL_ID = np.iinfo(np.int64).max
 _PACKED = "bucket long, blob binary"
-_SPANS = "doc long, lo int, hi int"
+_SPANS = "doc long, row long, lo int, hi int"
 
 
 def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,22 +64,24 @@ def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int) -> tuple
     return starts, nxt - starts, least[starts]
 
 
-def _pack(zip_up: zstandard.ZstdCompressor, records: list[tuple[int, int, bytes]]) -> bytes:
+def _pack(zip_up: zstandard.ZstdCompressor, records: list[tuple[int, int, int, bytes]]) -> bytes:
     head = np.array([len(records)], np.int64).tobytes()
     ids = np.array([r[0] for r in records], np.int64).tobytes()
-    at = np.array([(r[1], len(r[2])) for r in records], np.int32).tobytes()
-    return zip_up.compress(head + ids + at + b"".join([r[2] for r in records]))
+    tags = np.array([r[1] for r in records], np.int64).tobytes()
+    at = np.array([(r[2], len(r[3])) for r in records], np.int32).tobytes()
+    return zip_up.compress(head + ids + tags + at + b"".join([r[3] for r in records]))
 
 
-def _unpack(unzip: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first words, offsets, bytes) of a blob's records."""
+def _unpack(unzip: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, row hashes, first words, offsets, bytes) of a blob's records."""
     raw = unzip.decompress(blob)
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     ids = np.frombuffer(raw, np.int64, k, 8)
-    at = np.frombuffer(raw, np.int32, 2 * k, 8 + 8 * k).reshape(k, 2)
+    tags = np.frombuffer(raw, np.int64, k, 8 + 8 * k)
+    at = np.frombuffer(raw, np.int32, 2 * k, 8 + 16 * k).reshape(k, 2)
     offsets = np.zeros(k + 1, np.int64)
     np.cumsum(at[:, 1], out=offsets[1:])
-    return ids, at[:, 0], offsets, np.frombuffer(raw, np.uint8, offset=8 + 16 * k)
+    return ids, tags, at[:, 0], offsets, np.frombuffer(raw, np.uint8, offset=8 + 24 * k)
 
 
 def _scatter(buckets: int, width: int, mer: int):
@@ -92,7 +97,7 @@ def _scatter(buckets: int, width: int, mer: int):
             keys, blobs = [], []
             for b, group in held.items():
                 keys.append(b)
-                blobs.append(_pack(zip_up, [(doc, at, text) for text, (doc, _, where) in group.items() for at in where]))
+                blobs.append(_pack(zip_up, [(doc, tag, at, text) for text, (doc, _, where) in group.items() for tag, at in where]))
             for b, spans in known.items():
                 keys.append(b)
                 blobs.append(zip_up.compress(np.array(spans, np.int64).tobytes()))
@@ -101,15 +106,15 @@ def _scatter(buckets: int, width: int, mer: int):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            for row, data, offsets in textkit.chunks(batch.column(1)):
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, data, offsets in textkit.chunks(batch.column(2)):
                 words = Words(data, offsets)
                 starts, n, least = super_kmers(words, words.hashes(), width, mer)
                 if not len(starts):
                     continue
                 which = np.searchsorted(words.first, starts, "right") - 1
                 docs = ids[row + which].tolist()
-                at = (starts - words.first[which]).tolist()
+                at = zip(tags[row + which].tolist(), (starts - words.first[which]).tolist())
                 lo = words.starts[starts].tolist()
                 hi = words.ends[starts + n - 1 + width - 1].tolist()
                 raw, runs = data.tobytes(), n.tolist()
@@ -132,7 +137,7 @@ def _scatter(buckets: int, width: int, mer: int):
                             late, where = first[0], first[2]
                         else:
                             late, where = doc, [pos]
-                        known.setdefault(-1 - late % buckets, []).extend((late, x, x + k + width - 1) for x in where)
+                        known.setdefault(-1 - late % buckets, []).extend((late, tag, x, x + k + width - 1) for tag, x in where)
                 if size > FLUSH_BYTES:
                     yield flush()
                     size = 0
@@ -142,16 +147,19 @@ def _scatter(buckets: int, width: int, mer: int):
     return run
 
 
-def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, first words) of the windows of a bucket that a smaller id holds too."""
+def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, row hashes, first words) of the windows of a bucket that a smaller id holds too."""
     unzip = zstandard.ZstdDecompressor()
     # a word takes about 8 bytes with its space and its share of a record
     total = sum(zstandard.frame_content_size(b) for b in blobs) // 8
     passes = np.uint64(1 + total // PASS_WINDOWS)
     for p in range(int(passes)):
-        fps, docs, poss, keys = [], [], [], []
+        fps, recs, poss, keys = [], [], [], []
+        all_ids, all_tags, base = [], [], 0
         for blob in blobs:
-            ids, at, offsets, data = _unpack(unzip, blob)
+            ids, tags, at, offsets, data = _unpack(unzip, blob)
+            all_ids.append(ids.copy())  # views would hold the whole blob
+            all_tags.append(tags.copy())
             for row, part, off in textkit.chunks(pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])):
                 words = Words(part, off)
                 h = words.hashes()
@@ -162,9 +170,10 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
                     ok, fp = ok[mine], fp[mine]
                 which = np.searchsorted(words.first, ok, "right") - 1
                 fps.append(fp)
-                docs.append(ids[row + which])
+                recs.append((base + row + which).astype(np.int32))
                 poss.append(at[row + which] + (ok - words.first[which]).astype(np.int32))
                 keys.append((h, ok))
+            base += len(ids)
         if not fps:
             continue
         fp = np.concatenate(fps)
@@ -180,9 +189,10 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
             mine = ok[some[used : used + len(ok)]]
             rows[done : done + len(mine)] = h[mine[:, None] + np.arange(width)]
             done, used = done + len(mine), used + len(ok)
-        fp, doc, pos = fp[some], np.concatenate(docs)[some], np.concatenate(poss)[some]
+        fp, rec, pos = fp[some], np.concatenate(recs)[some], np.concatenate(poss)[some]
+        doc = np.concatenate(all_ids)[rec]
         order = np.lexsort((doc, fp))
-        fp, doc, pos, rows = fp[order], doc[order], pos[order], rows[order]
+        fp, rec, doc, pos, rows = fp[order], rec[order], doc[order], pos[order], rows[order]
         head = np.ones(len(fp), bool)
         head[1:] = fp[1:] != fp[:-1]
         run = np.cumsum(head) - 1
@@ -196,7 +206,7 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
                 for i in members:
                     least.setdefault(rows[i].tobytes(), int(doc[i]))
                 bad[members] = [doc[i] > least[rows[i].tobytes()] for i in members]
-        yield doc[bad], pos[bad]
+        yield doc[bad], np.concatenate(all_tags)[rec[bad]], pos[bad]
 
 
 def _gather(width: int):
@@ -207,32 +217,43 @@ def _gather(width: int):
         out = []
         if table.column("bucket")[0].as_py() < 0:
             unzip = zstandard.ZstdDecompressor()
-            out = [np.frombuffer(unzip.decompress(b), np.int64).reshape(-1, 3) for b in blobs]
+            out = [np.frombuffer(unzip.decompress(b), np.int64).reshape(-1, 4) for b in blobs]
         else:
-            for doc, pos in _repeats(blobs, width):
-                order = np.lexsort((pos, doc))
-                doc, pos = doc[order], pos[order].astype(np.int64)
+            for doc, tag, pos in _repeats(blobs, width):
+                order = np.lexsort((pos, tag, doc))
+                doc, tag, pos = doc[order], tag[order], pos[order].astype(np.int64)
                 head = np.ones(len(doc), bool)
-                head[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + width)
+                head[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] > pos[:-1] + width)
                 at = np.flatnonzero(head)
                 if len(at):
                     last = np.append(at[1:], len(doc)) - 1
-                    out.append(np.stack([doc[at], pos[at], pos[last] + width], axis=1))
-        spans = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        return pa.table({"doc": spans[:, 0], "lo": spans[:, 1].astype(np.int32), "hi": spans[:, 2].astype(np.int32)})
+                    out.append(np.stack([doc[at], tag[at], pos[at], pos[last] + width], axis=1))
+        spans = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        return pa.table({"doc": spans[:, 0], "row": spans[:, 1], "lo": spans[:, 2].astype(np.int32), "hi": spans[:, 3].astype(np.int32)})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, mer: int = MER) -> DataFrame:
-    """(doc, lo, hi): word spans of windows that a document of smaller id holds.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __ss_key (the id, or NULL_ID) and __ss_row (0, or a hash of the text where the id may occur again)."""
+    key = F.col(id_col).cast("long")
+    again = runtime.cut(docs.select(key.alias("__ss_key")).where("__ss_key is not null").groupBy("__ss_key").count().where("count > 1").select("__ss_key"))
+    docs = docs.withColumn("__ss_key", F.coalesce(key, F.lit(int(NULL_ID))))
+    repeated = F.col("__ss_key") == int(NULL_ID)
+    if not again.isEmpty():
+        docs, hit = runtime.marked_by_bitmap(docs, "__ss_key", runtime.bitmap(again, "__ss_key"))
+        repeated = repeated | hit
+    return docs.withColumn("__ss_row", F.when(repeated, F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))).drop("__bm_h", "__bm_word", "__bm_bits")
+
 
-    Spans of a document may overlap; together they cover exactly the words
+def repeated_spans(keyed: DataFrame, text_col: str = "text", width: int = WIDTH, mer: int = MER) -> DataFrame:
+    """(doc, row, lo, hi): word spans of windows that a document of smaller id holds, of rows from ``_keyed``.
+
+    Spans of a row may overlap; together they cover exactly the words
     to remove.
     """
-    docs = runtime.bounded_batches(docs)
-    parts = runtime.shuffle_partitions(docs)
-    packed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(BUCKETS * parts, width, mer), _PACKED)
+    parts = runtime.shuffle_partitions(keyed)
+    packed = keyed.select("__ss_key", "__ss_row", F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(BUCKETS * parts, width, mer), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_gather(width), _SPANS)
 
 
@@ -275,13 +296,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns of ``docs`` named like an added one are replaced.
     """
     docs = runtime.bounded_batches(docs)
-    docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "__ss_spans") if c in docs.columns])
-    spans = runtime.cut(repeated_spans(docs, id_col, text_col, width, mer))
-    hit, clean = runtime.split_by_bitmap(docs.withColumn("__ss_key", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID)))), "__ss_key", runtime.bitmap(spans, "doc"))
-    lists = spans.groupBy(F.col("doc").alias("__ss_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ss_spans"))
-    hit = hit.join(lists, "__ss_key", "left").select(*[F.col(c) for c in hit.columns], "__ss_spans")
+    docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text", "__ss_spans", "__ss_key", "__ss_row") if c in docs.columns])
+    keyed = _keyed(docs, id_col, text_col)
+    spans = runtime.cut(repeated_spans(keyed, text_col, width, mer))
+    hit, clean = runtime.split_by_bitmap(keyed, "__ss_key", runtime.bitmap(spans, "doc"))
+    lists = spans.groupBy(F.col("doc").alias("__ss_key"), F.col("row").alias("__ss_row")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ss_spans"))
+    hit = hit.join(lists, ["__ss_key", "__ss_row"], "left").select(*[F.col(c) for c in hit.columns], "__ss_spans")
     clean = clean.withColumn("__ss_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    both = hit.unionByName(clean).drop("__ss_key")
+    both = hit.unionByName(clean).drop("__ss_key", "__ss_row")
     out = both.drop("__ss_spans").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     return both.mapInArrow(_strip(docs.columns.index(text_col)), out)
 

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from geoloom.llm import packing, queries, wrapper
+from geoloom.llm import packing, queries, substring, wrapper
 
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n 's  ", "<|endoftext", "<|im_end|> é", "plain text", "w <|endoftext|>" * 900]
 
@@ -84,3 +84,15 @@ def test_wrapper_without_a_usable_reference_takes_the_page_s_own_root():
     page = "<html><body><div>a b</div><article><p>The text of the page.</p></article></body></html>"
     ref = wrapper.number(wrapper.parse(""))
     assert wrapper.extract(page, ref, [False], -1) == "The text of the page."
+
+
+@pytest.mark.parametrize("one", [None, 7])
+def test_spans_stay_with_their_row(spark, one):
+    shared = " ".join(f"s{k}" for k in range(20))
+    own = " ".join(f"o{k}" for k in range(60))
+    rows = [(1, shared), (one, f"{own} {shared} tail"), (one, " ".join(f"q{k}" for k in range(90))), (one, "short"), (one, None), (one, f"{own} {shared} tail"), (9, f"a {shared}"), (2, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 4):
+        got = sorted((str(r.text), r.n_removed, r.kept_text) for r in substring.remove_repeats(docs.repartition(n)).collect())
+        want = {rows[1][1]: (80, "tail"), rows[6][1]: (20, "a")}
+        assert got == sorted((str(t), *want.get(t, (0, t or ""))) for _, t in rows)
