@@ -9,11 +9,14 @@ document; along it equal tokens are counted over the whole item, so
 substituted words cost their own place only. A document leaks an item if
 ``MIN_SHARE`` percent of the item's tokens are found so.
 
+Items with fewer than ``SPAN`` tokens have no such window. They are found where
+all their tokens occur in a row: one hash of the whole item is joined with the
+document windows of each length that occurs among these items.
+
 The benchmark's table of hashes is broadcast only up to ``BROADCAST_ROWS``
 rows, which is counted first; beyond that both sides are shuffled.
 
-Defined results: items with fewer than ``SPAN`` tokens are too short to tell
-from chance and never match; null texts match nothing; rows of one id are
+Defined results: items without tokens and null texts match nothing; rows of one id are
 one document; repeated items match each by its own id; extra columns are not
 read.
 """
@@ -39,12 +42,25 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.withColumn("n", F.size("tok"))
 
 
-def _seeds(df: DataFrame, keep: list[str], at: str) -> DataFrame:
-    """A row for each window and mask: (keep..., at, seed)."""
+def _seeds(df: DataFrame, keep: list[str], at: str, lengths: list[int] = []) -> DataFrame:
+    """A row for each window and mask, and for each window of ``lengths`` tokens: (keep..., at, seed)."""
+    least = min([SPAN, *lengths])
     # a condition inside the generator, as a filter on n would be pushed down and tokenise every text twice
-    windows = df.select(*keep, "tok", F.explode(F.expr(f"case when n >= {SPAN} then sequence(0, n - {SPAN}) end")).alias(at))
-    hashes = F.array(*[F.xxhash64(F.lit(k), *[F.expr(f"tok[{at} + {p}]") for p in mask]) for k, mask in enumerate(MASKS)])
-    return windows.select(*keep, "tok", at, F.explode(hashes).alias("seed"))
+    windows = df.select(*keep, "n", "tok", F.explode(F.expr(f"case when n >= {least} then sequence(0, n - {least}) end")).alias(at))
+    masked = [F.xxhash64(F.lit(k), *[F.expr(f"tok[{at} + {p}]") for p in mask]) for k, mask in enumerate(MASKS)]
+    if lengths:
+        exact = [(m, F.xxhash64(F.lit(len(MASKS) + m), *[F.expr(f"tok[{at} + {p}]") for p in range(m)])) for m in lengths]
+        guarded = [F.when(F.expr(f"{at} + {m} <= n"), h) for m, h in [(SPAN, h) for h in masked] + exact]
+        hashes = F.array_compact(F.array(*guarded))
+    else:
+        hashes = F.array(*masked)
+    return windows.select(*keep, "n", "tok", at, F.explode(hashes).alias("seed"))
+
+
+def _whole_seeds(items: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
+    """A row for each short item: (keep..., at, seed), with the hash of all its tokens."""
+    seed = F.coalesce(*[F.when(F.col("n") == m, F.xxhash64(F.lit(len(MASKS) + m), *[F.expr(f"tok[{p}]") for p in range(m)])) for m in lengths])
+    return items.where(F.col("n").isin(lengths)).select(*keep, "n", "tok", F.lit(0).alias(at), seed.alias("seed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -54,11 +70,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     begins (negative if the item's first tokens lie before the document).
     """
     items = _tokens(benchmark, item_col, item_text, "item_id").withColumnsRenamed({"tok": "item_tok", "n": "item_n"})
-    grams = _seeds(items.withColumnsRenamed({"item_tok": "tok"}).withColumn("n", F.col("item_n")), ["item_id", "item_n"], "item_at").withColumnRenamed("tok", "item_tok")
-    grams = runtime.cut(grams)
+    lengths = sorted(r.item_n for r in items.where(f"item_n between 1 and {SPAN - 1}").select("item_n").distinct().collect())
+    items = items.withColumnsRenamed({"item_tok": "tok"}).withColumn("n", F.col("item_n"))
+    grams = _seeds(items, ["item_id", "item_n"], "item_at")
+    if lengths:
+        grams = grams.unionByName(_whole_seeds(items, ["item_id", "item_n"], "item_at", lengths))
+    grams = runtime.cut(grams.drop("n").withColumnRenamed("tok", "item_tok"))
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
-    found = _seeds(_tokens(docs, id_col, text_col, "doc_id"), ["doc_id", "n"], "doc_at").join(grams, "seed")
+    found = _seeds(_tokens(docs, id_col, text_col, "doc_id"), ["doc_id"], "doc_at", lengths).join(grams, "seed")
     same = "size(filter(sequence(greatest(0, -start), least(item_n, n - start) - 1), k -> tok[start + k] = item_tok[k]))"
     hits = found.withColumn("start", F.col("doc_at") - F.col("item_at")).select("doc_id", "item_id", "item_n", "start", F.expr(same).alias("matched"))
     best = hits.groupBy("doc_id", "item_id", "item_n").agg(F.max("matched").alias("n_matched"), F.min(F.struct((-F.col("matched")).alias("m"), "start")).alias("best"))
@@ -77,7 +97,7 @@ def _sql_seeds(relation: str) -> str:
     return f"select *, unnest([{keys}]) as seed from (select *, unnest(range(0, n - {SPAN - 1})) as i from {relation})"
 
 
-#: DuckDB SQL of ``leaks`` over ``{documents}`` and ``benchmark``.
+#: DuckDB SQL of ``leaks``, for items of ``SPAN`` tokens and more, over ``{documents}`` and ``benchmark``.
 SQL = rf"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda w: w <> '') as tok from {{documents}} where text is not null),
 b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda w: w <> '') as tok from benchmark where text is not null),

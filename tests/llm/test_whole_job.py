@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from geoloom.llm import packing, queries, substring, wrapper
+from geoloom.llm import decontam, packing, queries, substring, wrapper
 
 SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n 's  ", "<|endoftext", "<|im_end|> é", "plain text", "w <|endoftext|>" * 900]
 
@@ -96,3 +96,17 @@ def test_spans_stay_with_their_row(spark, one):
         got = sorted((str(r.text), r.n_removed, r.kept_text) for r in substring.remove_repeats(docs.repartition(n)).collect())
         want = {rows[1][1]: (80, "tail"), rows[6][1]: (20, "a")}
         assert got == sorted((str(t), *want.get(t, (0, t or ""))) for _, t in rows)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_finds_short_items(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    items = {m: " ".join(f"i{m}x{k}" for k in range(m)) for m in range(1, 13)}
+    bench = spark.createDataFrame([*items.items(), (50, ""), (51, "!?"), (52, None), (53, items[3])], "item_id long, text string")
+    rows = [(100 + m, f"Before it, {t.upper()}! after") for m, t in items.items()] + [(200, items[4]), (201, items[5].replace("i5x2", "other")), (202, "i6x0 i6x1 i6x2 i6x3 i6x4"), (203, ""), (204, None), (205, f"{items[1]} {items[2]} {items[1]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_tokens, r["at"]) for r in decontam.leaks(docs, bench).collect()}
+    want = {(100 + m, m): (m, m, 2) for m in items} | {(103, 53): (3, 3, 2), (200, 4): (4, 4, 0), (205, 1): (1, 1, 0), (205, 2): (2, 2, 1)}
+    assert got == want
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs, bench).collect()) == [201, 202, 203, 204]
