@@ -5,37 +5,50 @@ that of the least id among the pages whose upper tree (the labels of its first
 ``TOP`` levels, repeats left out) is the most common of the host; pages without
 elements come last. Every page's tree of block elements is aligned with its
 reference by simple tree matching: the largest top-down, order-keeping
-matching, found over lists of children by dynamic programming. Over all
-pages of the host each reference node counts how often it was matched and
-how often with the same text: nodes that stay the same are template, nodes
-that vary are slots. Slots whose element or class names a menu, header,
-footer, sidebar, notice, advert, form or comment list are no content. The
-content root is the article or main element, if there is one, else the least
-node that holds most of the varying text.
-
-A page is then aligned once more, and its text is what lies in the content
-root, without template nodes and rejected slots. Nodes that match nothing
-are judged by their names and their nearest matched ancestor.
+matching, found over lists of children by dynamic programming. Equal subtrees
+are matched at once and each pair of different ones is compared once, so long
+tables of like rows cost no more than their length.
+
+Over all pages of the host each reference node counts how often it was matched,
+how often with the same text, how many texts it had (a bitmap of ``BITS`` bits)
+and how much of its text was linked. Nodes that stay the same are template;
+nodes that take few texts in turn are no content either; the others are slots.
+The content root grows from the element with most varying, unlinked text
+(``content_root``). A page is then aligned once more, and its text is what lies
+in the content root, without template nodes. Outside an article or main element
+lists of links and slots of few texts go too.
+
+Names only decide what alignment leaves open: elements and roles that HTML
+itself defines as navigation, footer, aside or form are no content, and class
+words (``_DOUBT``: adverts, notices, comment lists) reject a varying slot inside
+the content root as long as other content remains. Hosts with fewer than
+``MIN_PAGES`` pages besides the reference have no template; their pages are
+judged each by itself, by the same rules with all text taken as varying.
 
 Evidence is summed inside each task, so a host with a third of all pages
-sends a few rows; references and wrappers are broadcast up to
-``BROADCAST_BYTES`` of counted size, beyond that both sides are shuffled.
+sends a few rows. References and wrappers of the hosts with most pages are
+broadcast, as many as ``BROADCAST_BYTES`` hold (counted first); pages of the
+other hosts, of which none is large, are shuffled to theirs.
 
 Defined results: a null page is empty and has an empty text; pages without
-host form a group of their own; a host with few pages has no template, only
-names count then; rows with a repeated id are extracted each by itself;
-extra columns are not read; damaged markup (unclosed elements, pages cut off
-anywhere, stray brackets) is read as far as it goes: only the code of an
-unclosed script or style is left out, and trees may be of any depth.
+host form a group of their own; rows with a repeated id are extracted each by
+itself; extra columns are not read; an empty table gives an empty one; damaged
+markup (unclosed elements, pages cut off anywhere, stray brackets) is read as
+far as it goes: only the code of an unclosed script or style is left out; trees
+may be of any depth and width. Where nearly all of the root's text is the
+same on all pages, the pages are copies of one article and nothing is template.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +59,18 @@ from . import runtime
 MIN_SAME = 0.9
 #: and at least this many pages other than copies of the reference match it.
 MIN_PAGES = 8
+#: A node with this share of different texts, or less, shows a few in turn.
+MAX_POOL = 0.4
+#: Share of linked text from which a list of three links and more is a menu.
+MAX_LINKED = 0.6
+#: Bits that count the texts of a node (four words).
+BITS = 256
 BROADCAST_BYTES = 8 << 20
 #: Levels of a page's tree whose labels tell whole pages from damaged ones.
 TOP = 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*\Z|<[a-zA-Z/][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[a-z]+")
 # Names of HTML elements and usual class words.
@@ -59,21 +79,28 @@ _FOREIGN = {"svg", "object", "select", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _NO_CONTENT = {"nav", "footer", "aside", "form", "button", "head", "dialog", "menu"}
-_NO_WORDS = {"ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comments", "comment", "disqus", "replies", "respond", "pagination", "pager", "toolbar", "contentinfo", "complementary", "search"}
+_NO_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
+_WRITING = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "dd", "figcaption"}
+_DOUBT = {"ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comments", "comment", "disqus", "replies", "respond", "pagination", "pager", "toolbar", "contentinfo", "complementary", "search"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
 class Node:
-    """A block element. ``items`` are texts and child nodes in page order."""
+    """A block element. ``items`` are texts and child nodes in page order.
 
-    __slots__ = ("tag", "label", "bad", "items", "kids", "index", "hits")
+    ``bad``: HTML itself says that it is no content; ``doubt``: a class word
+    says so. ``links``, ``linked``: its own links and the length of their text.
+    """
+
+    __slots__ = ("tag", "label", "bad", "doubt", "items", "kids", "index", "form", "links", "linked")
 
-    def __init__(self, tag: str, names: str = "", bad: bool = False):
-        self.tag, self.label, self.bad = tag, f"{tag} {names}", bad
+    def __init__(self, tag: str, names: str = "", bad: bool = False, doubt: bool = False):
+        self.tag, self.label, self.bad, self.doubt = tag, f"{tag} {names}", bad, doubt
         self.items: list = []
         self.kids: list[Node] = []
-        self.index, self.hits = -1, 0
+        self.index = self.form = -1
+        self.links = self.linked = 0
 
     def text(self) -> str:
         """The node's own text, without that of child blocks."""
@@ -100,7 +127,8 @@ def parse(page: str) -> Node:
     stack, at = [root], 0
     where: dict[str, list[int]] = {}  # the places in the stack of the open elements of each tag
     closed: dict[str, dict[int, int]] = {}
-    ends: dict[str, int] = {}  # raw tags that are not closed from a place on
+    unclosed: dict[str, int] = {}  # raw tags that are not closed from a place on
+    link = False
 
     def last(tags: Iterable[str]) -> int:
         return max((where[t][-1] for t in tags if where.get(t)), default=0)
@@ -117,13 +145,20 @@ def parse(page: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].items.append(entities.unescape(text) if "&" in text else text)
+                text = entities.unescape(text) if "&" in text else text
+                stack[-1].items.append(text)
+                if link:
+                    stack[-1].linked += len(" ".join(text.split()))
             elif text.startswith("<![CDATA["):
                 stack[-1].items.append(text[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if tag in _INLINE:
+            if tag == "a":
+                link = not m[1]
+                stack[-1].links += link
             continue
+        link = link and tag == "br"
         if m[1]:
             if k := last((tag,)):
                 close(k)
@@ -131,11 +166,11 @@ def parse(page: str) -> Node:
         if tag in _VOID:
             stack[-1].items.append(" ")
             continue
-        if tag in _RAW and tag not in ends:
+        if tag in _RAW and tag not in unclosed:
             if end := re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(page, at):
                 at = end.end()
                 continue
-            ends[tag] = at
+            unclosed[tag] = at
         if tag in ("script", "style"):  # code up to the page's end
             break
         if tag in _FOREIGN:
@@ -153,15 +188,17 @@ def parse(page: str) -> Node:
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
             if (k := last(same)) > last(_SAME_CLOSES[tag]):
                 close(k)
-        names, bad = "", tag in _NO_CONTENT
+        names, bad, doubt = "", tag in _NO_CONTENT, False
         inside = last(("article", "main")) > 0
         if m[3]:
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower()
             words = set(_WORD.findall(names))
-            bad = bad or bool(words & _NO_WORDS) and tag not in ("html", "body", "main", "article") or "header" in words and not inside or bool(_HIDDEN.search(m[3]))
+            role = _ROLE.search(m[3])
+            bad = bad or bool(_HIDDEN.search(m[3])) or bool(role) and role[1].lower() in _NO_ROLES
+            doubt = tag not in ("html", "body", "main", "article") and (bool(words & _DOUBT) or "header" in words and not inside)
         if tag == "header" and not inside:
             bad = True
-        node = Node(tag, names, bad)
+        node = Node(tag, names, bad, doubt)
         stack[-1].items.append(node)
         stack[-1].kids.append(node)
         where.setdefault(tag, []).append(len(stack))
@@ -189,110 +226,221 @@ def signature(root: Node) -> tuple[int, int]:
     return int.from_bytes(hashlib.blake2b("\n".join(labels).encode(), digest_size=8).digest(), "big", signed=True), len(labels)
 
 
-def match(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: the number of pairs of the best matching of a and b."""
-    if a.label != b.label:
-        return 0
-    if not a.kids or not b.kids:
-        return 1
-    key = (id(a), id(b))
-    if key not in memo:
-        todo = [(a, b)]  # a stack of its own, as trees may be of any depth
+class Forms:
+    """Forms of subtrees (label and forms of the children) as integers, and the
+    best matching of two forms. Equal subtrees share a form, so a repeated
+    table row or paragraph is compared once."""
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.kids: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def note(self, nodes: list[Node]) -> None:
+        """Sets the form of each node of a tree (numbered, in page order)."""
+        for n in reversed(nodes):
+            key = (n.label, *(k.form for k in n.kids))
+            form = self.ids.get(key)
+            if form is None:
+                form = self.ids[key] = len(self.labels)
+                self.labels.append(n.label)
+                self.kids.append(np.array(key[1:], np.int64))
+                self.sizes.append(1 + sum(self.sizes[k] for k in key[1:]))
+            n.form = form
+
+    def score(self, a: int, b: int) -> int | None:
+        """The pairs of the best matching of two forms, if it needs no more work."""
+        if a == b:
+            return self.sizes[a]
+        if self.labels[a] != self.labels[b]:
+            return 0
+        if not len(self.kids[a]) or not len(self.kids[b]):
+            return 1
+        return self.memo.get((a, b))
+
+    def gains(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(matrix over the distinct forms, rows of x, columns of y) of known scores."""
+        p, row = np.unique(x, return_inverse=True)
+        q, col = np.unique(y, return_inverse=True)
+        return np.array([[self.score(s, t) for t in q.tolist()] for s in p.tolist()], np.int64), row, col
+
+    def fill(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Finds the scores of all forms of x with those of y, by a stack of its own, as trees may be of any depth."""
+        todo = [(s, t) for s in set(x.tolist()) for t in set(y.tolist()) if self.score(s, t) is None]
         while todo:
-            x, y = todo[-1]
-            p, q = _middle(x.kids, y.kids)
-            deeper = [(s, t) for s in p if s.kids for t in q if t.kids and s.label == t.label and (id(s), id(t)) not in memo]
+            a, b = todo[-1]
+            if (a, b) in self.memo:
+                todo.pop()
+                continue
+            lo, n, m = ends(self.kids[a], self.kids[b])
+            p, q = self.kids[a][lo:n], self.kids[b][lo:m]
+            deeper = [(s, t) for s in set(p.tolist()) for t in set(q.tolist()) if self.score(s, t) is None]
             if deeper:
                 todo += deeper
-            else:
-                memo[id(x), id(y)] = 1 + _table(x.kids, y.kids, memo)[0]
-                todo.pop()
-    return memo[key]
+                continue
+            same = sum(self.sizes[k] for k in self.kids[a][:lo].tolist()) + sum(self.sizes[k] for k in self.kids[a][n:].tolist())
+            self.memo[a, b] = 1 + same + (int(last_row(*self.gains(p, q))[-1]) if len(p) and len(q) else 0)
+            todo.pop()
+
+
+def ends(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(lo, n, m): x[:lo] equals y[:lo] and x[n:] equals y[m:]; equal ends are part of a best matching."""
+    k = min(len(x), len(y))
+    differ = np.flatnonzero(x[:k] != y[:k])
+    lo = int(differ[0]) if len(differ) else k
+    k -= lo
+    differ = np.flatnonzero(x[len(x) - k :][::-1] != y[len(y) - k :][::-1])
+    tail = int(differ[0]) if len(differ) else k
+    return lo, len(x) - tail, len(y) - tail
 
 
-def _middle(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node]]:
-    """Two lists without the ends that ``_table`` matches at once."""
-    lo, n, m = 0, len(x), len(y)
-    while lo < n and lo < m and x[lo].label == y[lo].label and not (x[lo].kids or y[lo].kids):
-        lo += 1
-    while n > lo and m > lo and x[n - 1].label == y[m - 1].label and not (x[n - 1].kids or y[m - 1].kids):
-        n, m = n - 1, m - 1
-    return x[lo:n], y[lo:m]
+def last_row(gain: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Best sums of all rows with the first 0, 1, ... columns, in order."""
+    best = np.zeros(len(col) + 1, np.int64)
+    for r in row:
+        step = best.copy()
+        np.maximum(best[1:], best[:-1] + gain[r][col], out=step[1:])
+        best = np.maximum.accumulate(step)
+    return best
 
 
-def _table(x: list[Node], y: list[Node], memo: dict) -> tuple[int, list]:
-    """(best sum, pairs) over two lists of children, in order.
+def pairs_of(x: np.ndarray, y: np.ndarray, forms: Forms) -> list[tuple[int, int]]:
+    """The pairs (place in x, place in y) of a best order-keeping matching of two lists of forms.
 
-    Childless nodes of one label at both ends are matched at once, which
-    never costs a better matching; the rest is a dynamic program.
+    Halves of x are solved with the part of y that suits them best, so the
+    memory is linear in the lists at any length.
     """
-    lo, n, m = 0, len(x), len(y)
-    pairs = []
-    while lo < n and lo < m and x[lo].label == y[lo].label and not (x[lo].kids or y[lo].kids):
-        pairs.append((x[lo], y[lo]))
-        lo += 1
-    tail = []
-    while n > lo and m > lo and x[n - 1].label == y[m - 1].label and not (x[n - 1].kids or y[m - 1].kids):
-        n, m = n - 1, m - 1
-        tail.append((x[n], y[m]))
-    total = len(pairs) + len(tail)
-    p, q = x[lo:n], y[lo:m]
-    if p and q:
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        gain = [[match(s, t, memo) for t in q] for s in p]
-        for i in range(len(p)):
-            for j in range(len(q)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
-        total += best[-1][-1]
-        i, j, mid = len(p), len(q), []
-        while i and j:
-            if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                mid.append((p[i], q[j]))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        pairs += mid[::-1]
-    return total, pairs + tail[::-1]
-
-
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The pairs of the best matching of two trees with equal root labels."""
-    memo: dict = {}
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        lo, hi_x, hi_y = ends(x[i:n], y[j:m])
+        out += [(i + k, j + k) for k in range(lo)] + [(i + k, j + k + hi_y - hi_x) for k in range(hi_x, n - i)]
+        i, n, j, m = i + lo, i + hi_x, j + lo, j + hi_y
+        if i == n or j == m:
+            continue
+        forms.fill(x[i:n], y[j:m])
+        gain, row, col = forms.gains(x[i:n], y[j:m])
+        if n - i == 1:
+            found = gain[row[0]][col]
+            if found.max() > 0:
+                out.append((i, j + int(found.argmax())))
+            continue
+        half = (n - i) // 2
+        cut = int((last_row(gain, row[:half], col) + last_row(gain, row[half:][::-1], col[::-1])[::-1]).argmax())
+        todo += [(i, i + half, j, j + cut), (i + half, n, j + cut, m)]
+    return sorted(out)
+
+
+def align(a: Node, b: Node, forms: Forms | None = None) -> list[tuple[Node, Node]]:
+    """The pairs of the best matching of two trees with equal root labels; given
+    ``forms`` already hold ``a``."""
+    if forms is None:
+        forms = Forms()
+        forms.note(number(a))
+    forms.note(number(b))
     out, todo = [], [(a, b)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        if pair[0].kids and pair[1].kids:
-            todo += _table(pair[0].kids, pair[1].kids, memo)[1]
+        p, q = todo.pop()
+        out.append((p, q))
+        if p.kids and q.kids:
+            x, y = np.array([k.form for k in p.kids], np.int64), np.array([k.form for k in q.kids], np.int64)
+            todo += [(p.kids[i], q.kids[j]) for i, j in pairs_of(x, y, forms) if p.kids[i].label == q.kids[j].label]
     return out
 
 
-def content_root(ref: list[Node], varying: list[float]) -> int:
-    """The index of the reference node that holds the content.
-
-    ``varying``: mean length of the varying text of each node itself.
+class Wrapper(NamedTuple):
+    """What is known of a reference: the content root, nodes whose text is
+    template, nodes whose own text goes whatever it is, whole nodes that go, and
+    whether class words count."""
+
+    root: int
+    constant: list[bool]
+    hollow: list[bool]
+    drop: list[bool]
+    doubts: bool
+
+
+def alone(nodes: list[Node]) -> list[dict]:
+    """The evidence of a page taken by itself: all its text varies."""
+    return [{"matched": 1, "same": 0, "filled": 1, "distinct": 1.0, "length": len(n.text()), "linked": n.linked, "links": n.links} for n in nodes]
+
+
+def induce(ref: list[Node], stats: list[dict]) -> Wrapper:
+    """The wrapper of a reference from the evidence of each of its nodes."""
+    pages = max(1, stats[0]["matched"])
+    constant = [s["matched"] >= MIN_PAGES and s["same"] >= MIN_SAME * s["matched"] for s in stats]
+    pool = [s["filled"] >= MIN_PAGES and s["distinct"] <= MAX_POOL * s["filled"] for s in stats]
+    own = [0.0 if c or p else max(0, s["length"] - s["linked"]) / pages for c, p, s in zip(constant, pool, stats)]
+    doubts = True
+    root, total = content_root(ref, own, [n.bad or n.doubt for n in ref])
+    if not total and any(n.doubt for n in ref):
+        doubts = False
+        root, total = content_root(ref, own, [n.bad for n in ref])
+    inside = subtree(ref, root)
+    if 10 * total < sum(len(ref[i].text()) for i in inside if constant[i]):
+        constant = [False] * len(ref)
+    drop, hollow = [n.bad or doubts and n.doubt for n in ref], [False] * len(ref)
+    if ref[root].tag not in ("article", "main"):
+        hollow = pool
+        sums = [[s["length"], s["linked"], s["links"]] for s in stats]
+        for n in reversed(ref):
+            sums[n.index] = [a + sum(sums[k.index][j] for k in n.kids) for j, a in enumerate(sums[n.index])]
+            length, linked, links = sums[n.index]
+            if n.kids and n.index in inside and n.index != root and linked > MAX_LINKED * length and links >= 3 * pages:
+                drop[n.index] = True
+    return Wrapper(root, constant, hollow, drop, doubts)
+
+
+def subtree(ref: list[Node], top: int) -> range:
+    """The indexes of a node and all nodes below it."""
+    last = ref[top]
+    while last.kids:
+        last = last.kids[-1]
+    return range(top, last.index + 1)
+
+
+def content_root(ref: list[Node], own: list[float], rejected: list[bool]) -> tuple[int, float]:
+    """(index of the node that holds the content, weight of the content in it).
+
+    ``own`` is the weight of each node's own text; what lies under a rejected node has
+    none. The element whose own and childless children's weight is greatest is
+    the kernel. It grows to an ancestor that adds text in headings, paragraphs and
+    the like, or a quarter of its weight in any element. A tie-break by name goes
+    before: the only article (else main) element, if a quarter of all is in it.
     """
-    named = [n.index for n in ref if n.tag in ("article", "main") and not n.bad]
-    total = [0.0] * len(ref)
-    for n in reversed(ref):
-        total[n.index] = 0.0 if n.bad else varying[n.index] + sum(total[k.index] for k in n.kids)
-    if named:
-        best = max(named, key=lambda i: (total[i], -i))
-        # the outermost of equals; several articles side by side are under one parent
-        many = [i for i in named if ref[i].tag == "article" and total[i] > 0]
-        if len(many) < 2 or total[best] >= 0.5 * total[0]:
-            return best
-    at = ref[0]
-    while True:
-        heavy = [k for k in at.kids if total[k.index] > 0.8 * total[at.index] > 0]
-        if not heavy:
-            return at.index
-        at = heavy[0]
-
-
-def blocks(node: Node, drop: set[int]) -> list[str]:
+    up, dead = [-1] * len(ref), list(rejected)
+    for n in ref:
+        for k in n.kids:
+            up[k.index] = n.index
+            dead[k.index] = dead[k.index] or dead[n.index]
+    own = [0.0 if d else w for d, w in zip(dead, own)]
+    total, prose = own[:], [w * (n.tag in _WRITING) for n, w in zip(ref, own)]
+    for i in range(len(ref) - 1, 0, -1):
+        total[up[i]] += total[i]
+        prose[up[i]] += prose[i]
+    if not total[0]:
+        return 0, 0.0
+    for tag in ("article", "main"):  # the only one, unless most lies elsewhere
+        named = [n.index for n in ref if n.tag == tag and total[n.index] and not any(ref[a].tag == tag for a in above(up, n.index))]
+        if len(named) == 1 and total[named[0]] >= 0.25 * total[0]:
+            return named[0], total[named[0]]
+    kernel = [own[n.index] + sum(own[k.index] for k in n.kids if not k.kids) if n.kids or not n.index else 0.0 for n in ref]
+    best = at = max(range(len(ref)), key=lambda i: (kernel[i], -i))
+    for at in above(up, at):
+        if prose[at] > prose[best] or total[at] >= 1.25 * total[best]:
+            best = at
+    return best, total[best]
+
+
+def above(up: list[int], at: int) -> Iterator[int]:
+    while up[at] >= 0:
+        at = up[at]
+        yield at
+
+
+def blocks(node: Node, drop: set[int], doubts: bool = True) -> list[str]:
     """Texts of the blocks under a node, in page order, without dropped nodes."""
     out: list[str] = []
     todo: list = [node]
@@ -310,7 +458,7 @@ def blocks(node: Node, drop: set[int]) -> list[str]:
             run.append(x)
         elif x is None:
             flush()
-        elif id(x) not in drop and not (x.bad and x is not node):
+        elif x is node or not (id(x) in drop or x.bad or doubts and x.doubt):
             flush()
             todo.append(None)
             todo += x.items[::-1]
@@ -320,38 +468,44 @@ def blocks(node: Node, drop: set[int]) -> list[str]:
     return out
 
 
-def extract(page: str, ref: list[Node] | None, constant: list[bool], root: int) -> str:
-    """The main text of a page, given its host's wrapper.
+def extract(page: str, ref: list[Node] | None, constant: list[bool], root: int, wrapper: Wrapper | None = None, forms: Forms | None = None) -> str:
+    """The main text of a page, given its host's reference and wrapper.
 
-    Where that has no content root (-1) the page's own is taken.
+    Without a wrapper, or where that has no content root (-1), the page is judged by
+    itself.
     """
     tree = parse(page)
+    wrapper = wrapper or Wrapper(root, constant, [False] * len(constant), [False] * len(constant), True)
     drop, start = set(), None
-    if ref is not None:
-        for r, n in align(ref[0], tree):
-            if r.index == root:
+    if ref is not None and wrapper.root >= 0:
+        for r, n in align(ref[0], tree, forms):
+            if r.index == wrapper.root:
                 start = n
-            if constant[r.index] and n.text() == ref[r.index].text():
+            if wrapper.hollow[r.index] or wrapper.constant[r.index] and n.text() == r.text():
                 n.items = [x for x in n.items if not isinstance(x, str)]
-            if r.bad:
+            if wrapper.drop[r.index]:
                 drop.add(id(n))
     if start is None:
         nodes = number(tree)
-        start = nodes[content_root(nodes, [float(len(n.text())) for n in nodes])]
-    return " ".join(blocks(start, drop))
+        wrapper = induce(nodes, alone(nodes))
+        start, drop = nodes[wrapper.root], {id(n) for n, d in zip(nodes, wrapper.drop) if d}
+    return " ".join(blocks(start, drop, wrapper.doubts))
 
 
 class _Refs:
-    """Parsed references of the hosts seen by a task (a bounded number)."""
+    """Parsed references of the hosts seen by a task (a bounded number), and their forms."""
 
     def __init__(self):
         self.held: dict[str, list[Node]] = {}
+        self.wrappers: dict[str, Wrapper] = {}
+        self.forms = Forms()
 
     def get(self, host: str, page: str) -> list[Node]:
+        if len(self.held) > 200 or len(self.forms.labels) + len(self.forms.memo) > 200_000:
+            self.__init__()
         if host not in self.held:
-            if len(self.held) > 200:
-                self.held.clear()
             self.held[host] = number(parse(page))
+            self.forms.note(self.held[host])
         return self.held[host]
 
 
@@ -364,29 +518,37 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """(host, sample): the reference page of each host of pages (page_id, html, host)."""
+    """(host, n, sample): the number of pages and the reference page of each host of pages
+    (page_id, html, host) with more than ``MIN_PAGES`` pages."""
     key = F.struct("page_id", F.length("html").alias("size"), F.xxhash64("html").alias("hash"))
     keyed = pages.select("html", "host", "page_id", key["size"].alias("size"), key["hash"].alias("hash"))
     fields = {f.name: f.dataType.simpleString() for f in keyed.schema}
     shapes = keyed.mapInArrow(_shapes, "shape long, labels int, " + ", ".join(f"{k} {fields[k]}" for k in ("host", "page_id", "size", "hash")))
     counts = shapes.groupBy("host", "shape", "labels").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "size", "hash")).alias("first"))
     rank = F.struct(F.col("labels") > 0, "n", "labels", "shape")
-    picked = runtime.written(counts.groupBy("host").agg(F.max_by("first", rank).alias("first")), "wrapper-picks")
-    p = _small(picked.select(F.col("host").alias("__host"), "first.*").withColumnsRenamed({"page_id": "__id", "size": "__size", "hash": "__hash"}), "length(__host) + 40")
-    same = (F.col("host") == F.col("__host")) & F.col("page_id").eqNullSafe(F.col("__id")) & F.col("size").eqNullSafe(F.col("__size")) & (F.col("hash") == F.col("__hash"))
-    return keyed.join(p, same).groupBy("host").agg(F.min("html").alias("sample"))
+    picked = counts.groupBy("host").agg(F.sum("n").alias("n"), F.max_by("first", rank).alias("first")).where(F.col("n") > MIN_PAGES)
+    p = runtime.written(picked.select(F.col("host").alias("__host"), "n", "first.*").withColumnsRenamed({"page_id": "__id", "size": "__size", "hash": "__hash"}), "wrapper-picks")
+    maybe, _ = runtime.split_by_bitmap(keyed, "hash", runtime.bitmap(p, "__hash"))
+    same = (F.col("host") == F.col("__host")) & F.col("page_id").eqNullSafe(F.col("__id")) & F.col("size").eqNullSafe(F.col("__size")) & F.col("hash").eqNullSafe(F.col("__hash"))
+    return maybe.join(p, same).groupBy("host").agg(F.max("n").alias("n"), F.min("html").alias("sample"))
+
+
+_COUNTS = ("matched", "same", "filled", "length", "linked", "links")
+_EVIDENCE = "host string, node int, " + ", ".join(f"{c} long" for c in _COUNTS) + ", b0 long, b1 long, b2 long, b3 long"
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, matched, same, length) of a task's pages."""
+    """Sums over a task's pages for each node of each reference."""
     refs, sums = _Refs(), {}
+    names = ["host", "node", *_COUNTS, "b0", "b1", "b2", "b3"]
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 10]
 
     def flush() -> pa.RecordBatch:
-        rows = [(host, i, *s) for host, nodes in sums.items() for i, s in enumerate(nodes) if s[0]]
+        words = lambda bits: [((bits >> 64 * k & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for k in range(4)]
+        rows = [(host, i, *s[:6], *words(s[6])) for host, nodes in sums.items() for i, s in enumerate(nodes) if s[0]]
         sums.clear()
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "node", "matched", "same", "length"])
+        cols = list(zip(*rows)) or [()] * 12
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     for batch in batches:
         for host, page, sample in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -394,42 +556,78 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ref = refs.get(host, sample)
             if page == sample:
                 continue
-            found = sums.setdefault(host, [[0, 0, 0] for _ in ref])
-            for r, n in align(ref[0], parse(page)):
-                text = n.text()
-                s = found[r.index]
+            found = sums.setdefault(host, [[0] * 7 for _ in ref])
+            for r, n in align(ref[0], parse(page), refs.forms):
+                text, s = n.text(), found[r.index]
                 s[0] += 1
-                if text == r.text():
-                    s[1] += 1
-                else:
-                    s[2] += len(text)
+                s[1] += text == r.text()
+                s[2] += text != ""
+                s[3] += len(text)
+                s[4] += n.linked
+                s[5] += n.links
+                if text:
+                    s[6] |= 1 << int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=2).digest()) % BITS
         if len(sums) > 500:
             yield flush()
     yield flush()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of rows (page_id, url, html, host, sample, stats); without a sample a page is judged by itself."""
     refs = _Refs()
     for batch in batches:
         texts = []
         for host, page, sample, stats in zip(batch.column(3).to_pylist(), batch.column(2), batch.column(4), batch.column(5)):
             page, sample = page.as_py() or "", sample.as_py()
-            ref = refs.get(host, sample or "")
-            if ref[0].hits == 0:  # the wrapper is made once for each reference
-                n = {s["node"]: s for s in stats.as_py() or ()}
-                constant = [i in n and n[i]["matched"] >= MIN_PAGES and n[i]["same"] >= MIN_SAME * n[i]["matched"] for i in range(len(ref))]
-                varying = [n[i]["length"] / n[0]["matched"] if i in n else 0.0 for i in range(len(ref))] if n else [float(len(x.text())) for x in ref]
-                ref[0].hits = 1
-                # a reference below whose root nothing varies says nothing of where the content is
-                ref[0].items = [constant, content_root(ref, varying) or (0 if any(varying[1:]) else -1)]
-            constant, root = ref[0].items
-            texts.append(extract(page, ref, constant, root))
+            if sample is None:
+                texts.append(extract(page, None, [], -1))
+                continue
+            ref = refs.get(host, sample)
+            if host not in refs.wrappers:  # made once for each reference
+                refs.wrappers[host] = _wrapper(ref, stats.as_py() or ())
+            wrapper = refs.wrappers[host]
+            texts.append(extract(page, ref, [], -1, wrapper, refs.forms))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def _small(df: DataFrame, size: str) -> DataFrame:
-    total = df.agg(F.coalesce(F.sum(F.expr(size)), F.lit(0))).collect()[0][0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+def _wrapper(ref: list[Node], stats: list[dict]) -> Wrapper:
+    none = dict.fromkeys(_COUNTS, 0) | {"distinct": 0.0}
+    by_node = {s["node"]: s | {"distinct": _distinct(s)} for s in stats}
+    wrapper = induce(ref, [by_node.get(i, none) for i in range(len(ref))])
+    # a reference below whose root nothing varies says nothing of where the content is
+    useful = by_node.get(0, none)["matched"] >= MIN_PAGES and any(s["length"] and s["same"] < s["matched"] for i, s in by_node.items() if i)
+    return wrapper if useful else wrapper._replace(root=-1)
+
+
+def _distinct(s: dict) -> float:
+    """The number of different texts, estimated from the bits that are set."""
+    empty = BITS - sum((s[f"b{k}"] & (1 << 64) - 1).bit_count() for k in range(4))
+    return -BITS * math.log(empty / BITS) if empty else math.inf
+
+
+def _with_references(pages: DataFrame, refs: DataFrame, size: str) -> DataFrame:
+    """``pages`` with the columns of their host's reference, null for hosts without.
+
+    The references of the hosts with most pages are broadcast, down to the power of
+    two of pages at which they would exceed ``BROADCAST_BYTES``.
+    """
+    totals = refs.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.sum(F.expr(size)).alias("bytes")).orderBy(F.desc("power")).collect()
+    held, edge = 0, None
+    for row in totals:
+        held += row.bytes
+        if held > BROADCAST_BYTES:
+            edge = 2 ** (row.power + 1)
+            break
+    refs = refs.withColumnRenamed("host", "__host")
+    same = F.col("host") == F.col("__host")
+    if edge is None:
+        return pages.join(F.broadcast(refs), same, "left").drop("__host", "n")
+    large, small = refs.where(F.col("n") >= edge), refs.where(F.col("n") < edge)
+    names = F.broadcast(large.select("__host"))
+    shuffled, lone = runtime.split_by_bitmap(pages.join(names, same, "left_anti"), "host", runtime.bitmap(small, "__host"))
+    parts = [pages.join(F.broadcast(large), same), shuffled.join(small, same, "left")]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in refs.schema if f.name not in ("__host", "n")]
+    return parts[0].unionByName(parts[1]).drop("__host", "n").unionByName(lone.select("*", *empty))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -438,11 +636,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     refs = runtime.written(references(pages), "wrapper-references")
-    held = _small(refs, "coalesce(length(sample), 0) + 100")
-    evidence = pages.join(held, "host").select("host", "html", "sample").mapInArrow(_evidence, "host string, node int, matched long, same long, length long")
-    sums = evidence.groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"), F.sum("length").alias("length"))
-    stats = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "matched", "same", "length"))).alias("stats"))
+    aligned = _with_references(pages, refs, "coalesce(length(sample), 0) + 100").where("sample is not null")
+    evidence = aligned.select("host", "html", "sample").mapInArrow(_evidence, _EVIDENCE)
+    sums = evidence.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in _COUNTS], *[F.bit_or(f"b{k}").alias(f"b{k}") for k in range(4)])
+    stats = sums.groupBy("host").agg(F.collect_list(F.struct("node", *_COUNTS, "b0", "b1", "b2", "b3")).alias("stats"))
     wrappers = runtime.written(refs.join(stats, "host", "left"), "wrappers")
-    texts = pages.join(_small(wrappers, "coalesce(length(sample), 0) + 100 + 40 * coalesce(size(stats), 0)"), "host").select("page_id", "url", "html", "host", "sample", "stats")
+    texts = _with_references(pages, wrappers, "coalesce(length(sample), 0) + 100 + 100 * coalesce(size(stats), 0)").select("page_id", "url", "html", "host", "sample", "stats")
     texts = texts.mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))
