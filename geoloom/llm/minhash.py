@@ -7,22 +7,26 @@ one permutation, circularly shifted, makes all coordinates. ``BANDS`` bands
 of ``ROWS`` coordinates propose candidates: a pair of similarity 0.8 is
 missed with probability (1 - 0.8**4)**32 < 5e-8.
 
-1. equal sets collapse into classes (one representative, the least id);
-2. representatives that share a band key are joined to the least of the
-   key (a star, not all pairs); the components of that graph are families;
-3. a family's documents are compared exactly, in blocks of ``BLOCK``
-   documents and ``BLOCK_SHINGLES`` shingles on average: a block product counts intersections, and only a spanning
-   forest of its links leaves the task. First every block by itself and
-   against the family's first block; then only those pairs of blocks that
-   still hold different components;
-4. the components of all links give the result.
+1. equal sets collapse into classes, the nodes of all that follows;
+2. classes that share a band key are joined to the least of the key (a star,
+   not all pairs); the components of that graph are families;
+3. a family's classes are compared exactly in blocks of ``BLOCK`` classes and
+   ``BLOCK_SHINGLES`` shingles on average, each together with the family's
+   ``PIVOTS`` classes of most shared keys: products of 0/1 matrices count the
+   intersections, and only a spanning forest of the links leaves the task.
+   A family of one block is then settled, and so is one that has become one component;
+4. in the others tiles that hold different components and sizes that can
+   still reach the threshold (a fifth apart at most) are compared;
+5. the components of all links give the result.
 
 Equality of shingles and of sets is equality of 64 and 128-bit hashes.
 
 Defined results: a null text or one without words has an empty set and is
-its own component; of rows with a repeated id each gives its own output
-row; rows with a null id are dropped from linking and come out as their own
-(null) component; an empty table gives an empty table.
+its own component; rows are the documents, so of rows with a repeated id each is
+linked by its own text and gives its own output row (all rows of the id that
+names a component are kept); rows with a null id are linked with nothing and
+come out with a null component, kept; an empty table gives an empty table; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
@@ -40,7 +44,9 @@ from .textkit import Words, fold, mix, whole
 
 SIZE, THRESHOLD = 4, 80
 BANDS, ROWS = 32, 4
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+BLOCK, BLOCK_SHINGLES, PIVOTS = 64, 400_000, 32
+#: Classes of a tile, about.
+TILE = 512
 _COLUMNS = 2048
 V = np.uint32
 
@@ -102,7 +108,7 @@ def _profile(size: int, bands: int, rows: int):
                     keys.append(np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["doc", "n", "low", "high", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["doc", "hash", "n", "low", "high", "keys"])
 
     return run
 
@@ -117,7 +123,7 @@ def fold_rows(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["doc", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["node", "grams"])
 
     return run
 
@@ -169,84 +175,114 @@ def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _compare(threshold: int):
-    """One unit (a block, or two blocks of a family) to links (a, b)."""
+    """One unit (a block with its family's pivots, or two tiles) to links (a, b)."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = table.column("doc").to_numpy()
+        nodes = table.column("node").to_numpy()
         side = table.column("side").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         i, j = links(sets, left, right, threshold)
-        kept = forest(len(docs), zip(left[i].tolist(), right[j].tolist()))
-        a, b = (docs[[p[k] for p in kept]] if kept else np.zeros(0, np.int64) for k in (0, 1))
+        kept = forest(len(nodes), zip(left[i].tolist(), right[j].tolist()))
+        a, b = (nodes[[p[k] for p in kept]] if kept else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def candidate_stars(profiles: DataFrame) -> DataFrame:
-    """(a, b): representatives joined to the least one under a shared band key."""
-    bands = profiles.select(F.col("rep").alias("a"), F.explode("keys").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").drop("most")
-    return bands.join(heads, "key").where("a <> b").select("a", "b").distinct()
+def compared(units: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of units (family, block, other) of rows (side, node, grams)."""
+    return units.groupBy("family", "block", "other").applyInArrow(_compare(threshold), "a long, b long")
 
 
-def family_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+def candidate_stars(classes: DataFrame) -> DataFrame:
+    """(a, b, shared): classes joined to the least one under a shared band key, and
+    how many classes share those keys."""
+    bands = classes.select(F.col("node").alias("a"), F.explode("keys").alias("key"))
+    heads = bands.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most"), F.count("*").alias("size")).where("b <> most").drop("most")
+    return bands.join(heads, "key").where("a <> b").groupBy("a", "b").agg(F.sum("size").alias("shared"))
+
+
+def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
     """Exact links (a, b) that span every component inside the families (node, component).
 
-    ``sizes`` (rep, n) has the number of shingles of each node.
+    ``docs`` (doc, hash, text); ``classes`` (node, doc, hash, n, ...).
     """
-    marked, _ = runtime.split_by_bitmap(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")), "doc", runtime.bitmap(families, "node"))
-    texts = marked.join(families, F.col("doc") == F.col("node"), "left_semi").dropDuplicates(["doc"])
-    grams = texts.mapInArrow(_sets(size), "doc long, grams binary")
-    sized = families.join(sizes, F.col("node") == F.col("rep"), "left").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    # place in the family by a hash: blocks of about BLOCK documents
-    placed = families.join(sized, "component").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = runtime.written(grams.join(placed, F.col("doc") == F.col("node")).select("doc", "grams", F.col("component").alias("family"), "block", "blocks"), "minhash-sets")
-    own = held.select("family", "block", F.lit(-1).alias("other"), F.lit(0).cast("byte").alias("side"), "doc", "grams")
+    members = families.join(classes.select("node", "doc", "hash", "n"), "node")
+    whole = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select(F.col("component").alias("family"), blocks.alias("blocks"))
+    placed = members.withColumnRenamed("component", "family").join(whole, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = runtime.written(placed, "minhash-families")
+    key = F.xxhash64("doc", "hash")
+    marked, _ = runtime.split_by_bitmap(docs.withColumn("key", key), "key", runtime.bitmap(placed.select(key.alias("key")), "key"))
+    own = placed.select("node", F.col("doc").alias("own_doc"), F.col("hash").alias("own_hash"))
+    texts = marked.join(own, (F.col("doc") == F.col("own_doc")) & (F.col("hash") == F.col("own_hash"))).select("node", "text").dropDuplicates(["node"])
+    grams = texts.mapInArrow(_sets(size), "node long, grams binary")
+    held = runtime.written(grams.join(placed, "node").select("node", "grams", "n", "family", "block", "blocks"), "minhash-sets")
+    unit = ["family", "block", "other", "side", "node", "grams"]
+    units = held.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit)
     many = held.where("blocks > 1")
-    against = many.where("block > 0").select("family", "block", F.lit(0).alias("other"), F.lit(0).cast("byte").alias("side"), "doc", "grams")
-    pivots = many.where("block = 0").select("family", F.explode(F.expr("sequence(1, blocks - 1)")).alias("block"), F.lit(0).alias("other"), F.lit(1).cast("byte").alias("side"), "doc", "grams")
-    compare = lambda units: units.groupBy("family", "block", "other").applyInArrow(_compare(threshold), "a long, b long")
-    found = runtime.cut(compare(own.unionByName(against).unionByName(pivots)))
-    if many.where("blocks > 2").isEmpty():
+    some = not placed.where("blocks > 1").isEmpty()
+    if some:
+        shared = stars.select(F.explode(F.array("a", "b")).alias("node"), "shared").groupBy("node").agg(F.sum("shared").alias("shared"))
+        order = Window.partitionBy("family").orderBy(F.desc("shared"), "node")  # limited in each partition before the shuffle
+        pivots = placed.where("blocks > 1").join(shared, "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).select(F.col("node").alias("pivot"))
+        copies = many.join(pivots, F.col("node") == F.col("pivot")).select("family", "node", "grams", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where("block <> home")
+        units = units.unionByName(copies.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit))
+    found = runtime.cut(compared(units, threshold))
+    if not some:
         return found
-    # families of three blocks and more: pairs of blocks that still hold several components
     comp = connected_components(found)
-    state = many.where("blocks > 2").select("family", "blocks", "doc", "grams").join(comp, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
-    big = state.groupBy("family", "component").agg(F.count("*").alias("size"))
-    # members of one component fill blocks of their own, so that equal blocks need no comparison
-    cells = big.withColumn("cell", F.when(F.col("size") >= BLOCK, F.col("component")).otherwise(F.lit(None).cast("long")))
-    state = state.join(cells.drop("size"), ["family", "component"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    state = runtime.written(state.withColumn("tile", F.xxhash64(F.coalesce("cell", F.lit(-1)), "part")).select("family", "tile", F.col("cell"), "doc", "grams"), "minhash-tiles")
-    tiles = state.select("family", "tile", "cell").distinct()
-    pairs = tiles.alias("x").join(tiles.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.tile") < F.col("y.tile")) & ~F.coalesce(F.col("x.cell") == F.col("y.cell"), F.lit(False)))
-    pairs = pairs.select(F.col("x.family").alias("family"), F.col("x.tile").alias("block"), F.col("y.tile").alias("other"))
-    inner = tiles.where("cell is null").select("family", F.col("tile").alias("block"), F.col("tile").alias("other"))
-    first = state.join(pairs.unionByName(inner).select("family", F.col("block").alias("tile"), "other"), ["family", "tile"]).select("family", F.col("tile").alias("block"), "other", F.lit(0).cast("byte").alias("side"), "doc", "grams")
-    second = state.join(pairs.select("family", "block", F.col("other").alias("tile")), ["family", "tile"]).select("family", "block", F.col("tile").alias("other"), F.lit(1).cast("byte").alias("side"), "doc", "grams")
-    return found.unionByName(compare(first.unionByName(second)))
+    state = many.select("family", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
+    open_ = parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
+    parts = parts.join(open_, "family", "left_semi")
+    if parts.isEmpty():
+        return found
+    # a component of many classes has tiles of its own, which need no comparison among each other; sizes
+    # n and m can only be linked if their steps of a ratio of the threshold are equal or neighbours
+    parts = parts.select("family", "component", F.when(F.col("size") >= TILE, F.col("component")).alias("cell"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)))
+    cells = state.join(parts, ["family", "component"]).withColumn("step", step)
+    sizes = cells.groupBy("family", "cell", "step").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / BLOCK_SHINGLES)).alias("tiles"))
+    cells = cells.alias("c").join(sizes.alias("s"), (F.col("c.family") == F.col("s.family")) & F.col("c.cell").eqNullSafe(F.col("s.cell")) & (F.col("c.step") == F.col("s.step")))
+    tile = F.xxhash64(F.coalesce("c.cell", F.lit(-1)), "c.step", F.pmod(F.xxhash64("c.node"), F.col("tiles")))
+    cells = cells.select("c.family", "c.node", "c.cell", "c.step", tile.alias("tile"))
+    tiled = runtime.written(many.select("node", "grams").join(cells, "node"), "minhash-tiles")
+    tiles = tiled.select("family", "tile", "cell", "step").distinct()
+    near = (F.col("x.family") == F.col("y.family")) & (F.col("x.tile") < F.col("y.tile")) & (F.abs(F.col("x.step") - F.col("y.step")) <= 1)
+    pairs = tiles.alias("x").join(tiles.alias("y"), near & ~F.coalesce(F.col("x.cell") == F.col("y.cell"), F.lit(False)))
+    pairs = runtime.cut(pairs.select(F.col("x.family").alias("family"), F.col("x.tile").alias("block"), F.col("y.tile").alias("other")))
+    alone = tiles.where("cell is null").select("family", F.col("tile").alias("block"), F.col("tile").alias("other"))
+    first = tiled.join(pairs.unionByName(alone).withColumn("tile", F.col("block")), ["family", "tile"]).withColumn("side", F.lit(0).cast("byte"))
+    second = tiled.join(pairs.withColumn("tile", F.col("other")), ["family", "tile"]).withColumn("side", F.lit(1).cast("byte"))
+    return found.unionByName(compared(first.select(unit).unionByName(second.select(unit)), threshold))
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc, hash, n, component), a row for each row of ``docs``; ``hash`` is xxhash64 of the text."""
+    docs = runtime.bounded_batches(docs)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("hash"))
+    profiles = runtime.written(docs.mapInArrow(_profile(size, BANDS, ROWS), "doc long, hash long, n long, low long, high long, keys array<long>"), "minhash-profiles")
+    linkable = profiles.where("n > 0 and doc is not null")
+    equal = linkable.groupBy("n", "low", "high").agg(F.min(F.struct("doc", "hash")).alias("rep"), F.min_by("keys", "doc").alias("keys"))
+    classes = runtime.written(equal.select(F.monotonically_increasing_id().alias("node"), "rep.doc", "rep.hash", "n", "low", "high", "keys"), "minhash-classes")
+    stars = runtime.cut(candidate_stars(classes.select("node", "keys")))
+    families = connected_components(stars)
+    comp = connected_components(family_links(docs, families, stars, classes, size, threshold))
+    named = classes.select("node", "doc", "n", "low", "high").join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    least = named.groupBy("part").agg(F.min("doc").alias("component"))
+    named = named.join(least, "part").select("n", "low", "high", "component")
+    rows = profiles.select("doc", "hash", "n", "low", "high").join(named, ["n", "low", "high"], "left")
+    return rows.select("doc", "hash", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    docs = runtime.bounded_batches(docs)
-    profiles = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_profile(size, BANDS, ROWS), "doc long, n long, low long, high long, keys array<long>")
-    profiles = runtime.written(profiles, "minhash-profiles")
-    linkable = profiles.where("n > 0 and doc is not null")
-    classes = linkable.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
-    stars = runtime.cut(candidate_stars(classes.select("rep", "keys")))
-    families = connected_components(stars)
-    found = family_links(docs, families, classes.select("rep", "n"), id_col, text_col, size, threshold)
-    comp = connected_components(found).select(F.col("node").alias("rep"), "component")
-    reps = linkable.groupBy("n", "low", "high").agg(F.min("doc").alias("rep")).join(comp, "rep", "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component"))
-    return (
-        profiles.select("doc", "n", "low", "high")
-        .join(reps, ["n", "low", "high"], "left")
-        .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    rows = labelled(docs, id_col, text_col, size, threshold)
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = SIZE, threshold: int = THRESHOLD) -> list[tuple[int, int, int, bool]]:

@@ -10,8 +10,9 @@ later round has about ``ROUND_ITEMS`` bins at most, so no task grows with
 the data. A bin's members are bounded by its capacity.
 
 The ids are those of the ``tokenizers`` library for the same vocabulary file
-(tests compare them); the pieces are computed with the ``tiktoken`` form of
-that vocabulary, which is several times faster.
+(tests compare them). They are computed with the ``tiktoken`` form of that
+vocabulary, which is several times faster; its pattern gives up on white space
+of some hundred thousand characters in a row, and such a text goes to ``tokenizers``.
 
 Defined results: a null text is empty and gives the end id alone; rows with
 repeated or null ids are packed each by itself; special-token strings inside
@@ -59,8 +60,22 @@ def _encoder(name: str, encode_special_tokens: bool):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def _plain_encoder(name: str, encode_special_tokens: bool):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    made.encode_special_tokens = encode_special_tokens
+    return made
+
+
 def token_ids(text: str, name: str = TOKENIZER, encode_special_tokens: bool = True) -> np.ndarray:
-    return np.append(_encoder(name, encode_special_tokens).encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
+    try:
+        ids = _encoder(name, encode_special_tokens).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:  # a run of white space too long for the pattern's engine
+        ids = np.array(_plain_encoder(name, encode_special_tokens).encode(text, add_special_tokens=False).ids, "<u4")
+    return np.append(ids, END_ID).astype("<u4")
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
