@@ -13,17 +13,21 @@ Items with fewer than ``SPAN`` tokens have no such window. They are found where
 all their tokens occur in a row: one hash of the whole item is joined with the
 document windows of each length that occurs among these items.
 
-The benchmark's table of hashes is broadcast only up to ``BROADCAST_ROWS``
-rows, which is counted first; beyond that both sides are shuffled.
-
-Defined results: items without tokens and null texts match nothing; rows of one id are
-one document; repeated items match each by its own id; extra columns are not
-read.
+Hits are made distinct by (row, item, start) before any token is compared, and only
+texts with a hit are tokenised again for that. The benchmark's hashes are
+broadcast up to ``BROADCAST_ROWS`` rows of 20 bytes, which are counted first.
+Beyond that a bitmap of them (of fixed size) is broadcast, and only (hash, row,
+place) of windows that pass it are shuffled, never tokens.
+
+Defined results: items without tokens and null texts match nothing; rows of one
+id are judged each by its own tokens, and reported together under the id (a null
+id too); repeated items match each by its own id; extra columns are not read;
+empty tables give an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -32,21 +36,22 @@ SPAN = 11
 #: Positions that count, for each mask.
 MASKS = ((0, 1, 2, 4, 5, 7, 9, 10), (0, 1, 3, 4, 6, 7, 8, 10), (0, 2, 3, 5, 6, 8, 9, 10))
 MIN_SHARE = 50
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+SEED_BITS = 25
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(name, tok, n): token hashes of the texts."""
-    df = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(name), F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+").alias("raw"))
-    df = df.select(name, F.expr("transform(filter(raw, w -> w <> ''), w -> xxhash64(w))").alias("tok"))
+def _tokens(df: DataFrame, text_col: str, *names: Column) -> DataFrame:
+    """(names..., tok, n): token hashes of the texts."""
+    df = df.where(F.col(text_col).isNotNull()).select(*names, F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+").alias("raw"))
+    df = df.select(*[c for c in df.columns if c != "raw"], F.expr("transform(filter(raw, w -> w <> ''), w -> xxhash64(w))").alias("tok"))
     return df.withColumn("n", F.size("tok"))
 
 
-def _seeds(df: DataFrame, keep: list[str], at: str, lengths: list[int] = []) -> DataFrame:
-    """A row for each window and mask, and for each window of ``lengths`` tokens: (keep..., at, seed)."""
+def _seeds(df: DataFrame, keep: str, at: str, lengths: list[int] = []) -> DataFrame:
+    """A row for each window and mask, and for each window of ``lengths`` tokens: (keep, at, seed)."""
     least = min([SPAN, *lengths])
     # a condition inside the generator, as a filter on n would be pushed down and tokenise every text twice
-    windows = df.select(*keep, "n", "tok", F.explode(F.expr(f"case when n >= {least} then sequence(0, n - {least}) end")).alias(at))
+    windows = df.select(keep, "n", "tok", F.explode(F.expr(f"case when n >= {least} then sequence(0, n - {least}) end")).alias(at))
     masked = [F.xxhash64(F.lit(k), *[F.expr(f"tok[{at} + {p}]") for p in mask]) for k, mask in enumerate(MASKS)]
     if lengths:
         exact = [(m, F.xxhash64(F.lit(len(MASKS) + m), *[F.expr(f"tok[{at} + {p}]") for p in range(m)])) for m in lengths]
@@ -54,13 +59,37 @@ def _seeds(df: DataFrame, keep: list[str], at: str, lengths: list[int] = []) ->
         hashes = F.array_compact(F.array(*guarded))
     else:
         hashes = F.array(*masked)
-    return windows.select(*keep, "n", "tok", at, F.explode(hashes).alias("seed"))
+    return windows.select(keep, at, F.explode(hashes).alias("seed"))
 
 
-def _whole_seeds(items: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
-    """A row for each short item: (keep..., at, seed), with the hash of all its tokens."""
+def _whole_seeds(items: DataFrame, keep: str, at: str, lengths: list[int]) -> DataFrame:
+    """A row for each short item: (keep, at, seed), with the hash of all its tokens."""
     seed = F.coalesce(*[F.when(F.col("n") == m, F.xxhash64(F.lit(len(MASKS) + m), *[F.expr(f"tok[{p}]") for p in range(m)])) for m in lengths])
-    return items.where(F.col("n").isin(lengths)).select(*keep, "n", "tok", F.lit(0).alias(at), seed.alias("seed"))
+    return items.where(F.col("n").isin(lengths)).select(keep, F.lit(0).alias(at), seed.alias("seed"))
+
+
+def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(row, doc_id, item_id, item_n, start, matched): every alignment of an item with a row that a
+    hash proposes, and the item's tokens found along it."""
+    items = runtime.written(_tokens(benchmark, item_text, F.col(item_col).alias("item_id"), F.monotonically_increasing_id().alias("item")), "leak-items")
+    lengths = sorted(r.n for r in items.where(f"n between 1 and {SPAN - 1}").select("n").distinct().collect())
+    grams = _seeds(items, "item", "item_at")
+    if lengths:
+        grams = grams.unionByName(_whole_seeds(items, "item", "item_at", lengths))
+    grams = runtime.written(grams, "leak-hashes")
+    keyed = docs.select(runtime.row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    windows = _seeds(_tokens(keyed, "text", F.col("row")), "row", "doc_at", lengths)
+    if grams.count() <= BROADCAST_ROWS:
+        grams = F.broadcast(grams)
+    else:
+        windows, _ = runtime.split_by_bitmap(windows, "seed", runtime.bitmap(grams, "seed", SEED_BITS), SEED_BITS)
+    hits = windows.join(grams, "seed").select("row", "item", (F.col("doc_at") - F.col("item_at")).alias("start")).distinct()
+    hits = runtime.written(hits, "leak-hits")
+    some, _ = runtime.split_by_bitmap(keyed, "row", runtime.bitmap(hits, "row"))
+    aimed = hits.withColumnRenamed("row", "hit_row").join(items.select("item", "item_id", F.col("tok").alias("item_tok"), F.col("n").alias("item_n")), "item")
+    both = aimed.join(_tokens(some, "text", F.col("row"), F.col("doc_id")), F.col("hit_row") == F.col("row"))
+    same = "size(filter(sequence(greatest(0, -start), least(item_n, n - start) - 1), k -> tok[start + k] = item_tok[k]))"
+    return both.select("row", "doc_id", "item_id", "item_n", "start", F.expr(same).alias("matched"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -69,27 +98,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ``at`` is the token of the document where the best alignment of the item
     begins (negative if the item's first tokens lie before the document).
     """
-    items = _tokens(benchmark, item_col, item_text, "item_id").withColumnsRenamed({"tok": "item_tok", "n": "item_n"})
-    lengths = sorted(r.item_n for r in items.where(f"item_n between 1 and {SPAN - 1}").select("item_n").distinct().collect())
-    items = items.withColumnsRenamed({"item_tok": "tok"}).withColumn("n", F.col("item_n"))
-    grams = _seeds(items, ["item_id", "item_n"], "item_at")
-    if lengths:
-        grams = grams.unionByName(_whole_seeds(items, ["item_id", "item_n"], "item_at", lengths))
-    grams = runtime.cut(grams.drop("n").withColumnRenamed("tok", "item_tok"))
-    if grams.count() <= BROADCAST_ROWS:
-        grams = F.broadcast(grams)
-    found = _seeds(_tokens(docs, id_col, text_col, "doc_id"), ["doc_id"], "doc_at", lengths).join(grams, "seed")
-    same = "size(filter(sequence(greatest(0, -start), least(item_n, n - start) - 1), k -> tok[start + k] = item_tok[k]))"
-    hits = found.withColumn("start", F.col("doc_at") - F.col("item_at")).select("doc_id", "item_id", "item_n", "start", F.expr(same).alias("matched"))
+    hits = alignments(docs, benchmark, id_col, text_col, item_col, item_text)
     best = hits.groupBy("doc_id", "item_id", "item_n").agg(F.max("matched").alias("n_matched"), F.min(F.struct((-F.col("matched")).alias("m"), "start")).alias("best"))
     return best.where(f"100 * n_matched >= {MIN_SHARE} * item_n").select("doc_id", "item_id", F.col("n_matched").cast("long"), F.col("item_n").cast("long").alias("n_tokens"), F.col("best.start").cast("long").alias("at"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with their own columns."""
-    bad = runtime.cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct())
-    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(bad, "__leaked"))
-    return clean.unionByName(maybe.join(bad, F.col("doc_id") == F.col("__leaked"), "left_anti"))
+    """The rows that leak no item, with their own columns."""
+    return runtime.without_rows(docs, alignments(docs, benchmark).where(f"100 * matched >= {MIN_SHARE} * item_n").select(F.col("row").alias("__row")))
 
 
 def _sql_seeds(relation: str) -> str:

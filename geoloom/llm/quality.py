@@ -84,8 +84,8 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, measurements, n_lines, fail_bits), one row per input row."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
+    """(doc_id, measurements, n_lines, row_key, fail_bits), one row per input row."""
+    df = docs.select(F.col(id_col).alias("doc_id"), runtime.row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
     df = df.withColumn("q_words", F.expr(f"filter(split(q_text, '[{_WS}]+'), w -> w <> '')"))
     df = _repeat_words(df)
     df = df.withColumn("q_lines", F.expr(f"filter(split(q_text, '\\n'), l -> l rlike '[^{_WS}]')"))
@@ -97,6 +97,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         F.col("q_repeat").alias("n_repeat_words"),
         F.size("q_lines").cast("long").alias("n_lines"),
+        "row_key",
     )
     bits = " | ".join(f"(case when {r.fails} then {1 << k}L else 0L end)" for k, r in enumerate(RULES))
     return measured.withColumn("fail_bits", F.expr(bits))

@@ -19,10 +19,13 @@ BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (as in tests) one is made.
+    Only where a local session has no such setting (as in tests) one is made; on a
+    cluster such a folder would be another one on each machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -46,16 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bitmap(ids: DataFrame, column: str) -> DataFrame:
+def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
     """A one-hash membership bitmap of ``ids[column]`` as rows (word, bits).
 
     It answers "maybe a member" or "no member", never a wrong "no member".
-    The number of rows is bounded by ``BITMAP_BITS``, not by the data.
+    The number of rows is bounded by ``2**(bits - 6)``, not by the data.
     """
     return (
         ids.select(F.xxhash64(column).alias("__bm_h"))
         .select(
-            F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})").alias("__bm_word"),
+            F.expr(f"shiftrightunsigned(__bm_h, {64 - bits + 6})").alias("__bm_word"),
             F.expr("shiftleft(1L, cast(__bm_h & 63 as int))").alias("__bm_bit"),
         )
         .groupBy("__bm_word")
@@ -63,21 +66,21 @@ def bitmap(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
-def marked_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, Column]:
+def marked_by_bitmap(df: DataFrame, column: str, marks: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, Column]:
     """``df`` with columns __bm_*, and whether a row may be a member (false for a null key)."""
     h = F.xxhash64(column)
-    tagged = df.withColumn("__bm_h", h).withColumn("__bm_word", F.expr(f"shiftrightunsigned(__bm_h, {64 - BITMAP_BITS + 6})"))
+    tagged = df.withColumn("__bm_h", h).withColumn("__bm_word", F.expr(f"shiftrightunsigned(__bm_h, {64 - bits + 6})"))
     hit = F.coalesce(F.expr("(shiftrightunsigned(__bm_bits, cast(__bm_h & 63 as int)) & 1L) = 1L"), F.lit(False)) & F.col(column).isNotNull()
     return tagged.join(F.broadcast(marks), "__bm_word", "left"), hit
 
 
-def split_by_bitmap(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_bitmap(df: DataFrame, column: str, marks: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows that may be members, rows that surely are not).
 
     The bitmap is broadcast (its size has a fixed bound), so neither part
     is shuffled. Rows with a null key are in the second part.
     """
-    joined, hit = marked_by_bitmap(df, column, marks)
+    joined, hit = marked_by_bitmap(df, column, marks, bits)
     joined = joined.withColumn("__bm_hit", hit)
     back = [F.col(c) for c in df.columns]
     return joined.where("__bm_hit").select(*back), joined.where("not __bm_hit").select(*back)
@@ -97,6 +100,23 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of a row's id and text: what decides about a row, so that rows of one id are
+    told apart."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``rejected`` (__row), with their own columns.
+
+    Texts of rows that surely stay are not shuffled.
+    """
+    rejected = cut(rejected.select("__row").distinct())
+    keyed = docs.withColumn("__row_key", row_key(id_col, text_col))
+    maybe, clean = split_by_bitmap(keyed, "__row_key", bitmap(rejected, "__row"))
+    return clean.unionByName(maybe.join(rejected, F.col("__row_key") == F.col("__row"), "left_anti")).drop("__row_key")
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,12 +7,16 @@ super-k-mer travels as one packed string to the bucket of its minimiser.
 Equal windows have equal minimisers, so they meet in one bucket, where
 sorting finds each window's first document exactly.
 
-Bounds: a map task holds ``FLUSH_BYTES`` of packed strings. A bucket is
-decoded blob by blob and sorted in as many passes over the windows' hashes
-as keep one pass under ``PASS_WINDOWS`` windows. Before the shuffle, each
+Bounds: minimisers fall into ``CELLS`` cells, whose bytes are counted over all
+texts first. Light cells share a bucket and heavy ones are divided: their
+super-k-mers are cut once more, by the least of another hash of the runs in
+each window, so that buckets hold about ``BUCKET_BYTES`` whatever the data is. A
+map task holds ``FLUSH_BYTES`` of packed strings. Before the shuffle, each
 flush keeps only the first document of equal super-k-mers; later ones are
 known to be repeats and send their spans alone, so groups of copies shrink
-to one record a flush.
+to one record a flush. A bucket is decoded once and sorted; only one that is
+still large (one window in very many flushes) takes several passes over the
+windows' hashes, of about ``PASS_WINDOWS`` windows each.
 
 Defined results: a null or empty text has no words and loses none; texts
 shorter than a window lose none; of equal windows in one document none is
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +41,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
-from .textkit import Words, fold, sliding_min, whole
+from .textkit import Words, fold, mix, sliding_min, whole
 
 WIDTH, MER = 13, 4
 FLUSH_BYTES = 16 << 20
-PASS_WINDOWS = 1_000_000
-#: Buckets for each shuffle partition.
+PASS_WINDOWS = 4_000_000
+CELLS, BUCKET_BYTES = 4096, 24 << 20
+#: Buckets for each shuffle partition at least.
 BUCKETS = 6
+U = np.uint64
 NULL_ID = np.iinfo(np.int64).max
 _PACKED = "bucket long, blob binary"
 _SPANS = "doc long, row long, lo int, hi int"
 
 
-def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, number of windows, minimiser) of the super-k-mers of a chunk."""
-    least = sliding_min(fold(hashes, mer), width - mer + 1)
+def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int, plan: "Plan | None" = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of windows, bucket) of the super-k-mers of a chunk; without a
+    plan the minimiser stands for the bucket."""
+    runs = fold(hashes, mer)
+    least = sliding_min(runs, width - mer + 1)
     inside = whole(words.counts, width)
     if not inside.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if plan is not None:
+        cell = least % U(CELLS)
+        shares = plan.shares[cell]
+        bucket = plan.first[cell]
+        if (shares > 1).any():
+            second = sliding_min(mix(runs ^ U(0xA0761D6478BD642F)), width - mer + 1)
+            bucket = bucket + (second % shares.astype(np.uint64)).astype(np.int64)
     new = np.ones(len(least), bool)
     new[1:] = least[1:] != least[:-1]
+    if plan is not None:
+        new[1:] |= bucket[1:] != bucket[:-1]
+        least = bucket
     new[words.first[:-1][words.first[:-1] < len(new)]] = True
     new[1:] |= ~inside[:-1]
     starts = np.flatnonzero(new & inside)
@@ -64,6 +83,55 @@ def super_kmers(words: Words, hashes: np.ndarray, width: int, mer: int) -> tuple
     return starts, nxt - starts, least[starts]
 
 
+class Plan(NamedTuple):
+    """Of each cell: its first bucket and the number of buckets it is divided into."""
+
+    first: np.ndarray
+    shares: np.ndarray
+
+
+def plan_of(bytes_of: np.ndarray, parts: int, most: int) -> Plan:
+    """Buckets of about ``most`` bytes at most, and about ``BUCKETS * parts`` at least."""
+    aim = max(1, min(most, int(bytes_of.sum()) // max(1, BUCKETS * parts)))
+    shares = np.maximum(1, -(-bytes_of // aim))
+    first, bucket, held = np.zeros(len(bytes_of), np.int64), 0, 0
+    for c, size in enumerate(bytes_of.tolist()):
+        if held and held + size > aim:
+            bucket, held = bucket + 1, 0
+        first[c] = bucket
+        held += size
+        if shares[c] > 1:
+            bucket, held = bucket + int(shares[c]), 0
+    return Plan(first, shares)
+
+
+def _weigh(width: int, mer: int):
+    """The bytes of a task's super-k-mers in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS)
+        for batch in batches:
+            for _, data, offsets in textkit.chunks(batch.column(0)):
+                words = Words(data, offsets)
+                starts, n, least = super_kmers(words, words.hashes(), width, mer)
+                if len(starts):
+                    size = words.ends[starts + n + width - 2] - words.starts[starts] + 24
+                    total += np.bincount((least % U(CELLS)).astype(np.int64), size, CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some].astype(np.int64))], ["cell", "size"])
+
+    return run
+
+
+def plan(texts: DataFrame, width: int, mer: int) -> Plan:
+    """The plan of all texts (one binary column); at most ``CELLS`` rows come to the driver."""
+    cells = texts.mapInArrow(_weigh(width, mer), "cell long, size long").groupBy("cell").agg(F.sum("size").alias("size")).collect()
+    bytes_of = np.zeros(CELLS, np.int64)
+    for row in cells:
+        bytes_of[row["cell"]] = row["size"]
+    return plan_of(bytes_of, runtime.shuffle_partitions(texts), BUCKET_BYTES)
+
+
 def _pack(zip_up: zstandard.ZstdCompressor, records: list[tuple[int, int, int, bytes]]) -> bytes:
     head = np.array([len(records)], np.int64).tobytes()
     ids = np.array([r[0] for r in records], np.int64).tobytes()
@@ -84,9 +152,11 @@ def _unpack(unzip: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray,
     return ids, tags, at[:, 0], offsets, np.frombuffer(raw, np.uint8, offset=8 + 24 * k)
 
 
-def _scatter(buckets: int, width: int, mer: int):
+def _scatter(where_to: Plan, width: int, mer: int):
     """Map side: documents to packed super-k-mers and already known repeats."""
 
+    buckets = int((where_to.first + where_to.shares).max())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list]] = {}
         known: dict[int, list] = {}
@@ -109,7 +179,7 @@ def _scatter(buckets: int, width: int, mer: int):
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for row, data, offsets in textkit.chunks(batch.column(2)):
                 words = Words(data, offsets)
-                starts, n, least = super_kmers(words, words.hashes(), width, mer)
+                starts, n, bucket = super_kmers(words, words.hashes(), width, mer, where_to)
                 if not len(starts):
                     continue
                 which = np.searchsorted(words.first, starts, "right") - 1
@@ -118,7 +188,7 @@ def _scatter(buckets: int, width: int, mer: int):
                 lo = words.starts[starts].tolist()
                 hi = words.ends[starts + n - 1 + width - 1].tolist()
                 raw, runs = data.tobytes(), n.tolist()
-                for b, doc, pos, a, z, k in zip((least % np.uint64(buckets)).tolist(), docs, at, lo, hi, runs):
+                for b, doc, pos, a, z, k in zip(bucket.tolist(), docs, at, lo, hi, runs):
                     text = raw[a:z]
                     group = held.get(b)
                     if group is None:
@@ -252,8 +322,8 @@ def repeated_spans(keyed: DataFrame, text_col: str = "text", width: int = WIDTH,
     Spans of a row may overlap; together they cover exactly the words
     to remove.
     """
-    parts = runtime.shuffle_partitions(keyed)
-    packed = keyed.select("__ss_key", "__ss_row", F.col(text_col).cast("binary").alias("text")).mapInArrow(_scatter(BUCKETS * parts, width, mer), _PACKED)
+    texts = keyed.select("__ss_key", "__ss_row", F.col(text_col).cast("binary").alias("text"))
+    packed = texts.mapInArrow(_scatter(plan(texts.select("text"), width, mer), width, mer), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_gather(width), _SPANS)
 
 
