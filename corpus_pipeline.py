@@ -15,24 +15,17 @@ from pyspark.sql import functions as F
 from geoloom.llm import decontam, minhash, packing, quality, runtime, substring
 
 
-def _kept(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``rejected`` (__rejected); texts of documents that
-    surely stay are not shuffled. Rows with a null id stay."""
-    rejected = runtime.cut(rejected)
-    maybe, clean = runtime.split_by_bitmap(docs, "doc_id", runtime.bitmap(rejected, "__rejected"))
-    return clean.unionByName(maybe.join(rejected, F.col("doc_id") == F.col("__rejected"), "left_anti"))
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Rows that the current policy keeps; rows of one id are judged each by its own text."""
     ledger = quality.judged(docs)
-    return _kept(docs, ledger.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__rejected")).distinct())
+    return runtime.without_rows(docs, ledger.where("not kept").select(F.col("row_key").alias("__row")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates."""
-    groups = minhash.near_duplicates(docs)
-    return _kept(docs, groups.where("not kept").select(F.col("doc_id").alias("__rejected")).distinct())
+    """The smallest id of each group of near duplicates; rows of one id are linked each
+    by its own text, and rows with a null id, which are linked with nothing, stay."""
+    groups = minhash.labelled(docs)
+    return runtime.without_rows(docs, groups.where("doc <> component").select(F.xxhash64("doc", "hash").alias("__row")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
