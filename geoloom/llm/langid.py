@@ -7,15 +7,18 @@ least weighted logistic loss against the predicted margins; a bit's weight
 is how well its classifier did on the training sample. A small difference to
 the second best codeword marks the text as ambiguous.
 
-The classifiers are fitted by ridge regression on a sample of at most about
-``SAMPLE_PER_LANG`` labelled texts of each language, drawn by a hash of the
-text (so it does not depend on order or partitions) and without texts over
-``SAMPLE_BYTES`` bytes. Predictions read every whole text.
+The classifiers are fitted by ridge regression on a sample of distinct labelled
+texts: ``SAMPLE_ROWS`` in all, shared out evenly among the languages and
+``SAMPLE_PER_LANG`` of each at most, without texts over ``SAMPLE_BYTES`` bytes. It is
+drawn by a hash of the text, so it does not depend on order, partitions or the
+number of copies of a text. Predictions read every whole text.
 
 Defined results: ``und`` with score 0 for null texts and texts without a
 letter; with no labelled language everything is ``und``; with one, it is
 predicted for every text with letters; a row with a null id counts as held
-out; extra columns are not read.
+out; rows with a repeated id are predicted each by itself; extra columns are not
+read; an empty table gives an empty table. More than ``SAMPLE_ROWS`` different
+languages are an error, not a silent cut.
 """
 
 from __future__ import annotations
@@ -24,18 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
 
-SAMPLE_PER_LANG, SAMPLE_BYTES = 600, 200_000
+SAMPLE_ROWS, SAMPLE_PER_LANG, SAMPLE_BYTES = 3000, 600, 200_000
 BUCKET_BITS = 12
 FEATURES = 2 << BUCKET_BITS
 RIDGE = 1e-3
 #: Loss difference below which a text is ambiguous.
 AMBIGUOUS = 0.5
-MAX_LANGS = 200
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -87,7 +89,8 @@ def codewords(langs: int) -> np.ndarray:
     """A code (languages x bits) of +1 and -1 without constant columns.
 
     Up to seven languages: all distinct splits. Beyond: the best of random
-    codes of 10 log2(languages) bits by least distance of two codewords.
+    codes of 10 log2(languages) bits by least distance of two codewords (one code
+    alone beyond 300 languages, where random ones hardly differ).
     """
     if langs == 1:
         return np.ones((1, 1), np.int8)
@@ -95,9 +98,10 @@ def codewords(langs: int) -> np.ndarray:
         bits = np.arange(1, 1 << (langs - 1))
         return np.where((bits[None, :] << 1) >> np.arange(langs)[:, None] & 1, 1, -1).astype(np.int8)
     rng, best, far = np.random.default_rng(7), None, -1
-    for _ in range(200):
+    for _ in range(200 if langs <= 300 else 1):
         code = rng.choice(np.array([-1, 1], np.int8), (langs, int(10 * np.ceil(np.log2(langs)))))
-        apart = ((code[:, None] != code[None]).sum(2) + 10**6 * np.eye(langs, dtype=int)).min()
+        agree = code.astype(np.float32) @ code.T.astype(np.float32)
+        apart = (code.shape[1] - (agree - 10**6 * np.eye(langs, dtype=np.float32)).max()) / 2
         if apart > far and (np.abs(code.sum(0, dtype=int)) < langs).all():
             best, far = code, apart
     return best
@@ -124,11 +128,19 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits a model on labelled rows of ``docs`` (learning rows only)."""
     docs = runtime.bounded_batches(docs)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    share = counts.withColumn("share", F.least(F.lit(1.0), F.lit(float(SAMPLE_PER_LANG)) / F.col("n"))).drop("n")
-    draw = (F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)) < F.col("share")
-    picked = rows.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(share), "lang").where(draw).select("lang", "text")
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col, F.lit(17)).alias("hash"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
+    counts = runtime.written(counts, "language-counts")
+    known = counts.count()
+    if known > SAMPLE_ROWS:
+        raise ValueError(f"{known} languages are more than the sample of {SAMPLE_ROWS} texts can teach")
+    quota = min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, known))
+    # a little more than the quota is drawn by hash, then cut to it: the count of distinct texts is an estimate
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(1.3 * quota + 20) / F.col("n")).alias("share"))
+    drawn = rows.join(F.broadcast(share), "lang").where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash")
+    picked = drawn.groupBy("lang", "hash").agg(F.min("text").alias("text")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota).select("lang", "text")
     got = picked.mapInArrow(_sample, "lang string, x binary").toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:

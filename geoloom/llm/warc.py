@@ -2,7 +2,13 @@
 
 Writing: a record is one row of a text file whose line separator is the
 record separator (CRLF CRLF), so Spark's text writer makes valid archives in
-any file system it knows, with its commit protocol.
+any file system it knows, with its commit protocol. A response's block is an
+HTTP response with the payload as its body; a revisit names the profile of equal
+digests. Record ids are unique; the page ids travel in fields of their own.
+
+Reading takes any WARC/1.1 file: field names in any case, any space around
+values, records of any type (those without a page id come out with a null one; a
+block that is no HTTP response is the payload itself).
 
 Reading: the archive is read as text whose separator is the magic
 ``WARC/1.1 CRLF``. That splits large files anywhere, and every row is a
@@ -22,9 +28,10 @@ Between the passes only offsets are shuffled, never payloads.
 Defined results: a null payload is empty; of records with equal payloads of
 at least ``min_bytes`` bytes the one with the largest id is the response and
 all others revisit it (rows of one id and payload are all responses); null
-ids are written as such and read back; control characters in a URL are
-percent-encoded; a record whose header is damaged ends its file's chain and
-later bytes of that file are not returned.
+ids are written as such and read back, as responses; control characters in a
+URL are percent-encoded; a record whose header is damaged (no length, no end) ends its
+file's chain and later bytes of that file are not returned; columns other than
+the three named ones are not read; an empty table writes and reads nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import numpy as np
@@ -50,8 +58,10 @@ FILE_RECORDS = 20_000
 BROADCAST_ROWS = 100_000
 _FACTS = "page_id long, payload_bytes long, payload_digest string"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-_DIGEST = re.compile(rb"^WARC-Payload-Digest: sha1:(\S+)\r?$", re.M)
-_LENGTH = re.compile(rb"^Content-Length: (\d+)\r?$", re.M)
+_LENGTH = re.compile(rb"^Content-Length[ \t]*:[ \t]*(\d+)[ \t]*\r?$", re.M | re.I)
+# Fixed values of the format.
+_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -68,18 +78,25 @@ def _header(fields: list[tuple[str, object]], body: bytes) -> bytes:
     return MAGIC + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
-            body = html or b""
-            name = "none" if page is None else page
-            fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Target-URI", quote(url or "", safe="!#$%&'()*+,/:;=?@[]~ ")), ("WARC-Payload-Digest", f"sha1:{payload_digest(body)}"), ("WARC-Payload-Length", len(body))]
-            if refers is not None:
-                fields.append(("WARC-Refers-To", f"<urn:page:{refers}>"))
-                body = b""
-            out.append(_header([*fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(body))], body))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+def _records(date: str):
+    """Rows (page, url, payload, page that it repeats) to records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                body = html or b""
+                fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Target-URI", quote(url or "", safe="!#$%&'()*+,/:;=?@[]~ ")), ("WARC-Payload-Digest", f"sha1:{payload_digest(body)}"), ("X-Page-Payload-Length", len(body))]
+                if page is not None:
+                    fields.append(("X-Page-Id", page))
+                block = _HTTP.format(len(body)).encode() + body
+                if refers is not None:
+                    fields += [("WARC-Profile", _REVISIT), ("X-Page-Refers-To", refers)]
+                    block = _HTTP.format(len(body)).encode()
+                out.append(_header([*fields, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))], block))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -94,7 +111,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     # an id may stand for several payloads: the digest decides too
     marked = maybe.withColumn("hex", F.sha1(F.coalesce("body", F.lit(b"")))).join(again.select(F.col("page_id").alias("id"), F.lower(F.hex(_unbase32())).alias("dig"), "refers_to"), (F.col("page_id") == F.col("id")) & (F.col("hex") == F.col("dig")), "left")
     rows = plain.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marked.select(*plain.columns, "refers_to"))
-    lines = rows.select("page_id", "url", "body", "refers_to").mapInArrow(_records, "value binary").select(F.col("value").cast("string"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    lines = rows.select("page_id", "url", "body", "refers_to").mapInArrow(_records(date), "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "none").text(path)
 
 
@@ -223,24 +241,42 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file", "pos", "head", "skip", "length", "value"])
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """The named fields of a header, names in lower case, continued lines joined."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()
+    return {name.strip().lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines) if colon}
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for skip, length, value in zip(*(c.to_pylist() for c in batch.columns)):
-            head = dict(line.split(": ", 1) for line in value[: skip - 4].decode().split("\r\n"))
-            body = value[skip : skip + length]
-            page = head["WARC-Record-ID"][10:-1]
-            kind, refers = head["WARC-Type"], head.get("WARC-Refers-To")
-            full = kind == "response"
-            digest = payload_digest(body) if full else head["WARC-Payload-Digest"][5:]
-            if digest != head["WARC-Payload-Digest"][5:] or len(body) != length:
+            head = _fields(value[: skip - 4])
+            block = value[skip : skip + length]
+            if len(block) != length:
+                raise ValueError(f"a block of {length} bytes ends after {len(block)}")
+            http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+            body = block.partition(GAP)[2] if http else block
+            page, kind, refers = head.get("x-page-id"), head.get("warc-type", "unknown").lower(), head.get("x-page-refers-to")
+            told = head.get("warc-payload-digest", "").removeprefix("sha1:")
+            again = kind == "revisit"
+            digest = told if again else payload_digest(body)
+            if page is not None and digest != told:
                 raise ValueError(f"damaged payload of {page}")
-            rows.append((None if page == "none" else int(page), head["WARC-Target-URI"], len(body) if full else int(head["WARC-Payload-Length"]), digest, kind, int(refers[10:-1]) if refers else None, body if full else None))
+            size = int(head.get("x-page-payload-length", 0)) if again else len(body)
+            rows.append((None if page is None else int(page), head.get("warc-target-uri"), size, digest, kind, None if refers is None else int(refers), None if again else body))
         cols = list(zip(*rows)) or [()] * 7
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
+def _mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the pieces of records that were cut at magic in their payloads."""
+    for batch in batches:
+        values = [MAGIC.join(parts) for parts in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["skip", "length", "value"])
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``; a revisit has no payload."""
     known = runtime.cut(entries(spark, path))
@@ -251,10 +287,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = parts.where(fits).select("skip", "length", "value")
     # records cut by magic in their payload: few, and joined by the offsets they cover
     torn = parts.where(~fits)
-    heads = torn.where("head").select(F.col("file").alias("f"), F.col("pos").alias("own"), "skip", "length")
-    pieces = torn.select("file", "pos", "value").join(heads, (F.col("file") == F.col("f")) & (F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + len(MAGIC) + F.col("skip") + F.col("length")))
+    # (a torn record's pieces follow its header before any other torn record begins)
+    before = Window.partitionBy("file").orderBy("pos")
+    owner = F.last(F.when(F.col("head"), F.struct(F.col("pos").alias("own"), "skip", "length")), ignorenulls=True).over(before)
+    pieces = torn.select("file", "pos", "value", owner.alias("o")).select("file", "pos", "value", "o.*")
+    pieces = pieces.where(F.col("pos") < F.col("own") + len(MAGIC) + F.col("skip") + F.col("length"))
     joined = pieces.groupBy("file", "own", "skip", "length").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"))
-    mended = joined.select("skip", "length", F.expr(f"aggregate(slice(p, 2, size(p)), p[0].value, (s, x) -> concat(s, unhex('{MAGIC.hex()}'), x.value))").alias("value"))
+    mended = joined.select("skip", "length", F.col("p.value").alias("parts")).mapInArrow(_mend, "skip long, length long, value binary")
     return whole.unionByName(mended).mapInArrow(_decode, _RECORD)
 
 
