@@ -80,20 +80,29 @@ def plane_basis(polygon: Sequence[Vec]) -> tuple[Vec, Vec, Vec, Vec]:
 
 
 def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd rule over a literal ring; points on the boundary are inside."""
-    crossings, edge = F.lit(0), F.lit(False)
-    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
-        dx, dy = bx - ax, by - ay
-        length = math.hypot(dx, dy)
-        if length == 0:
-            continue
-        off = (x - ax) * dy - (y - ay) * dx
-        along = (x - ax) * dx + (y - ay) * dy
-        edge = edge | ((F.abs(off) <= FENCE_EPS * length) & (along >= -FENCE_EPS * length) & (along <= length * length + FENCE_EPS * length))
-        if dy:
-            spans = (y >= min(ay, by)) & (y < max(ay, by))
-            crossings = crossings + (spans & (x < (y - ay) * (dx / dy) + ax)).cast("int")
-    return (crossings % 2 == 1) | edge
+    """Even-odd rule over a literal ring; points on the boundary are inside.
+
+    The ring is an array, so the generated code does not grow with it, and the point
+    is bound once for all edges.
+    """
+    edges = [(ax, ay, bx - ax, by - ay) for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]) if (ax, ay) != (bx, by)]
+    array = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(("ax", "ay", "dx", "dy"), e)]) for e in edges])
+
+    def touches(p: Column, e: Column) -> Column:
+        length = F.sqrt(e.dx * e.dx + e.dy * e.dy)
+        off = (p.x - e.ax) * e.dy - (p.y - e.ay) * e.dx
+        along = (p.x - e.ax) * e.dx + (p.y - e.ay) * e.dy
+        return (F.abs(off) <= FENCE_EPS * length) & (along >= -FENCE_EPS * length) & (along <= length * length + FENCE_EPS * length)
+
+    def crossed(p: Column, e: Column) -> Column:
+        spans = (p.y >= F.least(e.ay, e.ay + e.dy)) & (p.y < F.greatest(e.ay, e.ay + e.dy))
+        return spans & (p.x < (p.y - e.ay) * F.try_divide(e.dx, e.dy) + e.ax)
+
+    def inside(p: Column) -> Column:
+        odd = F.size(F.filter(array, lambda e: crossed(p, e))) % 2 == 1
+        return odd | F.exists(array, lambda e: touches(p, e))
+
+    return F.exists(F.array(F.struct(x.alias("x"), y.alias("y"))), inside)
 
 
 def _flat(polygon: Sequence[Vec]):

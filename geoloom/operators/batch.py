@@ -124,7 +124,16 @@ def readiness(required: DataFrame, available: DataFrame) -> DataFrame:
 
 
 #: The legal transitions of a job.
-TRANSITIONS = {"queued": ("running", "cancelled"), "running": ("paused", "completed", "failed", "cancelled"), "paused": ("running", "cancelled"), "completed": (), "failed": ("queued",), "cancelled": ("queued",)}
+TRANSITIONS = {
+    "queued": ("running", "failed", "cancel_requested"),
+    "paused": ("running", "failed", "cancel_requested"),
+    "running": ("pause_requested", "completed", "failed", "cancel_requested"),
+    "pause_requested": ("running", "paused", "failed", "cancel_requested"),
+    "cancel_requested": ("cancelled", "failed", "cancel_requested"),
+    "completed": (),
+    "failed": (),
+    "cancelled": (),
+}
 
 
 def illegal_transitions(history: DataFrame) -> DataFrame:

@@ -116,11 +116,12 @@ def robust_translation(pairs: DataFrame, delta: float, rounds: int = 20, stop: f
     return fit
 
 
-def icp(source: DataFrame, target: DataFrame, reach: float, rounds: int = 30, least_overlap: float = 0.2, stop: tuple[float, float] = (1e-4, 1e-5), normals: bool = False) -> dict:
+def icp(source: DataFrame, target: DataFrame, reach: float, rounds: int = 30, least_overlap: float = 0.2, stop: tuple[float, float] = (1e-4, 1e-5), normals: bool = False, delta: float = 0.1) -> dict:
     """Iterated nearest correspondences and rigid fits.
 
     ``normals``: targets have nx, ny, nz and distances count along them; the
-    small-angle step adds to the pose's angles. Too few matches or too little
+    small-angle step adds to the pose's angles. Distances over ``delta`` have Huber
+    weights in both kinds of step. Too few matches or too little
     overlap are errors.
     """
     if normals and not {"nx", "ny", "nz"} <= set(target.columns):
@@ -140,13 +141,15 @@ def icp(source: DataFrame, target: DataFrame, reach: float, rounds: int = 30, le
             p = [F.col(c) for c in S]
             j = [p[1] * nrm[2] - p[2] * nrm[1], p[2] * nrm[0] - p[0] * nrm[2], p[0] * nrm[1] - p[1] * nrm[0], *nrm]
             e = d[0] * nrm[0] + d[1] * nrm[1] + d[2] * nrm[2]
-            q = _row(pairs, **{f"a{a}{b}": j[a] * j[b] for a in range(6) for b in range(a, 6)}, **{f"g{a}": -j[a] * e for a in range(6)})
+            w = F.when(F.abs(e) <= delta, F.lit(1.0)).otherwise(F.try_divide(F.lit(delta), F.abs(e)))
+            q = _row(pairs, **{f"a{a}{b}": w * j[a] * j[b] for a in range(6) for b in range(a, 6)}, **{f"g{a}": -w * j[a] * e for a in range(6)})
             x = np.linalg.lstsq(np.array([[q[f"a{min(a, b)}{max(a, b)}"] for b in range(6)] for a in range(6)]), np.array([q[f"g{a}"] for a in range(6)]), rcond=None)[0]
             from geoloom.functions.geometry import euler_zyx
 
             dr, dt = np.array(euler_zyx(*x[:3])), x[3:]
         else:
-            f = horn(pairs, scale=False)
+            r = F.sqrt("d2")
+            f = horn(pairs, False, F.when(r <= delta, F.lit(1.0)).otherwise(F.try_divide(F.lit(delta), r)))
             dr, dt = f["rotation"], f["shift"]
         rotation, shift = dr @ rotation, dr @ shift + dt
         angle = float(np.arccos(np.clip((np.trace(dr) - 1) / 2, -1, 1)))

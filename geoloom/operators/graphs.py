@@ -19,7 +19,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     labels = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")).transform(cut)
     for _ in range(rounds):
         if e.isEmpty():
-            break
+            return labels
         up = e.groupBy("a").agg(F.min("b").alias("up")).transform(cut)
         while True:
             far = up.select(F.col("a").alias("m"), F.col("up").alias("far"))
@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         labels = labels.join(to, F.col("component") == F.col("r"), "left").select("node", F.coalesce("up", "component").alias("component")).transform(cut)
         e = e.join(to, F.col("a") == F.col("r"), "left").select(F.coalesce("up", "a").alias("a"), "b").join(to, F.col("b") == F.col("r"), "left").select("a", F.coalesce("up", "b").alias("b"))
         e = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().transform(cut)
-    return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def tracks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +84,7 @@ def cyclic(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         e = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").transform(cut)
         if e.count() == n:
             return e
-    return e
+    raise RuntimeError(f"a path is longer than {rounds} edges")
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
@@ -99,7 +99,7 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return every
 
 
-def visible_tiles(tiles: DataFrame, most_error: float, depth: int = 32) -> DataFrame:
+def visible_tiles(tiles: DataFrame, most_error: float, depth: int = 64) -> DataFrame:
     """Tiles (tile, parent, error, distance, refine) that a level-by-level walk shows.
 
     A tile is refined while its error over its distance is too large and it
@@ -113,25 +113,36 @@ def visible_tiles(tiles: DataFrame, most_error: float, depth: int = 32) -> DataF
         shown = show if shown is None else shown.unionByName(show)
         level = t.join(level.where("open").select(F.col("tile").alias("parent")), "parent", "left_semi").transform(cut)
         if level.isEmpty():
-            break
-    return shown.select("tile")
+            return shown.select("tile")
+    raise RuntimeError(f"tiles are deeper than {depth} levels")
 
 
-def octree_leaves(points: DataFrame, size: float, capacity: int = 1024, depth: int = 20) -> DataFrame:
+def octree_leaves(points: DataFrame, size: float, capacity: int = 1024, depth: int = 20, step: int = 4) -> DataFrame:
     """(node, n): octree leaves by name (a digit 0-7 for each level).
 
-    Only cells over the capacity are split, so a round aggregates what is
-    left in heavy cells.
+    A point's deepest cell is one long, three bits a level. ``step`` levels are counted
+    by one aggregate over the points of cells that are still too full; the counts of
+    the levels between come from those counts.
     """
-    rest = points.select("x", "y", "z", F.lit("").alias("node"))
-    leaves = None
+    key = F.lit(0).cast("long")
     for k in range(1, depth + 1):
-        n = rest.groupBy("node").agg(F.count("*").alias("n")).transform(cut)
-        small = n.where(F.col("n") <= capacity)
-        leaves = small if leaves is None else leaves.unionByName(small)
-        heavy = n.where(F.col("n") > capacity)
-        if heavy.isEmpty():
-            return leaves
-        bit = lambda c: F.pmod(F.floor(F.col(c) * (1 << k) / size), F.lit(2))  # noqa: E731, B023
-        rest = rest.join(heavy.select("node"), "node", "left_semi").withColumn("node", F.concat("node", (4 * bit("x") + 2 * bit("y") + bit("z")).cast("int").cast("string")))
-    return leaves.unionByName(rest.groupBy("node").agg(F.count("*").alias("n")))
+        bit = lambda c: F.pmod(F.floor(F.col(c) * (1 << k) / size), F.lit(2)).cast("long")  # noqa: E731, B023
+        key = F.shiftleft(key, 3).bitwiseOR(4 * bit("x") + 2 * bit("y") + bit("z"))
+    rest = points.select(key.alias("key")).transform(cut)
+    name = lambda k: F.lpad(F.conv("cell", 10, 8), k, "0") if k else F.lit("")
+    full = rest.groupBy(F.lit(0).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    leaves = full.where(F.col("n") <= capacity).select(name(0).alias("node"), "n")
+    full = full.where(F.col("n") > capacity).transform(cut)
+    for low in range(0, depth, step):
+        if full.isEmpty():
+            break
+        high = min(depth, low + step)
+        part = rest.join(full.select(F.col("cell").alias("up")), F.shiftright("key", 3 * (depth - low)) == F.col("up"), "left_semi")
+        counts = part.groupBy(F.shiftright("key", 3 * (depth - high)).alias("cell")).agg(F.count("*").alias("n")).transform(cut)
+        for k in range(low + 1, high + 1):
+            level = counts.groupBy(F.shiftright("cell", 3 * (high - k)).alias("cell")).agg(F.sum("n").alias("n"))
+            level = level.join(full.select(F.col("cell").alias("up")), F.shiftright("cell", 3) == F.col("up"), "left_semi")
+            leaf = F.col("n") <= capacity if k < depth else F.lit(True)
+            leaves = leaves.unionByName(level.where(leaf).select(name(k).alias("node"), "n"))
+            full = level.where(~leaf).transform(cut)
+    return leaves

@@ -31,7 +31,7 @@ def within(source: DataFrame, target: DataFrame, reach: float, dims: str = "xyz"
     return s.join(t, c).withColumn("d2", _d2("s", "t", dims)).where(F.col("d2") < reach * reach).select("sid", "tid", "d2")
 
 
-def nearest_neighbours(source: DataFrame, target: DataFrame, k: int, reach: float, dims: str = "xyz", growth: float = 2.0, rounds: int = 40) -> DataFrame:
+def nearest_neighbours(source: DataFrame, target: DataFrame, k: int, reach: float, dims: str = "xyz", growth: float = 2.0, rounds: int = 60) -> DataFrame:
     """(sid, tid, d2, rank): the k nearest targets of each source (ties by id), exactly.
 
     Sources with k targets nearer than the reach are done; the reach of the
@@ -53,7 +53,7 @@ def nearest_neighbours(source: DataFrame, target: DataFrame, k: int, reach: floa
         if reach > far or left.isEmpty():
             return done
         reach *= growth
-    return done
+    raise RuntimeError(f"neighbours were not found in {rounds} rounds")
 
 
 def nearest_correspondence(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
@@ -124,7 +124,7 @@ def usable_observations(observations: DataFrame, cameras: DataFrame) -> DataFram
     return o.withColumn("_n", F.count("*").over(Window.partitionBy("point"))).where("_n >= 2").drop("_n")
 
 
-def inherited(edges: DataFrame, values: DataFrame, depth: int = 64) -> DataFrame:
+def inherited(edges: DataFrame, values: DataFrame, depth: int = 256) -> DataFrame:
     """(id, name, value, depth, conflict): properties from the nearest ancestors.
 
     ``edges`` (id, parent); ``values`` (id, name, value). Equal nearest
@@ -138,5 +138,7 @@ def inherited(edges: DataFrame, values: DataFrame, depth: int = 64) -> DataFrame
         if step.isEmpty():
             break
         every = every.unionByName(step)
+    else:
+        raise RuntimeError(f"ancestors are more than {depth} levels away, or in a circle")
     got = every.join(values.select(F.col("id").alias("at"), "name", "value"), "at").groupBy("id", "name", "depth").agg(F.min("value").alias("value"), (F.min("value") != F.max("value")).alias("conflict"))
     return got.groupBy("id", "name").agg(F.min_by(F.struct("value", "depth", "conflict"), "depth").alias("b")).select("id", "name", "b.*")

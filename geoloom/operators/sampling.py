@@ -36,28 +36,41 @@ def random_sample(points: DataFrame, percent: float, seed: int = SEED) -> DataFr
 
 
 def distance_sample(points: DataFrame, spacing: float) -> DataFrame:
-    """Points in id order, each at least ``spacing`` (in x, y, z) from all kept before.
+    """Points in id order, each at least ``spacing`` (in x, y, z) from all kept before."""
+    kept = spaced(points.select("id", "x", "y", "z", F.col("id").alias("_o")), spacing, "xyz", "_o")
+    return points.join(kept, "id", "left_semi")
 
-    Rounds of parallel decisions give the sequential result: a point is kept
-    once all its smaller neighbours are decided and none of them is kept.
-    Neighbours are found by an equi-join on cells of the spacing's size.
+
+def spaced(points: DataFrame, spacing: float, dims: str, order: str, group: str | None = None, closed: bool = False) -> DataFrame:
+    """(id): points (id, dims..., order) that a walk in ``order`` keeps, each at least
+    ``spacing`` from all kept before in its group (with ``closed``: more than that).
+
+    Rounds of parallel decisions give the sequential result: a point whose smaller
+    neighbours are all decided is kept if none of them is kept, and one next to a kept
+    point goes. Neighbours are found once, by an equi-join on cells of the spacing's
+    size; decided points leave the table of neighbours, so rounds get cheaper.
     """
-    cells = [F.floor(F.col(k) / spacing).cast("long").alias(f"c{k}") for k in "xyz"]
-    p = points.select("id", "x", "y", "z", *cells)
-    step = [F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias(f"o{k}") for k in "xyz"]
-    q = p
-    for k, s in zip("xyz", step):
-        q = q.select("*", s).withColumn(f"c{k}", F.col(f"c{k}") + F.col(f"o{k}")).drop(f"o{k}")
-    q = q.select(F.col("id").alias("j"), *[F.col(k).alias(f"j{k}") for k in "xyz"], "cx", "cy", "cz")
-    d2 = sum(((F.col(k) - F.col(f"j{k}")) * (F.col(k) - F.col(f"j{k}")) for k in "yz"), (F.col("x") - F.col("jx")) * (F.col("x") - F.col("jx")))
-    near = p.join(q, ["cx", "cy", "cz"]).where((F.col("j") < F.col("id")) & (d2 < spacing * spacing)).select("id", "j").transform(cut)
-    state = points.select("id", F.lit(None).cast("boolean").alias("kept")).transform(cut)
+    names = [F.floor(F.col(k) / spacing).cast("long").alias(f"c{k}") for k in dims]
+    own = F.lit(0).alias("g") if group is None else F.col(group).alias("g")
+    p = points.select("id", F.col(order).alias("o"), own, *[F.col(k) for k in dims], *names)
+    q = p.select(F.col("id").alias("j"), F.col("o").alias("jo"), "g", *[F.col(k).alias(f"j{k}") for k in dims], *[f"c{k}" for k in dims])
+    around = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
+    for k in dims:
+        q = q.withColumn(f"c{k}", F.explode(F.transform(around, (lambda k: lambda d: F.col(f"c{k}") + d)(k))))
+    d2 = sum(((F.col(k) - F.col(f"j{k}")) * (F.col(k) - F.col(f"j{k}")) for k in dims[1:]), (F.col(dims[0]) - F.col(f"j{dims[0]}")) * (F.col(dims[0]) - F.col(f"j{dims[0]}")))
+    hits = d2 <= spacing * spacing if closed else d2 < spacing * spacing
+    near = p.join(q, ["g", *[f"c{k}" for k in dims]]).where((F.col("jo") < F.col("o")) & hits).select("id", "j").transform(cut)
+    free = points.select("id").join(near.select("id").distinct(), "id", "left_anti").transform(cut)
+    kept, fresh = free, free
     while True:
-        known = state.where("kept is not null").select(F.col("id").alias("j"), F.col("kept").alias("jk"))
-        votes = near.join(known, "j", "left").groupBy("id").agg(F.bool_or(F.coalesce("jk", F.lit(False))).alias("hit"), F.bool_and(F.col("jk").isNotNull()).alias("done"))
-        state = state.join(votes, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("done", F.lit(True)), True).alias("kept")).transform(cut)
-        if state.where("kept is null").isEmpty():
-            return points.join(state.where("kept").select("id"), "id", "left_semi")
+        # points next to a fresh one go; their neighbours no longer wait for them
+        gone = near.join(fresh.select(F.col("id").alias("j")), "j", "left_semi").select("id").distinct().transform(cut)
+        if gone.isEmpty():
+            return kept
+        left = near.join(gone, "id", "left_anti")
+        waiting = left.join(gone.select(F.col("id").alias("j")), "j", "left_anti").transform(cut)
+        fresh = left.select("id").distinct().join(waiting.select("id").distinct(), "id", "left_anti").transform(cut)
+        near, kept = waiting, kept.unionByName(fresh)
 
 
 def strided(df: DataFrame, order: str, every: int) -> DataFrame:
@@ -137,16 +150,27 @@ def wanted_tiles(tiles: DataFrame, most: int) -> DataFrame:
     return tiles.where("not loaded").orderBy(F.desc("priority"), "depth", F.desc("error"), "key").limit(most)
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """Adds the running sum of ``value`` in a total order, without one task for all rows.
+
+    Rows are dealt to ranges of the order; each range sums by itself and adds the sum of
+    the ranges before it (one row a range).
+    """
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).transform(cut)
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inner = parts.withColumn("_run", F.sum(value).over(Window.partitionBy("_part").orderBy(*order)))
+    joined = inner.join(F.broadcast(before), "_part")  # a row for each range
+    return joined.withColumn(name, F.col("_before") + F.col("_run")).drop("_part", "_before", "_run")
+
+
 def admitted(requests: DataFrame, budget: int) -> DataFrame:
     """Requests (lane, dataset, benefit, tile, cost) in lane order, datasets of a
     lane in turn, admitted while the running cost stays within the budget; each
     row gets ``admitted`` and ``reason``."""
     turn = F.row_number().over(Window.partitionBy("lane", "dataset").orderBy(F.desc("benefit"), "tile"))
-    order = Window.partitionBy("lane").orderBy("turn", "dataset")
-    r = requests.withColumn("turn", turn).withColumn("used", F.sum("cost").over(order))
-    before = requests.groupBy("lane").agg(F.sum("cost").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = r.join(F.broadcast(before.drop("c")), "lane")  # a row for each lane
-    ok = F.col("before") + F.col("used") <= budget
+    r = running_total(requests.withColumn("turn", turn), ["lane", "turn", "dataset", "tile"], "cost", "used")
+    ok = F.col("used") <= budget
     return r.select("lane", "dataset", "tile", ok.alias("admitted"), F.when(~ok, F.lit("budget")).alias("reason"))
 
 

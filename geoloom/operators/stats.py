@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,23 +104,75 @@ def overhangs(meshed: DataFrame, degrees: float = 45.0, slack: float = 0.01) ->
     return meshed.where((down > degrees + slack) & ~on_plate).groupBy("face").agg(F.sum(length).alias("area2"), F.count("*").alias("n"))
 
 
+#: Fixed values: (verified, inliers, coverage, parallax, cheirality) at least, for each class.
+PAIR_CLASSES = {"strong": (40, 300, 500, 1000, 800), "usable": (15, 150, 250, 300, 700)}
+
+
+def pair_problems(pairs: DataFrame) -> DataFrame:
+    """Pairs whose counts contradict each other, with the reason; the others can be judged."""
+    counts = (F.col("verified") > F.col("tentative")) | (F.col("homography") > F.col("tentative")) | (F.col("cheirality") > F.col("verified"))
+    cells = (F.col("cell_count") == 0) | (F.col("cells") > F.col("cell_count"))
+    problem = F.when(counts, "inlier counts").when(cells, "grid occupancy").when(~F.col("cycle").between(0, 1000), "cycle")
+    return pairs.withColumn("problem", problem).where("problem is not null")
+
+
 def pair_quality(pairs: DataFrame) -> DataFrame:
-    """Adds ``score`` and ``quality`` from integer ratios of a pair's metrics."""
-    inl, cov, par = per_mille(F.col("verified"), F.col("tentative")), per_mille(F.col("cells"), F.lit(64)), per_mille(F.col("parallax"), F.lit(10_000))
-    che, cyc = per_mille(F.col("cheirality"), F.col("verified")), F.col("cycle")
+    """Adds ``score`` (per mille), ``quality`` and the three signs of degeneracy.
+
+    ``pairs``: tentative, verified, homography, cheirality (counts), cells, cell_count,
+    parallax (thousandths of a degree), cycle (per mille). Parallax counts in full from
+    two degrees. Only integers are compared.
+    """
+    p = pairs.withColumns({
+        "q_inl": per_mille(F.col("verified"), F.col("tentative")),
+        "q_cov": per_mille(F.col("cells"), F.col("cell_count")),
+        "q_hom": per_mille(F.col("homography"), F.col("verified")),
+        "q_che": per_mille(F.col("cheirality"), F.col("verified")),
+        "q_par": F.least(F.lit(1000), F.expr("parallax * 1000 div 2000")),
+    })
+    p = p.withColumns({
+        "flat": (F.col("q_hom") >= 900) & (F.col("parallax") < 1000),
+        "behind": (F.col("verified") > 0) & (F.col("q_che") < 600),
+        "narrow": F.col("parallax") < 150,
+    })
+    quality = F.when(F.col("flat") | F.col("behind") | F.col("narrow"), "degenerate")
+    for name, least in PAIR_CLASSES.items():
+        tests = [F.col(c) >= v for c, v in zip(("verified", "q_inl", "q_cov", "parallax", "q_che"), least)]
+        quality = quality.when(reduce(lambda a, b: a & b, tests), name)
     score = F.expr("(3 * q_inl + 2 * q_cov + 2 * q_par + 2 * q_che + cycle) div 10")
-    p = pairs.withColumns({"q_inl": inl, "q_cov": cov, "q_par": par, "q_che": che}).withColumn("score", score)
-    bad = (F.col("verified") < 15) | (per_mille(F.col("homography"), F.col("verified")) >= 950) & (F.col("q_par") < 100)
-    q = F.when(bad, "degenerate").when((F.col("score") >= 700) & (F.col("verified") >= 100), "strong").when(F.col("score") >= 400, "usable").otherwise("weak")
-    return p.withColumn("quality", q).drop("q_inl", "q_cov", "q_par", "q_che")
+    p = p.withColumns({"score": score, "quality": quality.otherwise("weak")})
+    return p.drop("q_inl", "q_cov", "q_hom", "q_che", "q_par")
+
+
+#: Conditional backends of each profile, in the order of its passes.
+RESCUE_PASSES = {
+    "fast": ("aliked", "dedode", "dense"),
+    "quality": ("dedode", "dense"),
+    "robust": ("dense",),
+}
 
 
 def rescue(pairs: DataFrame) -> DataFrame:
-    """Adds reasons and the ordered actions that follow from a pair's quality."""
-    reasons = F.array_compact(F.array(F.when(F.col("tentative") < 50, "few_matches"), F.when(per_mille(F.col("verified"), F.col("tentative")) < 200, "low_inliers"), F.when(F.col("cells") < 8, "low_coverage")))
-    p = pairs.withColumn("reasons", F.when(F.col("quality").isin("strong", "usable"), F.array().cast("array<string>")).otherwise(reasons))
-    act = F.array_compact(F.array(F.when(F.array_contains("reasons", "few_matches"), "more_features"), F.when(F.array_contains("reasons", "low_inliers"), "other_matcher"), F.when(F.array_contains("reasons", "low_coverage"), "expand_candidates")))
-    return p.withColumn("actions", act)
+    """Adds the sorted ``reasons`` for a rescue of a judged pair and its ordered ``actions``.
+
+    ``pairs`` also has profile, executed (array of backends), first_degree,
+    second_degree, bridge, expected, failed. Actions are the conditional passes that
+    have not run yet, then an expansion of the graph for bridges and images of low degree.
+    """
+    lonely = (F.col("first_degree") < 2) | (F.col("second_degree") < 2)
+    reasons = F.array_compact(F.array(
+        F.when(F.col("quality") == "weak", "weak_pair_quality"),
+        F.when(F.col("quality") == "degenerate", "degenerate_geometry"),
+        F.when(lonely, "underconnected_image"),
+        F.when(F.col("bridge") & (F.col("quality") != "strong"), "weak_component_bridge"),
+        F.when(F.col("expected") & (F.col("verified") < 30), "expected_overlap_missing"),
+        F.when(F.col("failed"), "registration_failed"),
+    ))
+    passes = F.coalesce(*[F.when(F.col("profile") == k, F.array(*map(F.lit, v))) for k, v in RESCUE_PASSES.items()])
+    left = F.array_except(passes, "executed")
+    more = F.when(F.col("bridge") | lonely, F.array(F.lit("expand_graph"))).otherwise(F.array().cast("array<string>"))
+    actions = F.when(F.size("reasons") > 0, F.concat(left, more)).otherwise(F.array().cast("array<string>"))
+    return pairs.withColumn("reasons", reasons).withColumn("actions", actions)
 
 
 def preflight(stages: DataFrame) -> DataFrame:

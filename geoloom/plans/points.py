@@ -136,13 +136,13 @@ def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.cell_triangles(_minimum(spark, sf_dir)[0])
 
 
-_TWO = f"{P}, s as (select * from p where id % 50 = 0), t as (select * from p where id % 3 = 0)"
+_TWO = f"{P}, s as (select * from p where id % 50 = 0), t as (select * from p)"
 _D2 = "(s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z)"
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir)
-    return p.where("id % 50 = 0"), p.where("id % 3 = 0")
+    return p.where("id % 50 = 0"), p
 
 
 @query("nearest_neighbours", f"{_TWO}, d as (select s.id as sid, t.id as tid, {_D2} as d2 from s, t), r as (select *, row_number() over (partition by sid order by d2, tid)::int as rank from d) select * from r where rank <= 4")
@@ -155,22 +155,14 @@ def nearest_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_correspondence(*_two(spark, sf_dir), 40.0)
 
 
-# The SQL above compares all pairs, so it takes a third of the points as targets; these two take all.
-
-
-def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = points(spark, sf_dir)
-    return p.where("id % 50 = 0"), p
-
-
 @query("nearest_neighbours_all")
 def nearest_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.nearest_neighbours(*_all(spark, sf_dir), 4, 64.0)
+    return joins.nearest_neighbours(*_two(spark, sf_dir), 4, 64.0)
 
 
 @query("nearest_correspondence_all")
 def nearest_correspondence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.nearest_correspondence(*_all(spark, sf_dir), 40.0)
+    return joins.nearest_correspondence(*_two(spark, sf_dir), 40.0)
 
 
 @query("nearest_to_ray", f"{P}, r as (select id, (x - 500) * (x - 500) + (z - 50) * (z - 50) as o from p where y >= 0) select (min({{'o': o, 'i': id}})).i as id, min(o) as off2 from r where o < 10000")
@@ -178,12 +170,12 @@ def nearest_to_ray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_to_ray(points(spark, sf_dir), (500.0, 0.0, 50.0), (0.0, 1.0, 0.0), 100.0)
 
 
-_BOXES = f"{P}, b as (select id, x as x0, x + 8 as x1, y as y0, y + 16 as y1, z as z0, z + 4 as z1 from p where id % 3 = 0)"
+_BOXES = f"{P}, b as (select id, x as x0, x + 8 as x1, y as y0, y + 16 as y1, z as z0, z + 4 as z1 from p)"
 
 
 @query("clearance_pairs", f"{_BOXES} select l.id as a, r.id as b from b l, b r where l.id < r.id and l.x0 <= r.x1 + 2 and r.x0 <= l.x1 + 2 and l.y0 <= r.y1 + 2 and r.y0 <= l.y1 + 2 and l.z0 <= r.z1 + 2 and r.z0 <= l.z1 + 2")
 def clearance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.overlapping_boxes(_boxes(points(spark, sf_dir).where("id % 3 = 0")), 2.0, 32.0)
+    return joins.overlapping_boxes(_boxes(points(spark, sf_dir)), 2.0, 32.0)
 
 
 @query("clearance_pairs_all")
@@ -200,7 +192,14 @@ def stratified_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_checkpoints(points(spark, sf_dir), 6)
 
 
-@query("octree_leaves")
+_OCT = " || ".join(f"(4 * (floor(x * {1 << k} / 16384) % 2) + 2 * (floor(y * {1 << k} / 16384) % 2) + (floor(z * {1 << k} / 16384) % 2))::int" for k in range(1, 21))
+
+
+@query(
+    "octree_leaves",
+    f"{P}, k as (select {_OCT} as key from p), c as (select substr(key, 1, d) as node, d, count(*)::bigint as n from k, range(0, 21) r(d) group by all) "
+    "select node, n from c where (n <= 512 or d = 20) and (d = 0 or exists (select 1 from c u where u.d = c.d - 1 and u.node = substr(c.node, 1, c.d - 1) and u.n > 512))",
+)
 def octree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.operators import graphs
 

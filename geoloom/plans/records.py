@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import batch, documents, filters, fits, graphs, joins, sampling, stats
 from geoloom.registry import query
-from geoloom.sources.bindings import CONTROL_SQL, FEATURES_SQL, PAIRS_SQL, TRIANGLES_SQL, control, features, pair_hints, points, table, triangles
+from geoloom.sources.bindings import CONTROL_SQL, FEATURES_SQL, PAIRS_SQL, POINTS_SQL, TRIANGLES_SQL, control, features, pair_hints, points, table, triangles
 
 _EV = f"with h as ({PAIRS_SQL}), e as (select a, b, max(confidence) filter (source = 0) as gnss, max(confidence) filter (source = 1) as seq, max(confidence) filter (source = 2) as frustum, max(confidence) filter (source = 3) as retrieval from h group by a, b)"
 _PASS = "coalesce(gnss >= {0}, false) or coalesce(seq >= {1}, false) or coalesce(frustum >= {2}, false) or coalesce(retrieval >= {3}, false)"
@@ -109,22 +109,82 @@ def mesh_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mesh_volume(_meshed(spark, sf_dir))
 
 
-@query("overhangs")
+_NORMAL = f"""{_T}, {_VERT}, m as (select face, p.z as az, q.z as bz, r.z as cz, (q.y - p.y) * (r.z - p.z) - (q.z - p.z) * (r.y - p.y) as nx, (q.z - p.z) * (r.x - p.x) - (q.x - p.x) * (r.z - p.z) as ny,
+  (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) as nz from t join v p on p.id = a join v q on q.id = b join v r on r.id = c),
+l as (select *, sqrt(nx * nx + ny * ny + nz * nz) as len from m)"""
+
+
+@query(
+    "overhangs",
+    f"{_NORMAL} select face, round(sum(len), 6) as area2, count(*)::bigint as n from l where degrees(asin(least(1.0, greatest(-1.0, -nz / nullif(len, 0))))) > 45.01 and not (az <= 0 and bz <= 0 and cz <= 0) group by face",
+)
 def overhangs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.overhangs(_meshed(spark, sf_dir))
+    return stats.overhangs(_meshed(spark, sf_dir)).withColumn("area2", F.round("area2", 6))
+
+
+_PAIR_COLUMNS = (
+    "l_orderkey as id", "l_linenumber as line", "l_orderkey % 300 as tentative", "(l_orderkey % 300) * (l_partkey % 11) // 10 as verified",
+    "(l_orderkey % 300) * (l_suppkey % 10) // 10 as homography", "(l_orderkey % 300) * (l_partkey % 11) // 10 * (l_suppkey % 9 + 2) // 10 as cheirality",
+    "l_suppkey % 70 as cells", "64 as cell_count", "(l_partkey * 7) % 3000 as parallax", "(l_orderkey * 3) % 1010 as cycle",
+    "case l_linenumber % 3 when 0 then 'fast' when 1 then 'quality' else 'robust' end as profile", "l_partkey % 4 as first_degree", "l_suppkey % 4 as second_degree",
+    "l_linenumber % 2 = 0 as bridge", "l_partkey % 3 = 0 as expected", "l_suppkey % 7 = 0 as failed", "l_linenumber % 4 = 1 as tried",
+)
+_PM = lambda n, d: f"(case when {d} = 0 then 0 else least(1000, ({n}) * 1000 // nullif({d}, 0)) end)::bigint"
+_PQ = f"""with m as (select {", ".join(_PAIR_COLUMNS)} from lineitem),
+g as (select *, verified > tentative or homography > tentative or cheirality > verified or cells > cell_count or cycle > 1000 as bad from m),
+s as (select *, {_PM("verified", "tentative")} as i, {_PM("cells", "cell_count")} as c, {_PM("homography", "verified")} as o, {_PM("cheirality", "verified")} as h,
+  least(1000, parallax * 1000 // 2000) as p from g where not bad),
+q as (select *, (3 * i + 2 * c + 2 * p + 2 * h + cycle) // 10 as score, case when (o >= 900 and parallax < 1000) or (verified > 0 and h < 600) or parallax < 150 then 'degenerate'
+  when verified >= 40 and i >= 300 and c >= 500 and parallax >= 1000 and h >= 800 then 'strong'
+  when verified >= 15 and i >= 150 and c >= 250 and parallax >= 300 and h >= 700 then 'usable' else 'weak' end as quality from s)"""
+
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[c.replace(" // ", " div ") for c in _PAIR_COLUMNS])
 
-_PQ = "with m as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_orderkey % 300 as tentative, l_partkey % 200 as verified, l_suppkey % 64 as cells, (l_partkey * 7) % 12000 as parallax, l_partkey % 150 as cheirality, l_orderkey % 180 as homography, (l_orderkey * 3) % 1001 as cycle from lineitem)"
-_PM = lambda n, d: f"(case when {d} = 0 then 0 else least(1000, floor(({n}) * 1000 / nullif({d}, 0))) end)::bigint"
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _pairs(spark, sf_dir)
+    good = m.join(stats.pair_problems(m).select("id", "line").distinct(), ["id", "line"], "left_anti")
+    return stats.pair_quality(good)
 
-@query("pair_quality", f"{_PQ}, s as (select *, {_PM('verified', 'tentative')} as i, {_PM('cells', '64')} as c, {_PM('parallax', '10000')} as p, {_PM('cheirality', 'verified')} as h, {_PM('homography', 'verified')} as o from m), t as (select *, (3 * i + 2 * c + 2 * p + 2 * h + cycle) // 10 as score from s) select case when verified < 15 or (o >= 950 and p < 100) then 'degenerate' when score >= 700 and verified >= 100 then 'strong' when score >= 400 then 'usable' else 'weak' end as quality, count(*)::bigint as n, sum(score)::bigint as score from t group by 1")
+
+@query("pair_quality", f"{_PQ} select quality, count(*)::bigint as n, sum(score)::bigint as score from q group by quality")
 def pair_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 300 as tentative", "l_partkey % 200 as verified", "l_suppkey % 64 as cells", "(l_partkey * 7) % 12000 as parallax", "l_partkey % 150 as cheirality", "l_orderkey % 180 as homography", "(l_orderkey * 3) % 1001 as cycle")
-    return stats.pair_quality(m).groupBy("quality").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return _judged(spark, sf_dir).groupBy("quality").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query("pair_problems", f"{_PQ} select id, line from g where bad group by all")
+def pair_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pair_problems(_pairs(spark, sf_dir)).select("id", "line").distinct()
+
 
+_LONELY = "(first_degree < 2 or second_degree < 2)"
 
-@query("content_fingerprint")
+
+@query(
+    "pair_rescue",
+    f"""{_PQ}, r as (select *, list_filter([case when quality = 'weak' then 'weak_pair_quality' end, case when quality = 'degenerate' then 'degenerate_geometry' end,
+  case when {_LONELY} then 'underconnected_image' end, case when bridge and quality <> 'strong' then 'weak_component_bridge' end,
+  case when expected and verified < 30 then 'expected_overlap_missing' end, case when failed then 'registration_failed' end], lambda v: v is not null) as reasons,
+  list_filter(case profile when 'fast' then ['aliked', 'dedode', 'dense'] when 'quality' then ['dedode', 'dense'] else ['dense'] end, lambda v: not (tried and v = 'dedode')) as passes from q)
+select id, line, array_to_string(reasons, ',') as reasons, case when len(reasons) = 0 then '' else
+  array_to_string(list_concat(passes, case when bridge or {_LONELY} then ['expand_graph'] else [] end), ',') end as actions from r group by all""",
+)
+def pair_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    executed = F.when(F.col("tried"), F.array(F.lit("dedode"))).otherwise(F.array().cast("array<string>"))
+    r = stats.rescue(_judged(spark, sf_dir).withColumn("executed", executed))
+    return r.select("id", "line", F.array_join("reasons", ",").alias("reasons"), F.array_join("actions", ",").alias("actions")).distinct()
+
+
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::bigint) as p{k}" for k in range(4))
+
+
+@query(
+    "content_fingerprint",
+    f"with p as ({POINTS_SQL}), h as (select cls, sha256(id::varchar) as h from p), s as (select cls, count(*)::bigint as n, {_PARTS} from h group by cls) "
+    "select cls, n, sha256(concat_ws(',', n, p0, p1, p2, p3)) as fingerprint from s",
+)
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fingerprint(points(spark, sf_dir), "id", "cls")
 
@@ -137,17 +197,18 @@ def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as entity", "bigint(l_linenumber) * 100000000 + l_partkey as sequence", "case when l_returnflag = 'R' then null else concat(l_linestatus, cast(cast(l_quantity as int) as string)) end as after")
 
 
-@query("journal_replay", f"{_J}, l as (select entity, sequence, max(after) as after, count(*) as k from j group by entity, sequence), r as (select entity, count(*) over (partition by entity) as n, sum(k) over (partition by entity) as total, after, k, row_number() over (partition by entity order by sequence desc) as rk from l) select entity as id, (total - 1)::bigint as revision, after is null as deleted from r where rk = 1 and k = 1")
+# of effects with one sequence number the greatest body is the last, an absent one the least
+_REPLAY = f"{_J}, r as (select entity, after, count(*) over (partition by entity) as n, row_number() over (partition by entity order by sequence desc, after desc nulls last) as k from j)"
+
+
+@query("journal_replay", f"{_REPLAY} select entity as id, (n - 1)::bigint as revision, after is null as deleted from r where k = 1")
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the tables repeat a few sequence numbers; entities whose last one is repeated have no defined state
-    j = _journal(spark, sf_dir)
-    last = j.groupBy("entity", "sequence").agg(F.count("*").alias("k")).groupBy("entity").agg(F.max_by("k", "sequence").alias("k")).where("k = 1")
-    return documents.replayed(j).join(last.select(F.col("entity").alias("id")), "id", "left_semi").select("id", "revision", "deleted")
+    return documents.replayed(_journal(spark, sf_dir)).select("id", "revision", "deleted")
 
 
-@query("journal_replay_all")
+@query("journal_replay_all", f"{_REPLAY} select entity as id, (n - 1)::bigint as revision, after as body, after is null as deleted from r where k = 1")
 def journal_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entity, also those whose last sequence number is repeated."""
+    """The same with the bodies."""
     return documents.replayed(_journal(spark, sf_dir)).select("id", "revision", "body", "deleted")
 
 
@@ -223,12 +284,23 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("position_tiers", "with f as (select event_id, case when user_id % 20 < 10 and event_id % 2 = 0 and value < 0.5 then 'fixed' when user_id % 20 < 10 and event_id % 2 = 0 then 'float' else 'single' end as tier, value from events) select event_id, tier, greatest(case tier when 'fixed' then 0.01::double when 'float' then 0.1::double else 1.0::double end, least(value, 3.0::double)) as sigma from f")
+_FIXES = """with f as (select event_id, case when user_id % 5 > 0 then (user_id % 20)::double end as age, event_id % 2 = 0 as dual, floor(value * 8) / 64 - 0.25 as acc from events),
+g as (select *, coalesce(age < 10, false) as ok, case when acc > 0 then acc else 5.0::double end as h from f)"""
+
+
+@query(
+    "position_tiers",
+    f"""{_FIXES} select event_id, case when ok then 'float' else 'single' end as fix, case when ok then 'ntrip_float' when dual then 'dual_frequency' else 'consumer' end as tier,
+  case when ok and dual and h < 1.5 then greatest(0.15::double, least(h, 0.9::double)) when ok then greatest(0.25::double, least(h, 1.5::double)) when h < 2 then 3.0::double else h end as sigma_h,
+  case when ok and dual and h < 1.5 then greatest(0.15::double, least(h, 0.9::double)) * 1.9::double when ok then greatest(0.25::double, least(h, 1.5::double)) * 2 else h * 1.8::double end as sigma_v from g""",
+)
 def position_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.streaming import streams
 
-    f = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).cast("double").alias("correction_age"), (F.col("event_id") % 2 == 0).alias("dual_frequency"), F.col("value").alias("accuracy"))
-    return streams.position_tiers(f).select("event_id", "tier", "sigma")
+    f = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "case when user_id % 5 > 0 then double(user_id % 20) end as correction_age", "event_id % 2 = 0 as dual_frequency", "floor(value * 8) / 64 - 0.25d as accuracy"
+    )
+    return streams.position_tiers(f).select("event_id", "fix", "tier", "sigma_h", "sigma_v")
 
 
 @query("video_frames")

@@ -90,10 +90,20 @@ def ply_points(spark: SparkSession, path: str, rows: int = 65_536) -> DataFrame:
 
 
 def step_records(spark: SparkSession, path: str) -> DataFrame:
-    """(id, type, args) of STEP instances; the separator makes large files splittable."""
-    t = spark.read.option("lineSep", ";").text(path)
+    """(id, type, args) of STEP instances; the separator makes large files splittable.
+
+    A string may hold semicolons (and never a line end), so rows end at a semicolon
+    with a line end, and what lies between is split outside strings. A repeated id
+    is an error.
+    """
+    t = spark.read.option("lineSep", ";\n").text(path)
+    one = F.explode(F.regexp_extract_all("value", F.lit(r"((?:[^;']|'[^']*')+)"), 1)).alias("value")
     m = lambda k: F.regexp_extract("value", r"(?s)^\s*#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*$", k)
-    return t.select(m(1).alias("id"), F.upper(m(2)).alias("type"), m(3).alias("args")).where("id <> ''").withColumn("id", F.col("id").cast("long"))
+    r = t.select(one).select(m(1).alias("id"), F.upper(m(2)).alias("type"), m(3).alias("args")).where("id <> ''").withColumn("id", F.col("id").cast("long"))
+    twice = r.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"instance #{twice[0]['id']} is repeated")
+    return r
 
 
 def xml_elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
