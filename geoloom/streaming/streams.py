@@ -8,21 +8,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Seconds of correction age, and metres, that bound a fix's tier.
-CORRECTION_AGE, FLOAT_SIGMA, SINGLE_SIGMA = 10.0, 0.5, 3.0
+#: Seconds for which a correction counts, metres below which a fix of two
+#: frequencies is fine, and the bounds of sigma with and without it.
+CORRECTION_AGE, FINE = 10.0, 1.5
+FINE_SIGMA, COARSE_SIGMA = (0.15, 0.9), (0.25, 1.5)
 _GAP_MS = 100
 
 
 def position_tiers(fixes: DataFrame) -> DataFrame:
-    """Adds tier and sigma (stateless, so the same for streams and tables)."""
-    fresh = (F.col("correction_age") < CORRECTION_AGE) & F.col("dual_frequency")
-    tier = F.when(fresh & (F.col("accuracy") < FLOAT_SIGMA), "fixed").when(fresh, "float").otherwise("single")
-    low = F.when(tier == "fixed", 0.01).when(tier == "float", 0.1).otherwise(1.0)
-    return fixes.withColumn("tier", tier).withColumn("sigma", F.greatest(low, F.least(F.col("accuracy"), F.lit(SINGLE_SIGMA))))
+    """Adds fix, tier, sigma_h and sigma_v (stateless, so the same for streams and tables).
+
+    ``fixes``: accuracy (metres; not positive: unknown), correction_age (seconds,
+    null: no corrections), dual_frequency. Without a fresh correction a fix is single,
+    and an accuracy under two metres is not believed; with one it is a float solution.
+    """
+    corrected = F.coalesce(F.col("correction_age") < CORRECTION_AGE, F.lit(False))
+    h = F.when(F.col("accuracy") > 0, F.col("accuracy")).otherwise(5.0)
+    fine = corrected & F.col("dual_frequency") & (h < FINE)
+    within = lambda b: F.greatest(F.lit(b[0]), F.least(h, F.lit(b[1])))
+    sigma_h = F.when(fine, within(FINE_SIGMA)).when(corrected, within(COARSE_SIGMA)).when(h < 2, 3.0).otherwise(h)
+    sigma_v = F.when(fine, within(FINE_SIGMA) * 1.9).when(corrected, within(COARSE_SIGMA) * 2.0).otherwise(h * 1.8)
+    tier = F.when(corrected, "ntrip_float").when(F.col("dual_frequency"), "dual_frequency").otherwise("consumer")
+    return fixes.withColumns({"fix": F.when(corrected, "float").otherwise("single"), "tier": tier, "sigma_h": sigma_h, "sigma_v": sigma_v})
 
 
 def quality_summary(fixes: DataFrame) -> DataFrame:
-    return position_tiers(fixes).agg(F.avg("sigma").alias("mean_sigma"), F.avg((F.col("tier") == "fixed").cast("int")).alias("fixed_share"), F.avg((F.col("tier") == "float").cast("int")).alias("float_share"))
+    """Mean sigmas and the shares of fixed and float fixes."""
+    share = lambda v: F.avg((F.col("fix") == v).cast("int"))
+    return position_tiers(fixes).agg(F.avg("sigma_h").alias("mean_sigma_h"), F.avg("sigma_v").alias("mean_sigma_v"), share("fixed").alias("fixed_share"), share("float").alias("float_share"))
 
 
 def coalesced_progress(events: DataFrame, gap_ms: int = _GAP_MS) -> DataFrame:
