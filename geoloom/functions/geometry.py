@@ -166,6 +166,55 @@ def inverse(m: Sequence[float]) -> list[float]:
     return np.linalg.inv(np.array(m).reshape(4, 4).T).T.ravel().tolist()
 
 
+def cascade(p: Sequence[Column], stages: Sequence[tuple], domain: Sequence[float] | None = None, outside: str = "error") -> tuple[Column, Column, Column, Column]:
+    """(x, y, z, flag) of a point after ordered stages, folded into one expression.
+
+    Stages: ("identity",), ("height_offset", dz), ("height_plane", a, b, c) adding
+    a x + b y + c to z, ("similarity", a, b, tx, ty) in the plane, ("affine", 6 numbers) in the
+    plane, ("matrix", 16 numbers) in space. ``domain`` (x0, y0, x1, y1) bounds the input;
+    outside of it ``error`` raises at run time, ``flag`` keeps the input, ``skip`` gives nulls.
+    """
+    x, y, z = p
+    for name, *v in stages:
+        if any(not math.isfinite(a) for a in v):
+            raise ValueError(f"stage {name} has a number that is not finite")
+        if name == "height_offset":
+            z = z + v[0]
+        elif name == "height_plane":
+            z = z + (v[0] * x + v[1] * y + v[2])
+        elif name == "similarity":
+            x, y = similarity_2d(x, y, *v)
+        elif name == "affine":
+            x, y = affine_2d(x, y, v)
+        elif name == "matrix":
+            x, y, z = transform(v, (x, y, z))
+        elif name != "identity":
+            raise ValueError(f"unknown stage {name}")
+    if domain is None:
+        return x, y, z, F.lit(False)
+    x0, y0, x1, y1 = domain
+    if not (x0 <= x1 and y0 <= y1):
+        raise ValueError("the domain is empty")
+    off = ~((p[0] >= x0) & (p[0] <= x1) & (p[1] >= y0) & (p[1] <= y1))
+    other = {"error": lambda c: F.raise_error(F.lit("a point is outside the domain")).cast("double"), "flag": lambda c: c, "skip": lambda c: F.lit(None).cast("double")}
+    if outside not in other:
+        raise ValueError(f"unknown policy {outside}")
+    return (*[F.when(off, other[outside](c)).otherwise(n) for c, n in zip(p, (x, y, z))], off)
+
+
+def arc_points(cx: Column, cy: Column, r: Column, start: Column, sweep: Column, chord_error: float, most: int = 4096) -> Column:
+    """An array of (x, y) along an arc from ``start`` over ``sweep`` (radians), both ends included."""
+    step = 2 * F.acos(F.greatest(F.lit(-1.0), 1 - F.try_divide(F.lit(chord_error), r)))
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide(F.abs(sweep), step), F.lit(1.0))).cast("int")))
+    return F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((cx + r * F.cos(start + sweep * k / n)).alias("x"), (cy + r * F.sin(start + sweep * k / n)).alias("y")))
+
+
+def natural_key(name: Column) -> Column:
+    """A sort key under which numbers inside names count by value and letters without case."""
+    runs = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 24, "0")).otherwise(r)), "")
+
+
 def huber(r: Column, delta: float) -> Column:
     return F.when(r <= delta, F.lit(1.0)).otherwise(F.try_divide(F.lit(delta), r))
 

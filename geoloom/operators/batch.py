@@ -145,3 +145,101 @@ def illegal_transitions(history: DataFrame) -> DataFrame:
     h = history.withColumns({"_s": F.lag("state").over(w), "_p": F.lag("progress").over(w)})
     p = F.when(F.col("_s").isNotNull() & ~F.concat_ws(">", "_s", "state").isin(pairs), "transition").when((F.col("_s") == F.col("state")) & (F.col("progress") < F.col("_p")), "progress")
     return h.select("job", "sequence", "state", p.alias("problem")).where("problem is not null")
+
+
+def prerequisites(needs: DataFrame, available: DataFrame) -> DataFrame:
+    """(product, met, missing): products whose every group of artifacts (product, grp, artifact)
+    has one that is available (artifact); ``missing`` is the first group without."""
+    a = available.select("artifact").distinct().withColumn("_there", F.lit(True))
+    g = needs.join(a, "artifact", "left").groupBy("product", "grp").agg(F.bool_or(F.coalesce("_there", F.lit(False))).alias("ok"))
+    return g.groupBy("product").agg(F.bool_and("ok").alias("met"), F.min(F.when(~F.col("ok"), F.col("grp"))).alias("missing"))
+
+
+def derived_edges(steps: DataFrame) -> DataFrame:
+    """(source, target, artifact): each step (step, ordinal, makes, needs: arrays) depends on the last
+    step before it that makes what it needs."""
+    m = steps.select(F.col("step").alias("source"), F.col("ordinal").alias("o"), F.explode("makes").alias("artifact"))
+    n = steps.select(F.col("step").alias("target"), "ordinal", F.explode("needs").alias("artifact"))
+    j = n.join(m, "artifact").where("o < ordinal")
+    return j.groupBy("target", "artifact").agg(F.max_by("source", F.struct("o", "source")).alias("source")).select("source", "target", "artifact")
+
+
+def resume_problems(jobs: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(job, sequence, problem) of checkpoints (job, sequence, kind, config, input, committed) against
+    jobs (job, kind, config, input): foreign, of other settings, uncommitted or out of order."""
+    from pyspark.sql import Window
+
+    j = jobs.select("job", F.col("kind").alias("_k"), F.col("config").alias("_c"), F.col("input").alias("_i"))
+    c = checkpoints.withColumn("_last", F.max("sequence").over(Window.partitionBy("job").orderBy("written").rowsBetween(Window.unboundedPreceding, -1)))
+    same = F.col("kind").eqNullSafe(F.col("_k")) & F.col("config").eqNullSafe(F.col("_c")) & F.col("input").eqNullSafe(F.col("_i"))
+    p = F.when(F.col("_k").isNull(), "foreign").when(~same, "incompatible").when(~F.col("committed"), "uncommitted").when(F.col("sequence") <= F.col("_last"), "order")
+    return c.join(j, "job", "left").select("job", "sequence", p.alias("problem")).where("problem is not null")
+
+
+def sweep_report(outcomes: DataFrame) -> DataFrame:
+    """(sweep, n, rebuilt, refused, failed, passed): counts of samples (sweep, state, checks_failed)."""
+    state = lambda s: F.count_if(F.col("state") == s).alias(s)
+    ok = (F.col("state") == "rebuilt") & (F.col("checks_failed") == 0)
+    return outcomes.groupBy("sweep").agg(F.count("*").alias("n"), state("rebuilt"), state("refused"), state("failed"), F.count_if(ok).alias("passed"))
+
+
+def resolved_parameters(constants: DataFrame, terms: DataFrame) -> DataFrame:
+    """(name, value, problem): parameters (name, constant) plus terms (name, ref, factor) of others.
+
+    Each round resolves what refers to resolved values only. What is left refers to a
+    circle; an unknown or unresolved reference and a sum that is not finite have a problem
+    and no value.
+    """
+    from geoloom.session import cut
+
+    known = constants.select(F.col("name").alias("ref")).distinct()
+    unknown = terms.join(known, "ref", "left_anti").select("name").distinct().withColumn("_u", F.lit(True))
+    done = constants.join(terms.select("name").distinct(), "name", "left_anti").select("name", F.col("constant").alias("value")).transform(cut)
+    left = constants.join(done.select("name"), "name", "left_anti").transform(cut)
+    while True:
+        v = done.select(F.col("name").alias("ref"), F.col("value").alias("_v"), F.lit(True).alias("_known"))
+        sums = terms.join(left.select("name"), "name", "left_semi").join(v, "ref", "left").groupBy("name")
+        sums = sums.agg(F.sum(F.col("factor") * F.col("_v")).alias("_s"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("_all"))
+        fresh = left.join(sums.where("_all"), "name").select("name", (F.col("constant") + F.col("_s")).alias("value")).transform(cut)
+        if fresh.isEmpty():
+            break
+        done = done.unionByName(fresh).transform(cut)
+        left = left.join(fresh.select("name"), "name", "left_anti").transform(cut)
+    bad = F.isnan("value") | (F.abs("value") == float("inf"))
+    good = done.select("name", F.when(~bad, F.col("value")).alias("value"), F.when(bad, "not finite").alias("problem"))
+    rest = left.join(unknown, "name", "left").select("name", F.lit(None).cast("double").alias("value"), F.when(F.col("_u"), "unknown").otherwise("circle").alias("problem"))
+    return good.unionByName(rest)
+
+
+def artifact_problems(artifacts: DataFrame) -> DataFrame:
+    """(id, problem) of typed artifacts (id, offset, length, stride, width, shape: array, size)."""
+    n = F.aggregate("shape", F.lit(1).cast("long"), lambda a, v: a * v)
+    p = (
+        F.when((F.col("offset") < 0) | (F.col("length") < 0) | (F.col("offset") + F.col("length") > F.col("size")), "range")
+        .when(F.col("width") < 1, "width")
+        .when(F.col("stride") < F.col("width"), "stride")
+        .when(F.exists("shape", lambda v: v < 1), "shape")
+        .when(n * F.col("stride") != F.col("length"), "length")
+    )
+    return artifacts.select("id", p.alias("problem")).where("problem is not null")
+
+
+def octree_metadata(metadata: DataFrame) -> DataFrame:
+    """(id, attribute, offset, size, problem): the attributes of point files' metadata (id, version,
+    encoding, scale: array, attributes: array of name, size) with their byte offsets by normalised name.
+
+    A problem of the whole file is told on each of its rows; position takes 12 bytes and
+    classification one.
+    """
+    whole = (
+        F.when(~F.col("version").startswith("2"), "version")
+        .when(~F.col("encoding").isin("DEFAULT", "UNCOMPRESSED"), "encoding")
+        .when(F.size("attributes") == 0, "attributes")
+        .when(F.exists("scale", lambda s: (s == 0) | F.isnan(s) | (F.abs(s) == float("inf"))), "scale")
+    )
+    m = metadata.select("id", whole.alias("_w"), "attributes", F.posexplode("attributes").alias("_k", "_a"))
+    name = F.regexp_replace(F.lower(F.col("_a.name")), "[^a-z0-9]+", "")
+    offset = F.aggregate(F.slice("attributes", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda s, a: s + a["size"])
+    size = F.col("_a.size")
+    own = F.when((name == "position") & (size != 12), "size").when((name == "classification") & (size != 1), "size")
+    return m.select("id", name.alias("attribute"), offset.alias("offset"), size.cast("long").alias("size"), F.coalesce("_w", own).alias("problem"))

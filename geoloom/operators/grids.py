@@ -147,7 +147,6 @@ def ground(points: DataFrame, cell_size: float = 1.0, max_window: float = 18.0,
     return out.withColumn("residual", r).withColumn("is_ground", F.coalesce((r <= initial + slope * cell_size) & ~F.col("removed"), F.lit(False))).drop("col", "row", "removed")
 
 
-
 def residual_summary(df: DataFrame) -> DataFrame:
     """Count, mean, population deviation, least and greatest; all zero for none."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
@@ -179,3 +178,71 @@ def cell_triangles(grid: DataFrame) -> DataFrame:
     q = grid.withColumn("r", F.lead("value").over(e)).withColumn("d", F.lead("value").over(s)).withColumn("x", F.lead("r").over(s))
     halves = F.array(F.when(F.col("value").isNotNull() & F.col("r").isNotNull() & F.col("d").isNotNull(), 0), F.when(F.col("r").isNotNull() & F.col("d").isNotNull() & F.col("x").isNotNull(), 1))
     return q.select("col", "row", F.explode(F.array_compact(halves)).alias("half"))
+
+
+def _catmull(t: Column) -> list[Column]:
+    """The weights of four values in a row at a place t between the middle two."""
+    t2, t3 = t * t, t * t * t
+    return [(-t3 + 2 * t2 - t) * 0.5, (3 * t3 - 5 * t2 + 2) * 0.5, (-3 * t3 + 4 * t2 + t) * 0.5, (t3 - t2) * 0.5]
+
+
+def grid_values(points: DataFrame, grid: DataFrame, w: int, h: int, method: str) -> DataFrame:
+    """Adds ``sampled`` and ``problem`` to points (id, u, v) in grid coordinates (nodes are whole numbers).
+
+    ``method``: nearest, bilinear or cubic (Catmull-Rom, rows beyond the edge repeat it).
+    A point off the grid is ``outside``; one that needs a node without data is
+    ``missing``. A point asks for its 1, 4 or 16 nodes by an equi-join.
+    """
+    inside = (F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") <= w - 1) & (F.col("v") <= h - 1)
+    p = points.where(inside)
+    if method == "nearest":
+        nodes = F.array(F.struct(F.floor(F.col("u") + 0.5).cast("int").alias("col"), F.floor(F.col("v") + 0.5).cast("int").alias("row"), F.lit(1.0).alias("weight")))
+    elif method in ("bilinear", "cubic"):
+        last = (w - 2, h - 2) if method == "bilinear" else (w - 1, h - 1)
+        at = [F.greatest(F.lit(0), F.least(F.lit(n), F.floor(c).cast("int"))) for c, n in zip(("u", "v"), last)]
+        t = [F.col(c) - a for c, a in zip(("u", "v"), at)]
+        if method == "bilinear":
+            taps = [[(0, 1 - x), (1, x)] for x in t]
+        else:
+            taps = [list(zip((-1, 0, 1, 2), _catmull(x))) for x in t]
+        clamp = lambda a, d, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), a + d))
+        nodes = F.array(*[F.struct(clamp(at[0], i, w).alias("col"), clamp(at[1], j, h).alias("row"), (x * y).alias("weight")) for j, y in taps[1] for i, x in taps[0]])
+    else:
+        raise ValueError(f"unknown method {method}")
+    asks = p.select("id", F.explode(nodes).alias("n")).select("id", "n.*")
+    got = asks.join(grid.where("value is not null").select("col", "row", "value"), ["col", "row"], "left")
+    sums = got.groupBy("id").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"), F.count_if(F.col("value").isNull()).alias("_m"))
+    j = points.join(sums, "id", "left")
+    problem = F.when(F.col("_m").isNull(), "outside").when(F.col("_m") > 0, "missing")
+    return j.withColumn("problem", problem).withColumn("sampled", F.when(F.col("problem").isNull(), F.col("_s"))).drop("_s", "_m")
+
+
+def warped(target: DataFrame, source: DataFrame, w: int, h: int, forward: tuple[float, ...]) -> DataFrame:
+    """(col, row, value): a source raster drawn into target cells (col, row) under a plane affine map
+    (a, b, c, d, e, f: x' = a x + b y + c, y' = d x + e y + f) from source to target cells.
+
+    Each target cell looks up its source by the inverse map, bilinearly and strictly: a cell
+    whose source is outside or touches no-data is null.
+    """
+    a, b, c, d, e, f = forward
+    det = a * e - b * d
+    if det == 0:
+        raise ValueError("the map has no inverse")
+    x, y = F.col("col") - c, F.col("row") - f
+    asks = target.select(F.struct("col", "row").alias("id"), ((e * x - b * y) / det).alias("u"), ((a * y - d * x) / det).alias("v"))
+    return grid_values(asks, source, w, h, "bilinear").select("id.col", "id.row", F.col("sampled").alias("value"))
+
+
+def tile_heights(points: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Adds ``height`` to points (id, col, row) from tiled cells (tile_col, tile_row, col, row, value):
+    the cell of the point's own tile; cells and points meet by tile and cell."""
+    p = points.withColumns({"tile_col": F.expr(f"col div {size}"), "tile_row": F.expr(f"row div {size}")})
+    t = tiles.select("tile_col", "tile_row", "col", "row", F.col("value").alias("height"))
+    return p.join(t, ["tile_col", "tile_row", "col", "row"], "left").drop("tile_col", "tile_row")
+
+
+def covered(samples: DataFrame, value: str = "weighted") -> DataFrame:
+    """The samples, if any has a value; no coverage at all is an error."""
+    if samples.where(F.col(value).isNotNull()).isEmpty():
+        raise ValueError("no cell is covered")
+    return samples
