@@ -12,7 +12,7 @@ missed with probability (1 - 0.8**4)**32 < 5e-8.
    not all pairs); the components of that graph are families;
 3. a family's classes are compared exactly in blocks of ``BLOCK`` classes and
    ``BLOCK_SHINGLES`` shingles on average, each together with the family's
-   ``PIVOTS`` classes of most shared keys: products of 0/1 matrices count the
+   ``PIVOTS`` pivots (of each hash slot the class with most shared keys): products of 0/1 matrices count the
    intersections, and only a spanning forest of the links leaves the task.
    A family of one block is then settled, and so is one that has become one component;
 4. in the others tiles that hold different components and sizes that can
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
@@ -227,8 +227,10 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     some = not placed.where("blocks > 1").isEmpty()
     if some:
         shared = stars.select(F.explode(F.array("a", "b")).alias("node"), "shared").groupBy("node").agg(F.sum("shared").alias("shared"))
-        order = Window.partitionBy("family").orderBy(F.desc("shared"), "node")  # limited in each partition before the shuffle
-        pivots = placed.where("blocks > 1").join(shared, "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).select(F.col("node").alias("pivot"))
+        # the best class of each of PIVOTS slots: a sum that every task begins by itself, so a large family is no large group
+        slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))
+        best = placed.where("blocks > 1").join(shared, "node").groupBy("family", slot.alias("slot")).agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
+        pivots = best.select("pivot")
         copies = many.join(pivots, F.col("node") == F.col("pivot")).select("family", "node", "grams", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where("block <> home")
         units = units.unionByName(copies.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit))
     found = runtime.cut(compared(units, threshold))
