@@ -45,7 +45,7 @@ import hashlib
 import html as entities
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -130,8 +130,9 @@ def parse(page: str) -> Node:
     unclosed: dict[str, int] = {}  # raw tags that are not closed from a place on
     link = False
 
-    def last(tags: Iterable[str]) -> int:
-        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+    def last(tag: str) -> int:
+        places = where.get(tag)
+        return places[-1] if places else 0
 
     def close(k: int) -> None:
         for n in stack[k:]:
@@ -160,7 +161,7 @@ def parse(page: str) -> Node:
             continue
         link = link and tag == "br"
         if m[1]:
-            if k := last((tag,)):
+            if k := last(tag):
                 close(k)
             continue
         if tag in _VOID:
@@ -182,14 +183,14 @@ def parse(page: str) -> Node:
         if (tag in _FOREIGN or tag in _RAW) and m[3].endswith("/"):
             stack[-1].items.append(" ")
             continue
-        if tag in _CLOSES_P and (k := last(("p",))) and k >= len(stack) - 4:
+        if tag in _CLOSES_P and (k := last("p")) and k >= len(stack) - 4:
             close(k)
         elif tag in _SAME_CLOSES:
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            if (k := last(same)) > last(_SAME_CLOSES[tag]):
+            if (k := max(map(last, same))) > max(map(last, _SAME_CLOSES[tag])):
                 close(k)
         names, bad, doubt = "", tag in _NO_CONTENT, False
-        inside = last(("article", "main")) > 0
+        inside = last("article") > 0 or last("main") > 0
         if m[3]:
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower()
             words = set(_WORD.findall(names))
@@ -237,6 +238,8 @@ class Forms:
         self.kids: list[np.ndarray] = []
         self.sizes: list[int] = []
         self.memo: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.noted = 0  # entries of pairs
 
     def note(self, nodes: list[Node]) -> None:
         """Sets the form of each node of a tree (numbered, in page order)."""
@@ -260,6 +263,16 @@ class Forms:
             return 1
         return self.memo.get((a, b))
 
+    def matched(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The places of matched children of two forms."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            x, y = self.kids[a], self.kids[b]
+            pairs = pairs_of(x, y, self)
+            found = self.pairs[a, b] = [(i, j) for i, j in pairs if self.labels[x[i]] == self.labels[y[j]]]
+            self.noted += len(found)
+        return found
+
     def gains(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(matrix over the distinct forms, rows of x, columns of y) of known scores."""
         p, row = np.unique(x, return_inverse=True)
@@ -345,8 +358,10 @@ def align(a: Node, b: Node, forms: Forms | None = None) -> list[tuple[Node, Node
         p, q = todo.pop()
         out.append((p, q))
         if p.kids and q.kids:
-            x, y = np.array([k.form for k in p.kids], np.int64), np.array([k.form for k in q.kids], np.int64)
-            todo += [(p.kids[i], q.kids[j]) for i, j in pairs_of(x, y, forms) if p.kids[i].label == q.kids[j].label]
+            if p.form == q.form:
+                todo += zip(p.kids, q.kids)
+            else:
+                todo += [(p.kids[i], q.kids[j]) for i, j in forms.matched(p.form, q.form)]
     return out
 
 
@@ -501,7 +516,7 @@ class _Refs:
         self.forms = Forms()
 
     def get(self, host: str, page: str) -> list[Node]:
-        if len(self.held) > 200 or len(self.forms.labels) + len(self.forms.memo) > 200_000:
+        if len(self.held) > 200 or len(self.forms.labels) + len(self.forms.memo) + self.forms.noted > 200_000:
             self.__init__()
         if host not in self.held:
             self.held[host] = number(parse(page))
