@@ -108,12 +108,16 @@ def overhangs(meshed: DataFrame, degrees: float = 45.0, slack: float = 0.01) ->
 PAIR_CLASSES = {"strong": (40, 300, 500, 1000, 800), "usable": (15, 150, 250, 300, 700)}
 
 
-def pair_problems(pairs: DataFrame) -> DataFrame:
-    """Pairs whose counts contradict each other, with the reason; the others can be judged."""
+def pair_problem() -> Column:
+    """Why a pair's counts contradict each other (null: they don't)."""
     counts = (F.col("verified") > F.col("tentative")) | (F.col("homography") > F.col("tentative")) | (F.col("cheirality") > F.col("verified"))
     cells = (F.col("cell_count") == 0) | (F.col("cells") > F.col("cell_count"))
-    problem = F.when(counts, "inlier counts").when(cells, "grid occupancy").when(~F.col("cycle").between(0, 1000), "cycle")
-    return pairs.withColumn("problem", problem).where("problem is not null")
+    return F.when(counts, "inlier counts").when(cells, "grid occupancy").when(~F.col("cycle").between(0, 1000), "cycle")
+
+
+def pair_problems(pairs: DataFrame) -> DataFrame:
+    """Pairs whose counts contradict each other, with the reason; the others can be judged."""
+    return pairs.withColumn("problem", pair_problem()).where("problem is not null")
 
 
 def pair_quality(pairs: DataFrame) -> DataFrame:

@@ -144,9 +144,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _pairs(spark, sf_dir)
-    good = m.join(stats.pair_problems(m).select("id", "line").distinct(), ["id", "line"], "left_anti")
-    return stats.pair_quality(good)
+    return stats.pair_quality(_pairs(spark, sf_dir).where(stats.pair_problem().isNull()))
 
 
 @query("pair_quality", f"{_PQ} select quality, count(*)::bigint as n, sum(score)::bigint as score from q group by quality")
