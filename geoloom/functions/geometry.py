@@ -261,3 +261,46 @@ def local_scale(a: Sequence[Column], b: Sequence[Column], var: Column, length: C
     d = F.sqrt(sum(((b[k] - a[k]) * (b[k] - a[k]) for k in range(1, 3)), (b[0] - a[0]) * (b[0] - a[0])))
     s = F.try_divide(length, d)
     return s, F.sqrt(F.try_divide(sigma, d) * F.try_divide(sigma, d) + F.try_divide(s, d) * F.try_divide(s, d) * var)
+
+
+#: Kinds of geometry, each with its strategy and the warning it always has.
+STRATEGIES = {
+    "pointSet": ("mapVertices", None),
+    "polyline": ("mapVertices", None),
+    "mesh": ("mapVertices", None),
+    "analyticCurve": ("densifyThenMapVertices", "analyticDensified"),
+    "rigidFrame": ("mapFrameWithJacobian", "orientationLinearized"),
+    "text": ("mapTextAnchorAndScale", "textScalePolicy"),
+    "rasterField": ("warpRasterInverseMap", "rasterWarpRequired"),
+    "implicitSolid": ("tessellateThenMap", "implicitRequiresTessellation"),
+    "hierarchy": ("rematerializeHierarchy", "hierarchyMustRematerialize"),
+    "mixedBundle": ("mapVertices", "mixedRepresentation"),
+}
+#: Kinds that an exact transform must not approximate.
+EXACT_KINDS = ("analyticCurve", "implicitSolid")
+
+
+def transform_class(kind: Column, linear: Column, densify: Column, strict: Column, joined: Column) -> Column:
+    """(support, strategy, warnings) of a kind of geometry under a transform.
+
+    ``linear``: all stages are similarities, affine maps or height shifts; ``densify``:
+    circles become polylines, else they keep a best-fit radius; ``strict``: no
+    approximation of analytic kinds; ``joined``: warn of gaps at joined boundaries.
+    An unknown kind gives null.
+    """
+    rules = F.create_map(*[x for k, (s, w) in STRATEGIES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("strategy"), F.lit(w).cast("string").alias("warning")))])
+    rule = F.element_at(rules, kind)
+    round_ = kind.isin("circle", "arc")
+    bent = round_ & ~linear
+    refused = strict & (kind.isin(*EXACT_KINDS) | (bent & ~densify))
+    approximate = bent | rule["warning"].isNotNull()
+    strategy = F.when(refused, "reject").when(bent & densify, "densifyThenMapVertices").when(round_, "mapCentreAndBestFitRadius").otherwise(rule["strategy"])
+    support = F.when(refused, "unsupported").when(approximate, "supportedWithApproximation").otherwise("fullySupported")
+    warnings = F.array_compact(F.array(
+        rule["warning"],
+        F.when(bent & densify, "analyticDensified"),
+        F.when(bent & densify & joined, "connectivityRisk"),
+        F.when(bent & ~densify, "circleBestFitApproximation"),
+        F.when(refused, "strictExactnessBlocked"),
+    ))
+    return F.when(round_ | rule.isNotNull(), F.struct(support.alias("support"), strategy.alias("strategy"), warnings.alias("warnings")))
