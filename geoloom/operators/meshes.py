@@ -18,24 +18,29 @@ def _between(p: str, q: str) -> tuple[Column, Column, Column]:
     return tuple(F.col(f"{q}{k}") - F.col(f"{p}{k}") for k in "xyz")
 
 
-def _to_edge(p: str, q: str) -> Column:
-    """The squared distance of the point s to the segment pq."""
-    w, u = _between(p, "s"), _between(p, q)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(w, u), dot(u, u)), F.lit(0.0))))
-    d = [w[k] - t * u[k] for k in range(3)]
-    return dot(d, d)
+EDGES = ("ab", "bc", "ca")
 
 
-def squared_distance() -> Column:
-    """The squared distance of the point (sx, sy, sz) to the triangle (ax .. cz): to its plane
-    above the inside, to the nearest edge elsewhere and for triangles without an area."""
+def with_distance(pairs: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared distance of the point (sx, sy, sz) to the triangle (ax .. cz): to
+    its plane above the inside, to the nearest edge elsewhere and for triangles without
+    an area. Places on the edges are columns of their own, so that each is found once."""
+    places = {}
+    for p, q in EDGES:
+        w, u = _between(p, "s"), _between(p, q)
+        places[f"on_{p}{q}"] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(w, u), dot(u, u)), F.lit(0.0))))
     u, v, w = _between("a", "b"), _between("a", "c"), _between("a", "s")
-    n = cross(u, v)
-    area = dot(n, n)
-    second, third = dot(cross(w, v), n), dot(cross(u, w), n)
-    above = (area > 0) & (second >= 0) & (third >= 0) & (second + third <= area)
-    height = dot(w, n)
-    return F.when(above, F.try_divide(height * height, area)).otherwise(F.least(_to_edge("a", "b"), _to_edge("b", "c"), _to_edge("c", "a")))
+    places |= {f"normal_{k}": c for k, c in zip("xyz", cross(u, v))}
+    to_edges = []
+    for p, q in EDGES:
+        along, edge = _between(p, "s"), _between(p, q)
+        d = [along[k] - F.col(f"on_{p}{q}") * edge[k] for k in range(3)]
+        to_edges.append(dot(d, d))
+    n = [F.col(f"normal_{k}") for k in "xyz"]
+    solved = {"area": dot(n, n), "second": dot(cross(w, v), n), "third": dot(cross(u, w), n), "height": dot(w, n)}
+    above = (F.col("area") > 0) & (F.col("second") >= 0) & (F.col("third") >= 0) & (F.col("second") + F.col("third") <= F.col("area"))
+    d2 = F.when(above, F.try_divide(F.col("height") * F.col("height"), F.col("area"))).otherwise(F.least(*to_edges))
+    return pairs.withColumns(places).withColumns(solved).withColumn("d2", d2)
 
 
 def _span(df: DataFrame, columns: dict[str, list[str]]) -> dict[str, tuple[float, float]]:
@@ -73,8 +78,8 @@ def within(points: DataFrame, mesh: DataFrame, reach: float) -> DataFrame:
         t = t.withColumn(f"cell_{k}", F.explode(F.sequence(*ends)))
         own = F.floor(F.col(f"s{k}") / reach)
         s = s.withColumn(f"cell_{k}", F.explode(F.sequence(own - 1, own + 1)))
-    near = s.join(t, [f"cell_{k}" for k in "xyz"]).withColumn("d2", squared_distance()).where(F.col("d2") < reach * reach)
-    return near.groupBy("sid").agg(F.min(F.struct("d2", "tid")).alias("b")).select("sid", F.col("b.tid").alias("tid"), F.col("b.d2").alias("d2"))
+    near = with_distance(s.join(t, [f"cell_{k}" for k in "xyz"])).groupBy("sid").agg(F.min(F.struct("d2", "tid")).alias("b"))
+    return near.select("sid", F.col("b.tid").alias("tid"), F.col("b.d2").alias("d2")).where(F.col("d2") < reach * reach)
 
 
 def nearest_triangles(points: DataFrame, mesh: DataFrame, reach: float, growth: float = 2.0) -> DataFrame:
