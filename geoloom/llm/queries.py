@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, minhash, packing, quality, substring, toxicity, warc, wrapper
+from . import chat, decontam, importance, langid, minhash, packing, quality, substring, toxicity, vectorcodes, warc, windows, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.packed(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_chat_formatting, op2_warc, op3_minhash_near_dedup, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_html_extraction, pipeline)
+    ops = (op1_chat_formatting, op2_warc, op3_minhash_near_dedup, op4_quality_rules, op5_benchmark_decontamination, op6_language_id, op7_toxicity, op8_substring_dedup, op9_best_fit_packing, op10_html_extraction, op11_importance_resampling, op12_vector_code_compression, op13_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -73,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.SQL.format(documents="documents"),
         "op5_benchmark_decontamination": decontam.SQL.format(documents="documents"),
         "op2_warc": warc.SQL,
+        "op11_importance_resampling": importance.SQL,
+        "op12_vector_code_compression": vectorcodes.SQL,
     }

@@ -37,15 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once into Parquet in the shared folder and read back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` computed once into Parquet in the shared folder and read back, in a folder for
+    each value of ``by`` if one is named.
 
     Unlike a checkpoint it is columnar and compressed, so later readers
     fetch only the columns they need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
