@@ -21,16 +21,18 @@ def session(name: str = "geoloom", cores: str = "*", partitions: int = 8) -> Spa
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by reliable checkpoint files.
-
-    They go to ``spark.checkpoint.dir``; only a local session without that setting
-    (as in tests) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; only a local
+    session without that setting (as in tests) gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return (folder or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by reliable checkpoint files."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
