@@ -29,6 +29,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ TOKENIZER = "word_bpe_49k"
 BLOCK_TOKENS, BLOCK_ITEMS = 1 << 22, 50_000
 #: Distinct words, each of at most so many bytes, whose ids a worker keeps.
 CACHE_WORDS, CACHE_BYTES = 500_000, 64
-#: Long texts are split into words in parts of about so many bytes.
+#: Texts are split into words in groups, and long texts in parts, of about so many bytes.
 SEGMENT_BYTES = 1 << 20
 #: Lower-case letters that no normal form changes, and marks after them.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?%$&#*]*)")
@@ -77,12 +78,18 @@ def _known(name: str) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
     return {}, {}
 
 
+@functools.cache
+def _id_of_nul(coder) -> int:
+    (mark,) = coder.encode("\0", add_special_tokens=False).ids
+    return mark
+
+
 def _tokenized(words: list[bytes], coder) -> dict[bytes, bytes]:
     """Little-endian ids of words without NUL: read in one call with a NUL between each
     two, whose id no other word can end in."""
     if not words:
         return {}
-    (mark,) = coder.encode("\0", add_special_tokens=False).ids
+    mark = _id_of_nul(coder)
     joined = b" \0 ".join(words).decode("utf-8", "replace")
     ids = np.array(coder.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
     ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
@@ -137,28 +144,42 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def token_ids(text: bytes, name: str = TOKENIZER, end_id: int = END_ID) -> np.ndarray:
-    """The tokenizer's ids of a UTF-8 text, and the end id.
+def _words(segment: bytes) -> list[bytes]:
+    """What stands between ASCII white space.
+
+    The tokenizer lower-cases. Doing so for ASCII before it composes characters changes
+    nothing where no combining mark (U+0300 to U+036F) could join a letter.
+    """
+    if b"\xcc" not in segment and b"\xcd" not in segment and b"<|" not in segment:
+        segment = segment.lower()
+    return segment.split()
+
+
+def _coded(segments: list[list[bytes]], name: str) -> list[bytes]:
+    """The little-endian ids of each list of words."""
+    known, parts = _known(name)
+    new = set(chain.from_iterable(segments)).difference(known)
+    if new:
+        _learn(new, name)
+    out = [b"".join(map(known.__getitem__, words)) for words in segments]
+    if new:
+        _forget(known, new)
+        _forget(parts, {p for w in new if len(w) > CACHE_BYTES and (m := _PLAIN.fullmatch(w)) for p in m.groups()})
+    return out
+
+
+def token_ids(texts: list[bytes], name: str = TOKENIZER, end_id: int = END_ID) -> list[np.ndarray]:
+    """For each UTF-8 text the tokenizer's ids, and the end id.
 
     This tokenizer drops white space and no token crosses it, so a text's ids are
     those of its words between ASCII white space; each distinct word is tokenized once.
     """
-    known, parts = _known(name)[0], []
-    for segment in _segments(text):
-        # The tokenizer lower-cases. Doing so for ASCII before it composes characters changes nothing
-        # where no combining mark (U+0300 to U+036F) could join a letter.
-        if b"\xcc" not in segment and b"\xcd" not in segment and b"<|" not in segment:
-            segment = segment.lower()
-        words = segment.split()
-        new = set(words).difference(known)
-        if new:
-            _learn(new, name)
-        parts.append(b"".join(map(known.__getitem__, words)))
-        if new:
-            _forget(known, new)
-            _forget(_known(name)[1], {p for w in new if len(w) > CACHE_BYTES and (m := _PLAIN.fullmatch(w)) for p in m.groups()})
-    parts.append(np.array([end_id], "<u4").tobytes())
-    return np.frombuffer(b"".join(parts), "<u4")
+    end = np.array([end_id], "<u4").tobytes()
+    if len(texts) == 1:
+        coded = [b"".join([_coded([_words(s)], name)[0] for s in _segments(texts[0])])]
+    else:
+        coded = _coded([_words(t) for t in texts], name)
+    return [np.frombuffer(ids + end, "<u4") for ids in coded]
 
 
 class OpenWindows:
@@ -317,14 +338,28 @@ def _first_id(turn: int) -> int:
     return (turn << 57) + (TaskContext.get().partitionId() << 33)
 
 
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``SEGMENT_BYTES`` together, or of one text."""
+    first, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size > SEGMENT_BYTES:
+            yield first, k
+            first, total = k, 0
+        total += size
+    if sizes:
+        yield first, len(sizes)
+
+
 def _of_documents(name: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(capacity, _first_id(0))
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block.document(doc, token_ids(text.as_py() or b"", name))
-                if block.full():
-                    yield block.done(False)
+            docs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
+            for a, z in _groups([len(t) for t in texts]):
+                for doc, ids in zip(docs[a:z], token_ids(texts[a:z], name)):
+                    block.document(doc, ids)
+                    if block.full():
+                        yield block.done(False)
         yield block.done(False)
 
     return run
