@@ -164,6 +164,19 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str = "tota
     return joined.withColumn(name, F.col("_before") + F.col("_run")).drop("_part", "_before", "_run")
 
 
+def running_total_by(df: DataFrame, group: list[str], order: list[str], value: str, name: str, before: str) -> DataFrame:
+    """Adds the running sum of ``value`` within each group in a total order, and the sum
+    ``before`` the row; a group of any size is spread over ranges of the order."""
+    parts = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()).transform(cut)
+    sums = parts.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part", *group).orderBy(*order)
+    inner = parts.withColumns({"_run": F.sum(value).over(within), "_ahead": F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    joined = inner.join(starts, ["_part", *group])
+    return joined.withColumns({name: F.col("_start") + F.col("_run"), before: F.col("_start") + F.col("_ahead")}).drop("_part", "_start", "_run", "_ahead")
+
+
 def admitted(requests: DataFrame, budget: int) -> DataFrame:
     """Requests (lane, dataset, benefit, tile, cost) in lane order, datasets of a
     lane in turn, admitted while the running cost stays within the budget; each

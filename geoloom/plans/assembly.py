@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
-from geoloom.operators import merges, meshes
+from geoloom.operators import merges, meshes, walls
 from geoloom.registry import query
 from geoloom.sources.bindings import POINTS_SQL, points, table
 
@@ -98,3 +98,30 @@ def transform_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_custkey")
     found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), G.transform_class(kind, key % 2 == 0, key % 3 == 0, key % 5 == 0, key % 7 < 4).alias("c"))
     return found.select("id", "c.support", "c.strategy", F.when(F.col("c").isNotNull(), F.array_join("c.warnings", ",")).alias("warnings"))
+
+
+def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body, face, id, ax .. cz): each part is a plate of twelve triangles, many plates make a body."""
+    k = F.col("p_partkey")
+    low = [(k * m % n).cast("double") for m, n in ((7, 1500), (11, 6000), (13, 125))]
+    side = [(3 + k % 5).cast("double"), (2 + k % 7).cast("double"), (k % 9 + 1).cast("double") / 8]
+    corner = lambda c: [low[i] + side[i] * (c >> i & 1) for i in range(3)]
+    quads = [(0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6)]  # corners counterclockwise from outside
+    triangles = []
+    for face, (p, q, r, s) in enumerate(quads):
+        for half, own in enumerate(((p, q, r), (p, r, s))):
+            names = [x.alias(f"{c}{axis}") for c, number in zip("abc", own) for axis, x in zip("xyz", corner(number))]
+            triangles.append(F.struct((k * 6 + face).alias("face"), (k * 12 + 2 * face + half).alias("id"), *names))
+    t = table(spark, sf_dir, "part").select((k % 40).alias("body"), F.explode(F.array(*triangles)).alias("t"))
+    return t.select("body", "t.*")
+
+
+#: Not expressible in SQL (a sequence of samples, rays); tested by brute force.
+@query("wall_thickness")
+def wall_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walls.wall_report(walls.thickness(plates(spark, sf_dir), 0.5, budget=200), 0.5)
+
+
+@query("thin_faces")
+def thin_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walls.thin_faces(walls.thickness(plates(spark, sf_dir), 0.5, budget=200), 0.5)
