@@ -17,13 +17,15 @@ into blocks whose 2 x 2 matrix products are formed side by side and then
 joined in a few rounds, so long texts cost no long Python loop.
 
 The training sample is bounded: about ``SAMPLE_DOCS`` documents of
-the two labels, drawn by a hash of the id, without texts over ``SAMPLE_BYTES`` bytes.
-Scores read every whole text.
+the two labels, drawn by a hash of the id, without texts over ``SAMPLE_BYTES`` bytes. Equal rows of an id count
+once, and of rows with several texts the sample holds at most ``MOST_DOCS`` of a label before
+anything is collected. Scores read every whole text, of any length, in chunks.
 
 Defined results: null and empty texts get the score of a text without toxic
 tokens; a document with several labels is toxic if one says so; rows with a
-null label or id teach nothing; without labels of both kinds every score is
-0; extra columns are not read.
+null label or id teach nothing and get a score as others do; repeated rows are
+scored each by itself; without labels of both kinds every score is 0; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ from .textkit import ALNUM, Words
 #: Documents of the sample that are toxic and not, and tokens of each kind
 #: that the field is fitted to (tags and scores use the whole sample).
 SAMPLE_DOCS, SAMPLE_BYTES, FIT_TOKENS = (5000, 1500), 60_000, 60_000
+#: The draw of ids meets SAMPLE_DOCS but for chance; ids with several texts are cut to this.
+MOST_DOCS = tuple(n * 5 // 4 for n in SAMPLE_DOCS)
 BITS = 18
 HEADS = (4, 5, 6)
 STEPS = 25
@@ -235,8 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for value, n in counts.items():
         share = F.when(F.col("toxic") == value, min(1.0, SAMPLE_DOCS[value] / n)).otherwise(share)
     drawn = marks.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(drawn), F.col(id_col) == F.col("key"))  # the draw has a fixed bound
-    got = rows.select("toxic", F.col(text_col).cast("binary").alias("text")).mapInArrow(_sample, "toxic int, x binary").toArrow()
+    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= SAMPLE_BYTES)
+    rows = short.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "key")  # some ids of each label
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    got = _bounded(rows).mapInArrow(_sample, "toxic int, x binary").toArrow()
     toxic = np.array(got.column("toxic").to_pylist(), bool)
     parts = [np.frombuffer(v, np.int32).reshape(-1, 1 + len(HEADS)) for v in got.column("x").to_pylist()]
     order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i].tobytes()), toxic[i]))
@@ -249,6 +255,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(parts), doc, toxic)
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """(toxic, text): each text of an id once, and of each label ``MOST_DOCS`` at most, whatever rows an id has."""
+    each = rows.groupBy("toxic", "key", "hash").agg(F.count("*").alias("n"))
+    kept = [each.where(F.col("toxic") == label).orderBy(F.xxhash64("key", "hash", F.lit(23)), "key", "hash").limit(most) for label, most in enumerate(MOST_DOCS)]
+    kept = runtime.cut(kept[0].unionByName(kept[1]).drop("n"))
+    texts = rows.join(F.broadcast(kept), ["toxic", "key", "hash"])
+    return texts.groupBy("toxic", "key", "hash").agg(F.first("text").alias("text")).select("toxic", F.col("text").cast("binary").alias("text"))
+
+
 def _spans(words: Words, data: np.ndarray, a: int, z: int, start: int, p: np.ndarray) -> list[dict]:
     """Runs of toxic tokens of a text, in code points."""
     hit = np.flatnonzero(p[a:z] >= 0.5) + a

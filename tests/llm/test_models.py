@@ -1,6 +1,7 @@
 """The learned operators against naive loops, and on odd inputs."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,20 @@ def test_copies_do_not_swell_the_sample(spark, monkeypatch):
     assert drawn == [2] and all(got[k] == l for k, _, l in rows)
 
 
+def test_rows_of_one_id_do_not_swell_the_toxicity_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", (40, 40))
+    monkeypatch.setattr(toxicity, "MOST_DOCS", (50, 50))
+    sizes = []
+    real = toxicity.distinct
+    monkeypatch.setattr(toxicity, "distinct", lambda parts: sizes.append(len(parts)) or real(parts))
+    one = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 5)
+    rows = [(k, f"plain words number {k}" if k % 3 else f"vile scum number {k}") for k in range(120)]
+    rows += [(one, f"vile text {k % 900} of one id") for k in range(20_000)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)] + [(one, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(sizes) == 1 and sizes[0] <= 100 and model.score is not None
+
+
 def test_many_languages(spark, monkeypatch):
     rnd = random.Random(1)
     rows = []
