@@ -12,16 +12,19 @@ tables of like rows cost no more than their length.
 Over all pages of the host each reference node counts how often it was matched,
 how often with the same text, how many texts it had (a bitmap of ``BITS`` bits)
 and how much of its text was linked. Nodes that stay the same are template;
-nodes that take few texts in turn are no content either; the others are slots.
-The content root grows from the element with most varying, unlinked text
+nodes that take few texts in turn are no content either; the others are slots. Evidence finds
+the content before names do. The content root grows from the element with most varying, unlinked text
 (``content_root``). A page is then aligned once more, and its text is what lies
 in the content root, without template nodes. Outside an article or main element
 lists of links and slots of few texts go too.
 
 Names only decide what alignment leaves open: elements and roles that HTML
-itself defines as navigation, footer, aside or form are no content, and class
-words (``_DOUBT``: adverts, notices, comment lists) reject a varying slot inside
-the content root as long as other content remains. Hosts with fewer than
+itself defines as navigation, footer, aside or form are no content. Class names made of
+words for adverts, menus or reader comments (``_STRONG``) reject a varying slot inside the
+content root as long as other content remains, since readers' comments vary as articles do;
+words that may mean either (``_WEAK``: related, notice, social) reject only what is
+template, a pool or links for the most part. Paragraphs, headings and list items of fixed text
+stay where they stand between varying siblings (``among_content``). Hosts with fewer than
 ``MIN_PAGES`` pages besides the reference have no template; their pages are
 judged each by itself, by the same rules with all text taken as varying.
 
@@ -63,6 +66,8 @@ MIN_PAGES = 8
 MAX_POOL = 0.4
 #: Share of linked text from which a list of three links and more is a menu.
 MAX_LINKED = 0.6
+#: An ancestor with so many times the text holds the content.
+GROWTH = 1.5
 #: Bits that count the texts of a node (four words).
 BITS = 256
 BROADCAST_BYTES = 8 << 20
@@ -80,8 +85,12 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _NO_CONTENT = {"nav", "footer", "aside", "form", "button", "head", "dialog", "menu"}
 _NO_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
+_TITLES, _CELLS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "td", "th", "caption"}
 _WRITING = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "dd", "figcaption"}
-_DOUBT = {"ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comments", "comment", "disqus", "replies", "respond", "pagination", "pager", "toolbar", "contentinfo", "complementary", "search"}
+# What readers call no part of an article wherever it stands, and what may be either.
+_STRONG = {"ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "popup", "modal", "newsletter", "subscribe", "comments", "comment", "disqus", "replies", "respond", "pagination", "pager", "contentinfo", "complementary"}
+_WEAK = {"promo", "banner", "menu", "widget", "topbar", "notice", "alert", "overlay", "signup", "login", "share", "sharing", "social", "related", "recommended", "toolbar", "search"}
+_NEUTRAL = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "global", "group", "holder", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper", "zone"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -89,13 +98,13 @@ _SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 class Node:
     """A block element. ``items`` are texts and child nodes in page order.
 
-    ``bad``: HTML itself says that it is no content; ``doubt``: a class word
-    says so. ``links``, ``linked``: its own links and the length of their text.
+    ``bad``: HTML itself says that it is no content; ``doubt``: how much class words
+    say so (``doubtful``). ``links``, ``linked``: its own links and the length of their text.
     """
 
     __slots__ = ("tag", "label", "bad", "doubt", "items", "kids", "index", "form", "links", "linked")
 
-    def __init__(self, tag: str, names: str = "", bad: bool = False, doubt: bool = False):
+    def __init__(self, tag: str, names: str = "", bad: bool = False, doubt: int = 0):
         self.tag, self.label, self.bad, self.doubt = tag, f"{tag} {names}", bad, doubt
         self.items: list = []
         self.kids: list[Node] = []
@@ -121,6 +130,22 @@ def _closed(page: str, tag: str) -> dict[int, int]:
     return out
 
 
+def doubtful(names: str, inside: bool) -> int:
+    """2: a class word says that an element is no content; 1: it may be none; 0: nothing says so.
+
+    Only a name counts that consists of such words and of neutral ones, so "related-links"
+    does and "social-history" does not.
+    """
+    found = 0
+    for name in names.split():
+        words = set(_WORD.findall(name))
+        strong = words & _STRONG or "header" in words and not inside
+        if words - _STRONG - _WEAK - _NEUTRAL - {"header"}:
+            continue
+        found = max(found, 2 if strong else 1 if words & _WEAK else 0)
+    return found
+
+
 def parse(page: str) -> Node:
     """The tree of block elements of a page; inline elements are their text."""
     root = Node("#page")
@@ -189,14 +214,13 @@ def parse(page: str) -> Node:
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
             if (k := max(map(last, same))) > max(map(last, _SAME_CLOSES[tag])):
                 close(k)
-        names, bad, doubt = "", tag in _NO_CONTENT, False
+        names, bad, doubt = "", tag in _NO_CONTENT, 0
         inside = last("article") > 0 or last("main") > 0
         if m[3]:
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower()
-            words = set(_WORD.findall(names))
             role = _ROLE.search(m[3])
             bad = bad or bool(_HIDDEN.search(m[3])) or bool(role) and role[1].lower() in _NO_ROLES
-            doubt = tag not in ("html", "body", "main", "article") and (bool(words & _DOUBT) or "header" in words and not inside)
+            doubt = 0 if tag in ("html", "body", "main", "article") else doubtful(names, inside)
         if tag == "header" and not inside:
             bad = True
         node = Node(tag, names, bad, doubt)
@@ -389,25 +413,51 @@ def induce(ref: list[Node], stats: list[dict]) -> Wrapper:
     pool = [s["filled"] >= MIN_PAGES and s["distinct"] <= MAX_POOL * s["filled"] for s in stats]
     own = [0.0 if c or p else max(0, s["length"] - s["linked"]) / pages for c, p, s in zip(constant, pool, stats)]
     doubts = True
-    root, total = content_root(ref, own, [n.bad or n.doubt for n in ref])
+    root, total = content_root(ref, own, [n.bad or n.doubt > 0 for n in ref])
     if not total and any(n.doubt for n in ref):
         doubts = False
         root, total = content_root(ref, own, [n.bad for n in ref])
     inside = subtree(ref, root)
     if 10 * total < sum(len(ref[i].text()) for i in inside if constant[i]):
         constant = [False] * len(ref)
-    drop, hollow = [n.bad or doubts and n.doubt for n in ref], [False] * len(ref)
-    if ref[root].tag not in ("article", "main"):
+    named, judged = ref[root].tag in ("article", "main"), pages >= MIN_PAGES
+    sums = [[s["length"] / pages, s["linked"] / pages, s["links"] / pages, w] for s, w in zip(stats, own)]
+    for n in reversed(ref):
+        sums[n.index] = [a + sum(sums[k.index][j] for k in n.kids) for j, a in enumerate(sums[n.index])]
+    drop, hollow = [n.bad for n in ref], [False] * len(ref)
+    for n in ref:
+        length, linked, links, varying = sums[n.index]
+        if doubts and n.doubt:  # a weak word needs evidence where there can be some
+            drop[n.index] = n.doubt > 1 or not (judged or named) or 2 * varying <= length
+        if not named and n.kids and n.index in inside and n.index != root and linked > MAX_LINKED * length and links >= 3:
+            drop[n.index] = True
+    fixed = [c or p and not named for c, p in zip(constant, pool)]
+    for i in among_content(ref, inside, own, [w for _, _, _, w in sums], drop, fixed, named):
+        constant[i] = pool[i] = False
+    if not named:
         hollow = pool
-        sums = [[s["length"], s["linked"], s["links"]] for s in stats]
-        for n in reversed(ref):
-            sums[n.index] = [a + sum(sums[k.index][j] for k in n.kids) for j, a in enumerate(sums[n.index])]
-            length, linked, links = sums[n.index]
-            if n.kids and n.index in inside and n.index != root and linked > MAX_LINKED * length and links >= 3 * pages:
-                drop[n.index] = True
     return Wrapper(root, constant, hollow, drop, doubts)
 
 
+def among_content(ref: list[Node], inside: range, own: list[float], varying: list[float], drop: list[bool], fixed: list[bool], named: bool) -> list[int]:
+    """The nodes of fixed text that are part of the article: paragraphs, headings, list items and cells with
+    varying siblings before and after them, one of them a plain block of text; in an article or main
+    element also a heading right before varying text."""
+    out = []
+    for parent in ref[inside.start : inside.stop]:
+        kids = [k for k in parent.kids if not drop[k.index]]
+        plain = any(own[k.index] and not k.kids for k in kids)
+        for at, k in enumerate(kids):
+            if not fixed[k.index] or k.tag not in _WRITING | _CELLS:
+                continue
+            before = any(varying[x.index] for x in kids[:at])
+            after = any(varying[x.index] for x in kids[at + 1 :])
+            title = named and k.tag in _TITLES and at + 1 < len(kids) and varying[kids[at + 1].index]
+            if title or plain and before and after:
+                out.append(k.index)
+    return out
+
+
 def subtree(ref: list[Node], top: int) -> range:
     """The indexes of a node and all nodes below it."""
     last = ref[top]
@@ -422,8 +472,8 @@ def content_root(ref: list[Node], own: list[float], rejected: list[bool]) -> tup
     ``own`` is the weight of each node's own text; what lies under a rejected node has
     none. The element whose own and childless children's weight is greatest is
     the kernel. It grows to an ancestor that adds text in headings, paragraphs and
-    the like, or a quarter of its weight in any element. A tie-break by name goes
-    before: the only article (else main) element, if a quarter of all is in it.
+    the like, or half of its weight in any element. The only article (else
+    main) element above or below the one found takes its place if a quarter of all is in it.
     """
     up, dead = [-1] * len(ref), list(rejected)
     for n in ref:
@@ -437,15 +487,15 @@ def content_root(ref: list[Node], own: list[float], rejected: list[bool]) -> tup
         prose[up[i]] += prose[i]
     if not total[0]:
         return 0, 0.0
-    for tag in ("article", "main"):  # the only one, unless most lies elsewhere
-        named = [n.index for n in ref if n.tag == tag and total[n.index] and not any(ref[a].tag == tag for a in above(up, n.index))]
-        if len(named) == 1 and total[named[0]] >= 0.25 * total[0]:
-            return named[0], total[named[0]]
     kernel = [own[n.index] + sum(own[k.index] for k in n.kids if not k.kids) if n.kids or not n.index else 0.0 for n in ref]
     best = at = max(range(len(ref)), key=lambda i: (kernel[i], -i))
     for at in above(up, at):
-        if prose[at] > prose[best] or total[at] >= 1.25 * total[best]:
+        if prose[at] > prose[best] or total[at] >= GROWTH * total[best]:
             best = at
+    for tag in ("article", "main"):
+        named = [n.index for n in ref if n.tag == tag and total[n.index] and not any(ref[a].tag == tag for a in above(up, n.index))]
+        if len(named) == 1 and total[named[0]] >= 0.25 * total[0] and (best == named[0] or best in above(up, named[0]) or named[0] in above(up, best)):
+            return named[0], total[named[0]]
     return best, total[best]
 
 
@@ -456,7 +506,8 @@ def above(up: list[int], at: int) -> Iterator[int]:
 
 
 def blocks(node: Node, drop: set[int], doubts: bool = True) -> list[str]:
-    """Texts of the blocks under a node, in page order, without dropped nodes."""
+    """Texts of the blocks under a node, in page order, without dropped nodes; of nodes that
+    the reference lacks a strong class word rejects."""
     out: list[str] = []
     todo: list = [node]
     run: list[str] = []
@@ -473,7 +524,7 @@ def blocks(node: Node, drop: set[int], doubts: bool = True) -> list[str]:
             run.append(x)
         elif x is None:
             flush()
-        elif x is node or not (id(x) in drop or x.bad or doubts and x.doubt):
+        elif x is node or not (id(x) in drop or x.bad or doubts and x.doubt > 1):
             flush()
             todo.append(None)
             todo += x.items[::-1]

@@ -1,6 +1,7 @@
 """Wrapper induction: matching against brute force, hosts whose names say nothing, odd pages."""
 
 import random
+import re
 import time
 
 import pytest
@@ -120,3 +121,41 @@ def test_references_beyond_the_broadcast(spark, monkeypatch, bytes_held):
 def test_nothing_and_very_long(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, "http://h/", "<p>" + "word " * 400_000 + "<p>" + "é" * 500_000)])[1] == "word " * 400_000 + "é" * 500_000
+
+
+@pytest.mark.parametrize("name", ["social-history", "menu-of-the-day", "share-price", "related", "body", "notice", "search-results", "alert-level", "widget", "login-flow", "banner-headline", "toolbar", "signup"])
+def test_class_words_reject_no_varying_text_of_an_article(spark, name):
+    page = lambda k: f"<article><h1>Head {k}</h1><div class={name}><p>Paragraph {k} of it</p></div><p>More of {k}</p></article>"
+    want = {k: f"Head {k} Paragraph {k} of it More of {k}" for k in range(20)}
+    assert run(spark, [(k, f"http://h/{k}", page(k)) for k in want]) == want
+    assert wrapper.extract(page(3), None, [], -1) == want[3]  # and judged alone
+
+
+def test_what_readers_and_sellers_add_goes(spark):
+    page = lambda k: f"<article><h1>Head {k}</h1><div class='ad-box'>Buy thing {k * 7}</div><p>Text of {k}</p><div class=related><a href=/1>One {k}</a> <a href=/2>Two {k}</a></div><div id=comments><p>Reader {k} says {k}</p></div></article>"
+    want = {k: f"Head {k} Text of {k}" for k in range(20)}
+    assert run(spark, [(k, f"http://h/{k}", page(k)) for k in want]) == want
+    assert wrapper.extract(page(3), None, [], -1) == want[3]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_fixed_text_within_the_article_stays(spark, tag):
+    def page(k):
+        verdict = f"<p>Verdict: {'buy' if k % 2 else 'sell'} this one now</p>"
+        parts = f"<h1>Dish {k}</h1><p>Story {k} goes {k * 3}</p>{verdict}<h2>Ingredients</h2><ul><li>{k} eggs</li><li>Salt</li><li>{k * 2} g flour</li></ul><p>Then cook {k} of them</p>"
+        return f"<div><div>Always here</div><div>Offer {k % 2}</div></div><{tag}>{parts}</{tag}><div>All rights {k % 2}</div>"
+
+    want = {k: f"Dish {k} Story {k} goes {k * 3} Verdict: {'buy' if k % 2 else 'sell'} this one now Ingredients {k} eggs Salt {k * 2} g flour Then cook {k} of them" for k in range(30)}
+    assert run(spark, [(k, f"http://h/{k}", page(k)) for k in want]) == want
+
+
+def test_pages_without_names(spark, sf_dir):
+    """With all names taken away the text still is that of the article element, on 98 of 100 pages or more."""
+    rows = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet").collect()
+    want = {}
+    for r in rows:
+        (article,) = [n for n in wrapper.number(wrapper.parse(r.html)) if n.tag == "article"]
+        want[r.page_id] = " ".join(wrapper.blocks(article, set()))
+    bare = lambda h: re.sub(r'(?i)(<div)\s+(class|id|role)="[^"]*"', r"\1", re.sub(r"(?i)<(/?)(article|nav|footer|main|header|aside)\b", r"<\1div", h))
+    got = run(spark, [(r.page_id, r.url, bare(r.html)) for r in rows])
+    assert sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
