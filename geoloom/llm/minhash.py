@@ -15,9 +15,16 @@ missed with probability (1 - 0.8**4)**32 < 5e-8.
    ``PIVOTS`` pivots (of each hash slot the class with most shared keys): products of 0/1 matrices count the
    intersections, and only a spanning forest of the links leaves the task.
    A family of one block is then settled, and so is one that has become one component;
-4. in the others tiles that hold different components and sizes that can
+4. in the others each set is put in one order, by how many pivots have a shingle and then by
+   hash, so text common to the family comes last. Two linked sets share one of their first
+   n - ceil(0.8 n) + 1 shingles, whatever the order; components that do so form closer families,
+   and classes of mere boilerplate fall out;
+5. in closer families tiles that hold different components and sizes that can
    still reach the threshold (a fifth apart at most) are compared;
-5. the components of all links give the result.
+6. the components of all links give the result.
+
+Up to step 4 a class is copied less than twice on average. Step 5 grows with the square of a closer
+family: of classes that share rare text, are not linked and do not fall into large components.
 
 Equality of shingles and of sets is equality of 64 and 128-bit hashes.
 
@@ -204,6 +211,41 @@ def candidate_stars(classes: DataFrame) -> DataFrame:
     return bands.join(heads, "key").where("a <> b").groupBy("a", "b").agg(F.sum("size").alias("shared"))
 
 
+def _first_shingles(threshold: int):
+    """One unit (a block with its family's pivots) to (node, first): the shingles of each class of the
+    block of which a linked class must have one among its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")]
+        is_pivot, own = table.column("pivot").to_pylist(), table.column("own").to_pylist()
+        known, count = np.unique(np.concatenate([s for s, p in zip(sets, is_pivot) if p] or [np.zeros(0, np.uint64)]), return_counts=True)
+        nodes, first = [], []
+        for node, s, mine in zip(table.column("node").to_pylist(), sets, own):
+            if not mine:
+                continue
+            times = np.zeros(len(s), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                times = np.where(known[at] == s, count[at], 0)
+            most = len(s) - -(-threshold * len(s) // 100) + 1
+            nodes.append(node)
+            first.append(s[np.lexsort((s, times))[:most]].view(np.int64))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "first": pa.array(first, pa.list_(pa.int64()))})
+
+    return run
+
+
+def closer_families(state: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
+    """``state`` (family, node, n, component) with closer families in place of families: components of which
+    some classes share a first shingle. Units are (family, block, node, grams, pivot, own)."""
+    first = units.groupBy("family", "block").applyInArrow(_first_shingles(threshold), "node long, first array<long>")
+    held = runtime.written(first.join(state.select("family", "node", "component"), "node").select("family", "component", F.explode("first").alias("shingle")), "minhash-first")
+    heads = held.groupBy("family", "shingle").agg(F.min("component").alias("b"), F.max("component").alias("top")).where("b <> top").drop("top")
+    joined = held.join(heads, ["family", "shingle"]).where("component <> b").select(F.col("component").alias("a"), "b").distinct()
+    closer = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("closer"))
+    return state.join(closer, "component").select(F.col("closer").alias("family"), "node", "n", "component")
+
+
 def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
     """Exact links (a, b) that span every component inside the families (node, component).
 
@@ -230,7 +272,7 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
         # the best class of each of PIVOTS slots: a sum that every task begins by itself, so a large family is no large group
         slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))
         best = placed.where("blocks > 1").join(shared, "node").groupBy("family", slot.alias("slot")).agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-        pivots = best.select("pivot")
+        pivots = runtime.cut(best.select("pivot"))
         copies = many.join(pivots, F.col("node") == F.col("pivot")).select("family", "node", "grams", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where("block <> home")
         units = units.unionByName(copies.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit))
     found = runtime.cut(compared(units, threshold))
@@ -239,8 +281,14 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     comp = connected_components(found)
     state = many.select("family", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
-    open_ = parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
-    parts = parts.join(open_, "family", "left_semi")
+    open_ = runtime.cut(parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family"))
+    if open_.isEmpty():
+        return found
+    mine = many.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(True).alias("own"))
+    theirs = copies.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(False).alias("own"))
+    with_pivots = mine.unionByName(theirs).join(open_, "family", "left_semi").join(pivots.select(F.col("pivot").alias("node"), F.lit(True).alias("pivot")), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    state = runtime.cut(closer_families(state.join(open_, "family", "left_semi"), with_pivots, threshold))
+    parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
     if parts.isEmpty():
         return found
     # a component of many classes has tiles of its own, which need no comparison among each other; sizes

@@ -86,3 +86,36 @@ def test_very_long_texts_and_nothing(spark):
     long = [f"t{rnd.randrange(10**6)}" for _ in range(60_000)]
     compare(spark, [(5, " ".join(long)), (4, varied(rnd, long, 1500)), (3, varied(rnd, long, 9000)), (8, "x" * 300_000)])
     compare(spark, [])
+
+
+def test_boilerplate_makes_no_pairs_of_tiles(spark, monkeypatch):
+    # 600 texts share 300 of 470 words: one family, few links, and no class is copied more than a few times
+    monkeypatch.setattr(minhash, "TILE", 16)
+    rows = [(k, " ".join([f"c{j}" for j in range(300)] + [f"o{k}x{j}" for j in range(170)])) for k in range(600)]
+    rows += [(1000 + k, rows[k * 7][1] + " tail words here") for k in range(20)] + [(2000, rows[3][1].replace("o3x", "p3x", 40))]
+    seen = []
+    real = minhash.compared
+    monkeypatch.setattr(minhash, "compared", lambda units, threshold: seen.append(units.count()) or real(units, threshold))
+    compare(spark, rows)
+    assert len(seen) == 2 and seen[0] < 3 * len(rows) and seen[1] < 4 * 21
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_shingles_of_linked_sets_meet(seed):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(80):
+        own = np.concatenate([base[rng.random(60) < rng.uniform(0.7, 1)], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])
+        sets.append(np.unique(own))
+    table = pa.table({"node": list(range(80)), "grams": [s.tobytes() for s in sets], "pivot": [k % 7 == 0 for k in range(80)], "own": [True] * 80})
+    for t in (60, 80, 100):
+        first = {r["node"]: set(r["first"]) for r in minhash._first_shingles(t)(table).to_pylist()}
+        for i in range(80):
+            for j in range(i):
+                inter = len(np.intersect1d(sets[i], sets[j]))
+                if inter and 100 * inter >= t * (len(sets[i]) + len(sets[j]) - inter):
+                    assert first[i] & first[j]
