@@ -89,6 +89,24 @@ def sweep(spark: SparkSession, axes: Mapping[str, list[float]], nominal: Mapping
     return spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], "sample int, " + ", ".join(f"`{n}` double" for n in names))
 
 
+def combinations(axes: DataFrame, most: int = 64) -> DataFrame:
+    """(sweep, sample, name, value): all combinations of the values of each sweep's axes (sweep, name, value).
+
+    Samples are numbered as nested loops over the names in order would. A sample's values follow
+    from its number, so nothing is joined; a sweep of more than ``most`` samples is an error.
+    """
+    each = axes.groupBy("sweep", "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    sweeps = each.groupBy("sweep").agg(F.array_sort(F.collect_list(F.struct("name", "values"))).alias("axes"))
+    product = lambda a: F.aggregate(a, F.lit(1).cast("long"), lambda n, x: n * F.size(x["values"]))
+    total = product(F.col("axes"))
+    sound = F.when(total <= most, total).otherwise(F.raise_error(F.concat(F.lit(f"more than {most} samples in sweep "), F.col("sweep").cast("string"))).cast("long"))
+    samples = sweeps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), sound - 1)).alias("sample"))
+    each = samples.select("sweep", "sample", "axes", F.posexplode("axes").alias("at", "axis"))
+    stride = product(F.slice("axes", F.col("at") + 2, F.size("axes")))
+    place = F.expr("sample div stride") % F.size("axis.values")
+    return each.withColumn("stride", stride).select("sweep", "sample", F.col("axis.name").alias("name"), F.element_at("axis.values", (place + 1).cast("int")).alias("value"))
+
+
 #: Kinds of stored checks and the metric column each reads; see ``register_check``.
 CHECKS: dict[str, str] = {}
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,16 +93,43 @@ def inpainted(grid: DataFrame, radius: int, value: str = "value") -> DataFrame:
     """Cells without data take the value of the nearest cell with data within
     ``radius`` cells (ties: the smaller row, then column), else stay null.
 
-    Exact within the radius: every empty cell meets the cells around it, so
-    the work is bounded by empty cells x (2 radius + 1)^2.
+    Exact, by a distance transform in two passes: along its column each cell finds the nearest
+    cell with data, and along its row the least of those, with their distances, up to
+    ``radius`` columns away. A task holds one line of cells.
     """
-    near = [(dc, dr) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if 0 < dc * dc + dr * dr <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(dc).alias("dc"), F.lit(dr).alias("dr")) for dc, dr in near])
-    asks = grid.where(F.col(value).isNull()).select(F.col("col").alias("ac"), F.col("row").alias("ar"), F.explode(offsets).alias("o"))
-    asks = asks.select("ac", "ar", (F.col("ac") + F.col("o.dc")).alias("col"), (F.col("ar") + F.col("o.dr")).alias("row"), (F.col("o.dc") * F.col("o.dc") + F.col("o.dr") * F.col("o.dr")).alias("d2"))
-    got = asks.join(grid.where(F.col(value).isNotNull()).select("col", "row", F.col(value).alias("_v")), ["col", "row"])
-    best = got.groupBy("ac", "ar").agg(F.min_by("_v", F.struct("d2", "row", "col")).alias("_n")).withColumnsRenamed({"ac": "col", "ar": "row"})
-    return grid.join(best, ["col", "row"], "left").withColumn(value, F.coalesce(value, "_n")).drop("_n")
+    up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    seen = F.when(F.col(value).isNotNull(), F.struct("row", F.col(value).cast("double").alias("v")))
+    g = grid.withColumns({"_up": F.last(seen, True).over(up), "_down": F.first(seen, True).over(down)})
+    nearer = F.when(F.col("_down").isNull() | (F.col("row") - F.col("_up.row") <= F.col("_down.row") - F.col("row")), F.col("_up")).otherwise(F.col("_down"))
+    g = g.withColumn("_near", nearer).select(*grid.columns, F.col("_near.row").cast("long").alias("_row"), F.col("_near.v").alias("_value"))
+    names, schema = grid.columns, grid.schema
+
+    def along_row(table: pa.Table) -> pa.Table:
+        col, row = table.column("col").to_numpy(), int(table.column("row")[0].as_py())
+        first, n = int(col.min()), int(col.max() - col.min()) + 1
+        there = table.column("_row").is_valid().to_numpy()
+        at, origin = np.full(n, -1, np.int64), col[there] - first
+        at[origin] = table.column("_row").drop_null().to_numpy()
+        near = np.zeros(n)
+        near[origin] = table.column("_value").drop_null().to_numpy()
+        far = np.int64(2 * radius * radius + 1)
+        own = np.where(at >= 0, np.minimum((at - row) ** 2, far), far)
+        best, source, best_row = np.full(n, far), np.full(n, -1), np.full(n, -1)
+        for shift in range(-radius, radius + 1):  # from the left, so of equal distances and rows the smaller column stays
+            a, z = max(0, -shift), min(n, n - shift)
+            if a >= z:
+                continue
+            d, r = own[a + shift : z + shift] + shift * shift, at[a + shift : z + shift]
+            better = (d < best[a:z]) | (d == best[a:z]) & (r < best_row[a:z])
+            best[a:z][better], best_row[a:z][better], source[a:z][better] = d[better], r[better], np.arange(a + shift, z + shift)[better]
+        ok = best <= radius * radius
+        filled = np.where(ok[col - first], near[source[col - first]], np.nan)
+        known = table.column(value)
+        done = pc.coalesce(known, pa.array(filled, mask=~ok[col - first]).cast(known.type))
+        return pa.table([done if c == value else table.column(c) for c in names], names=names)
+
+    return g.groupBy("row").applyInArrow(along_row, schema)
 
 
 def bilinear(points: DataFrame, grid: DataFrame, g: dict, strict: bool = False) -> DataFrame:
@@ -140,7 +170,7 @@ def ground(points: DataFrame, cell_size: float = 1.0, max_window: float = 18.0,
     low = dense(at.groupBy("col", "row").agg(F.min("z").alias("z")), g["w"], g["h"], "z")
     reach = min(math.ceil(max_window / cell_size), max(g["w"], g["h"]))
     filled = inpainted(low, reach).transform(cut)
-    marked = object_cells(filled, cell_size, max_window, slope, initial)
+    marked = object_cells(filled, cell_size, max_window, slope, initial).transform(cut)
     kept = inpainted(marked.withColumn("value", F.when(~F.col("removed"), F.col("value"))), reach).select("col", "row", "value")
     out = bilinear(at, kept, g).join(marked.select("col", "row", "removed"), ["col", "row"], "left")
     r = F.abs(F.col("z") - F.col("surface"))

@@ -264,9 +264,15 @@ def stored_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.summary(batch.run_checks(rules, metrics))
 
 
-@query("parameter_sweep", "select (row_number() over () - 1)::int as sample, a, b from (select * from (values (1.0::double), (2.0), (3.0)) x(a), (values (10.0::double), (15.0), (20.0)) y(b) order by a, b)")
+@query(
+    "parameter_sweep",
+    "with ax as (select p_size as sweep, 'x' || p_partkey % 3 as name, list_sort(list(distinct (p_partkey % 5)::double)) as vs from part group by all), s as (select sweep, list({'name': name, 'vs': vs} order by name) as axes from ax group by sweep), "
+    "i as (select sweep, axes, unnest(range(list_product(list_transform(axes, lambda a: len(a.vs)))::bigint)) as sample from s), e as (select *, unnest(range(1, len(axes) + 1)) as pos from i), "
+    "t as (select *, coalesce(list_product(list_transform(axes[pos + 1:], lambda a: len(a.vs))), 1)::bigint as stride from e) select sweep, sample, axes[pos].name as name, axes[pos].vs[1 + (sample // stride) % len(axes[pos].vs)] as value from t",
+)
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.sweep(spark, {"a": batch.axis(1, 2, 3), "b": batch.axis(10, 15, 20, 3)}, {"a": 2, "b": 15}, "all")
+    axes = table(spark, sf_dir, "part").selectExpr("p_size as sweep", "concat('x', p_partkey % 3) as name", "double(p_partkey % 5) as value")
+    return batch.combinations(axes, 125)
 
 
 @query("resource_preflight", "select max(p_size) as ram, max(p_size * 2) as vram, sum(p_size)::bigint as scratch, sum(p_size * 3)::bigint as output from part where p_partkey % 4 <> 0")

@@ -122,21 +122,23 @@ def shared_tie_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.shared_tie_points(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as point", "l_suppkey % 8 as image"))
 
 
-@query("mean_spacing", f"{P}, s as (select id, floor(x / 16)::bigint as x, floor(y / 32)::bigint as y from p where id % 10 = 0), c as (select x, y, count(*) as n from s group by all), "
+@query("mean_spacing", f"{P}, s as (select id, floor(x / 16)::bigint as x, floor(y / 32)::bigint as y from p), c as (select x, y, count(*) as n from s group by all), "
        "e as (select a.x, a.y, a.n, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as m from c a join c b on a.x <> b.x or a.y <> b.y group by all), d as (select n, case when n > 1 then 0 else m end as d2 from e) select sum(n)::bigint as n, round(sum(n * sqrt(d2)) / sum(n), 6) as spacing from d")
 def mean_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).where("id % 10 = 0").select("id", F.floor(F.col("x") / 16).cast("double").alias("x"), F.floor(F.col("y") / 32).cast("double").alias("y"))
+    p = points(spark, sf_dir).select("id", F.floor(F.col("x") / 16).cast("double").alias("x"), F.floor(F.col("y") / 32).cast("double").alias("y"))
     near = joins.nearest_neighbours(p, p, 2, 4.0, dims="xy")
     other = near.where("sid <> tid").groupBy("sid").agg(F.min("d2").alias("d2"))
     return other.agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt("d2")), 6).alias("spacing"))
 
 
-_GRID16 = "g as (select (k % 40)::int as col, (k // 40)::int as row, case when k % 97 > 0 then ((k * 37) % 64)::double / 4 end as value from range(1600) r(k))"
+_GRID16 = "g as (select (k % 40)::int as col, (k // 40)::int as row, case when k % 97 > 0 then ((k * 37) % 64)::double / 4 end as value from (select distinct (p_partkey - 1) % 1600 as k from part))"
 _ASKS = "q as (select id, (id % 345)::double / 8 as u, (id % 321)::double / 8 as v from p)"
 
 
-def _nodes(spark: SparkSession) -> DataFrame:
-    return spark.range(1600).selectExpr("int(id % 40) as col", "int(id div 40) as row", "case when id % 97 > 0 then double((id * 37) % 64) / 4 end as value")
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of 40 x 40 nodes; small tables leave nodes out."""
+    k = table(spark, sf_dir, "part").selectExpr("(p_partkey - 1) % 1600 as k").distinct()
+    return k.selectExpr("int(k % 40) as col", "int(k div 40) as row", "case when k % 97 > 0 then double((k * 37) % 64) / 4 end as value")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,7 @@ _SAMPLED = "select id, case when bad is null then 'outside' when bad > 0 then 'm
 
 @query("grid_nearest", f"{P}, {_GRID16}, {_ASKS}, a as (select id, floor(u + 0.5)::int as col, floor(v + 0.5)::int as row, 1.0::double as w from q where not ({_OFF})) {_SAMPLED}")
 def grid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark), 40, 40, "nearest").select("id", "problem", "sampled")
+    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark, sf_dir), 40, 40, "nearest").select("id", "problem", "sampled")
 
 
 _TAP = "least(38, floor(u))::int as i, least(38, floor(v))::int as j"
@@ -157,7 +159,7 @@ _TAP = "least(38, floor(u))::int as i, least(38, floor(v))::int as j"
 
 @query("grid_bilinear", f"{P}, {_GRID16}, {_ASKS}, b as (select *, {_TAP} from q where not ({_OFF})), a as (select id, i + di as col, j + dj as row, (case di when 0 then 1 - (u - i) else u - i end) * (case dj when 0 then 1 - (v - j) else v - j end) as w from b, (values (0), (1)) x(di), (values (0), (1)) y(dj)) {_SAMPLED}")
 def grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark), 40, 40, "bilinear").select("id", "problem", "sampled")
+    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark, sf_dir), 40, 40, "bilinear").select("id", "problem", "sampled")
 
 
 _CR = lambda t, d: f"(case {d} when -1 then (-{t}*{t}*{t} + 2*{t}*{t} - {t}) / 2 when 0 then (3*{t}*{t}*{t} - 5*{t}*{t} + 2) / 2 when 1 then (-3*{t}*{t}*{t} + 4*{t}*{t} + {t}) / 2 else ({t}*{t}*{t} - {t}*{t}) / 2 end)"
@@ -165,23 +167,31 @@ _CR = lambda t, d: f"(case {d} when -1 then (-{t}*{t}*{t} + 2*{t}*{t} - {t}) / 2
 
 @query("grid_cubic", f"{P}, {_GRID16}, {_ASKS}, b as (select *, floor(u)::int as i, floor(v)::int as j, u - floor(u) as t, v - floor(v) as s from q where not ({_OFF})), a as (select id, greatest(0, least(39, i + di)) as col, greatest(0, least(39, j + dj)) as row, {_CR('t', 'di')} * {_CR('s', 'dj')} as w from b, (values (-1), (0), (1), (2)) x(di), (values (-1), (0), (1), (2)) y(dj)) {_SAMPLED}")
 def grid_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark), 40, 40, "cubic").select("id", "problem", "sampled")
+    return grids.grid_values(_asked(spark, sf_dir), _nodes(spark, sf_dir), 40, 40, "cubic").select("id", "problem", "sampled")
+
+
+_MINIMA = "g as (select floor(x / 64)::int as col, floor(y / 64)::int as row, min(z) as value from p group by all), size as (select max(col) as w, max(row) as h from g)"
 
 
 @query(
     "raster_warp",
-    f"with {_GRID16}, t as (select (k % 60)::int as col, (k // 60)::int as row from range(3600) r(k)), q as (select col as tc, row as tr, (col - 4)::double / 2 as u, (row - 8)::double / 2 as v from t), b as (select *, {_TAP} from q where not ({_OFF})), "
-    "a as (select tc, tr, i + di as col, j + dj as row, (case di when 0 then 1 - (u - i) else u - i end) * (case dj when 0 then 1 - (v - j) else v - j end) as w from b, (values (0), (1)) x(di), (values (0), (1)) y(dj)), "
-    "m as (select tc, tr, sum(w * value) as s, count(*) filter (value is null) as bad from a left join g using (col, row) group by all) select q.tc as col, q.tr as row, case when bad = 0 then s end as value from q left join m on q.tc = m.tc and q.tr = m.tr",
+    f"{P}, {_MINIMA}, t as (select distinct floor(x / 32)::int + 4 as tc, floor(y / 32)::int + 8 as tr from p), q as (select tc, tr, (tc - 4)::double / 2 as u, (tr - 8)::double / 2 as v, w, h from t, size), "
+    "b as (select *, least(w - 1, floor(u))::int as i, least(h - 1, floor(v))::int as j from q where not (u < 0 or v < 0 or u > w or v > h)), "
+    "a as (select tc, tr, i + di as col, j + dj as row, (case di when 0 then 1 - (u - i) else u - i end) * (case dj when 0 then 1 - (v - j) else v - j end) as weight from b, (values (0), (1)) x(di), (values (0), (1)) y(dj)), "
+    "m as (select tc, tr, sum(weight * value) as s, count(*) filter (value is null) as bad from a left join g using (col, row) group by all) select q.tc as col, q.tr as row, case when bad = 0 then s end as value from q left join m on q.tc = m.tc and q.tr = m.tr",
 )
 def raster_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = spark.range(3600).selectExpr("int(id % 60) as col", "int(id div 60) as row")
-    return grids.warped(target, _nodes(spark), 40, 40, (2.0, 0.0, 4.0, 0.0, 2.0, 8.0))
+    """The lowest points of cells of 64, drawn at twice the resolution into the cells of 32 that have points."""
+    p = points(spark, sf_dir)
+    source = grids.raster(p, 64.0).select("col", "row", F.col("min_z").alias("value"))
+    w, h = source.agg(F.max("col") + 1, F.max("row") + 1).first()
+    target = p.select((F.floor(F.col("x") / 32).cast("int") + 4).alias("col"), (F.floor(F.col("y") / 32).cast("int") + 8).alias("row")).distinct()
+    return grids.warped(target, source, w, h, (2.0, 0.0, 4.0, 0.0, 2.0, 8.0))
 
 
 @query("tile_heights", f"{P}, {_GRID16}, q as (select id, (id % 50)::int as col, (id % 45)::int as row from p) select id, q.col, q.row, value as height from q left join g using (col, row)")
 def tile_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = _nodes(spark).selectExpr("col div 16 as tile_col", "row div 16 as tile_row", "col", "row", "value")
+    tiles = _nodes(spark, sf_dir).selectExpr("col div 16 as tile_col", "row div 16 as tile_row", "col", "row", "value")
     asked = points(spark, sf_dir).selectExpr("id", "int(id % 50) as col", "int(id % 45) as row")
     return grids.tile_heights(asked, tiles, 16).select("id", "col", "row", "height")
 

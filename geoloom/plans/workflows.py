@@ -162,12 +162,12 @@ def candidate_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.candidate_cameras(t, c, 4)
 
 
-_PRE = "with n as (select distinct c_mktsegment as product, (c_custkey % 3)::int as grp, c_custkey % 40 as artifact from customer), a as (select distinct o_custkey % 40 as artifact from orders where o_custkey % 40 % 7 = 0 and o_orderkey % 2 = 0), g as (select product, grp, bool_or(a.artifact is not null) as ok from n left join a using (artifact) where n.artifact < 12 group by all)"
+_PRE = "with n as (select distinct c_mktsegment as product, (c_custkey % 3)::int as grp, c_custkey % 40 as artifact from customer), a as (select distinct o_custkey % 40 as artifact from orders where o_custkey % 40 % 7 = 0 and o_orderkey % 2 = 0), g as (select product, grp, bool_or(a.artifact is not null) as ok from n left join a using (artifact) group by all)"
 
 
 @query("product_prerequisites", f"{_PRE} select product, bool_and(ok) as met, min(grp) filter (not ok) as missing from g group by product")
 def product_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").where("c_custkey % 40 < 12").selectExpr("c_mktsegment as product", "int(c_custkey % 3) as grp", "c_custkey % 40 as artifact").distinct()
+    n = table(spark, sf_dir, "customer").selectExpr("c_mktsegment as product", "int(c_custkey % 3) as grp", "c_custkey % 40 as artifact").distinct()
     a = table(spark, sf_dir, "orders").where("o_custkey % 40 % 7 = 0 and o_orderkey % 2 = 0").selectExpr("o_custkey % 40 as artifact")
     return batch.prerequisites(n, a)
 
@@ -203,16 +203,18 @@ def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "resolved_parameters",
-    "with recursive v(k, value) as (select 0, 1.0::double union all select k + 1, (k + 1) % 7 + value * 0.5 from v where k < 20) select 'p' || k as name, value, null as problem from v "
-    "union all select * from (values ('loop_a', null::double, 'circle'), ('loop_b', null, 'circle'), ('lost', null, 'unknown'), ('after', null, 'circle'), ('alone', 4.0, null)) x where (select count(*) from nation) > 0",
+    "with recursive p as (select p_partkey as k, p_partkey // 3 as ref, case when p_partkey % 89 = 0 then 'circle' when p_partkey % 83 = 0 then 'unknown' when p_partkey < 3 or p_partkey % 5 = 0 then 'constant' else 'term' end as kind, p_size::double as size from part), "
+    "v(k, value) as (select k, size from p where kind = 'constant' union all select p.k, p.size + v.value * 0.5 from p join v on p.ref = v.k where kind = 'term') "
+    "select 'p' || p.k as name, v.value, case when v.k is null then case kind when 'unknown' then 'unknown' else 'circle' end end as problem from p left join v using (k)",
 )
 def resolved_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.range(21)
-    extra = spark.createDataFrame([("loop_a", 1.0), ("loop_b", 1.0), ("lost", 1.0), ("after", 1.0), ("alone", 4.0)], "name string, constant double")
-    constants = k.selectExpr("concat('p', string(id)) as name", "if(id = 0, 1d, double(id % 7)) as constant").union(extra)
-    more = spark.createDataFrame([("loop_a", "loop_b", 1.0), ("loop_b", "loop_a", 1.0), ("lost", "nothing", 1.0), ("after", "loop_a", 2.0)], "name string, ref string, factor double")
-    terms = k.where("id > 0").selectExpr("concat('p', string(id)) as name", "concat('p', string(id - 1)) as ref", "0.5d as factor").union(more)
-    return batch.resolved_parameters(constants, terms)
+    """Sizes of parts plus half of that of a third of their number; some refer to themselves or to nothing."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    k = F.col("p_partkey")
+    ref = F.when(k % 89 == 0, name).when(k % 83 == 0, F.concat(F.lit("lost"), k.cast("string"))).when((k >= 3) & (k % 5 != 0), F.concat(F.lit("p"), F.expr("string(p_partkey div 3)")))
+    terms = p.select(name.alias("name"), ref.alias("ref"), F.lit(0.5).alias("factor")).where("ref is not null")
+    return batch.resolved_parameters(p.select(name.alias("name"), F.col("p_size").cast("double").alias("constant")), terms)
 
 
 @query("artifact_problems", "with a as (select p_partkey as id, p_partkey % 50 - 1 as o, p_size * 24 as len, 4 + p_partkey % 9 as stride, 4 + p_partkey % 5 as width, p_size as n, p_partkey % 7 as m from part), p as (select id, case when o < 0 or o + len > 1200 then 'range' when stride < width then 'stride' when n < 1 or m < 1 then 'shape' when n * m * stride <> len then 'length' end as problem from a) select * from p where problem is not null")
@@ -269,15 +271,26 @@ def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.illegal_transitions(table(spark, sf_dir, "events").selectExpr("user_id as job", "event_id as sequence", f"{states}[int(event_id % 8)] as state", "event_id % 11 as progress"))
 
 
-@query("cyclic_edges", "with recursive e as (select distinct l_suppkey % 50 as source, l_partkey % 50 as target from lineitem where l_orderkey % 97 = 0 and l_suppkey % 50 <> l_partkey % 50), p(source, target) as (select source, target from e union select p.source, e.target from p join e on p.target = e.source), c as (select distinct source as n from p where source = target) select distinct e.* from e where e.source in (select n from c) or exists (select 1 from p join c on p.source = c.n where p.target = e.source)")
+#: Edges from small to large numbers, but for some among the first twenty, which close circles.
+_TURNED = "l_linenumber = 7 and greatest(l_suppkey % 50, l_partkey % 50) < 20"
+_ENDS = "least(l_suppkey % 50, l_partkey % 50)", "greatest(l_suppkey % 50, l_partkey % 50)"
+
+
+@query(
+    "cyclic_edges",
+    f"with recursive e as (select distinct case when {_TURNED} then {_ENDS[1]} else {_ENDS[0]} end as source, case when {_TURNED} then {_ENDS[0]} else {_ENDS[1]} end as target from lineitem where l_suppkey % 50 <> l_partkey % 50), "
+    "p(source, target) as (select source, target from e union select p.source, e.target from p join e on p.target = e.source), c as (select distinct source as n from p where source = target) "
+    "select distinct e.* from e where e.source in (select n from c) or exists (select 1 from p join c on p.source = c.n where p.target = e.source)",
+)
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0 and l_suppkey % 50 <> l_partkey % 50").selectExpr("l_suppkey % 50 as source", "l_partkey % 50 as target")
-    return graphs.cyclic(e)
+    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 50 <> l_partkey % 50")
+    return graphs.cyclic(e.selectExpr(f"if({_TURNED}, {_ENDS[1]}, {_ENDS[0]}) as source", f"if({_TURNED}, {_ENDS[0]}, {_ENDS[1]}) as target"))
 
 
-@query("pair_components", f"with recursive h as (select distinct a % 3000 as a, b % 3000 + 10000 as b from ({PAIRS_SQL}) where confidence > 985), e as (select a, b from h union select b, a from h), r(n, c) as (select a, a from e union select e.b, r.c from r join e on r.n = e.a) select n as node, min(c) as component from r group by n")
+@query("pair_components", "with recursive h as (select distinct o_custkey as a, o_orderkey + 10000000 as b from orders), e as (select a, b from h union select b, a from h), r(n, c) as (select a, a from e union select e.b, r.c from r join e on r.n = e.a) select n as node, min(c) as component from r group by n")
 def pair_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.components(pair_hints(spark, sf_dir).where("confidence > 985").selectExpr("a % 3000 as a", "b % 3000 + 10000 as b"))
+    """Orders and their customers: one component for each customer."""
+    return graphs.components(table(spark, sf_dir, "orders").selectExpr("o_custkey as a", "o_orderkey + 10000000 as b"))
 
 
 @query("visible_tiles", "with recursive t as (select n_nationkey as tile, case when n_nationkey > 0 then (n_nationkey - 1) // 2 end as parent, (32 - n_nationkey)::double as error, (n_nationkey % 5 + 1)::double as distance, n_nationkey % 3 = 0 as adds from nation), o as (select *, tile in (select parent from t) and error / distance > 8 as open from t), "
