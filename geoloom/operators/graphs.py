@@ -1,4 +1,4 @@
-"""Components, tracks, hierarchies and tiles as iterated joins.
+"""Components, hierarchies and tiles as iterated joins.
 
 State between rounds is checkpointed, so lineage stays short and lost
 executors cost one round at most.
@@ -6,8 +6,7 @@ executors cost one round at most.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.session import cut
@@ -34,48 +33,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def tracks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks: component, track, image, feature; rejected: a, b) of (image_a, feature_a, image_b, feature_b, confidence).
-
-    Best edges first, a merge needs disjoint sets of images; an edge inside
-    one set is accepted. The order matters only inside a connected
-    component, so components are found in Spark and each is one ordered fold.
-    """
-    node = lambda s: F.concat_ws(":", f"image_{s}", f"feature_{s}")
-    e = edges.withColumns({"a": node("a"), "b": node("b")}).transform(cut)
-    c = components(e.select("a", "b"))
-    e = e.join(c, F.col("a") == F.col("node")).select("component", "a", "b", "image_a", "image_b", "confidence")
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        up, images = {}, {}
-        for r in g.itertuples(index=False):
-            for n, i in ((r.a, r.image_a), (r.b, r.image_b)):
-                up.setdefault(n, n)
-                images.setdefault(n, {i})
-
-        def root(n):
-            while up[n] != n:
-                up[n] = up[up[n]]
-                n = up[n]
-            return n
-
-        out = []
-        g = g.assign(lo=g[["a", "b"]].min(axis=1), hi=g[["a", "b"]].max(axis=1)).sort_values(["confidence", "lo", "hi"], ascending=[False, True, True])
-        for r in g.itertuples(index=False):
-            x, y = sorted((root(r.a), root(r.b)))
-            if x != y and images[x] & images[y]:
-                out.append((r.component, "rejected", r.a, r.b))
-            elif x != y:
-                up[y] = x
-                images[x] |= images[y]
-        return pd.DataFrame(out + [(g["component"].iloc[0], "member", n, root(n)) for n in sorted(up)], columns=["component", "kind", "a", "b"])
-
-    told = e.groupBy("component").applyInPandas(fold, "component string, kind string, a string, b string").transform(cut)
-    m = told.where("kind = 'member'").select("component", F.col("b").alias("track"), F.split("a", ":")[0].alias("image"), F.split("a", ":")[1].alias("feature"))
-    m = m.withColumn("_n", F.count("*").over(Window.partitionBy("track"))).where("_n >= 2").drop("_n")
-    return m, told.where("kind = 'rejected'").select("a", "b")
-
-
 def cyclic(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Edges (source, target) on or behind a cycle: what peeling leaves (none: acyclic)."""
     e = edges.select("source", "target").distinct().transform(cut)

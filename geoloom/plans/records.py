@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.operators import batch, documents, filters, fits, graphs, joins, sampling, stats
+from geoloom.operators import batch, documents, filters, fits, graphs, joins, sampling, stats, tracking
 from geoloom.registry import query
 from geoloom.sources.bindings import CONTROL_SQL, FEATURES_SQL, PAIRS_SQL, POINTS_SQL, TRIANGLES_SQL, control, features, pair_hints, points, table, triangles
 
@@ -325,10 +325,20 @@ def hierarchy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.closure(e, 16)
 
 
+def _observation(image: str, family: str, feature: str) -> str:
+    return f"named_struct('image', {image}, 'family', {family}, 'feature', {feature})"
+
+
+#: An order of merges is no SQL; tested against the ordered loop.
 @query("feature_tracks")
 def feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 20 <> l_partkey % 20").selectExpr("l_suppkey % 20 as image_a", "l_orderkey % 700 as feature_a", "l_partkey % 20 as image_b", "l_orderkey % 700 as feature_b", "l_quantity as confidence")
-    return graphs.tracks(e)[0].select("track", "image", "feature")
+    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 20 <> l_partkey % 20")
+    family = "l_linenumber % 2"
+    first, second = _observation("l_suppkey % 20", family, "l_orderkey % 700"), _observation("l_partkey % 20", family, "l_orderkey % 700")
+    alias = table(spark, sf_dir, "orders").selectExpr(f"{_observation('o_custkey % 20', '0', 'o_orderkey % 700')} as first", f"{_observation('o_custkey % 20', '1', 'o_orderkey % 700')} as second", "o_totalprice as confidence")
+    members, _ = tracking.feature_tracks(e.selectExpr(f"{first} as first", f"{second} as second", "l_quantity as confidence"), alias)
+    name = lambda c: F.concat_ws(":", *[F.col(f"{c}.{k}").cast("string") for k in ("image", "family", "feature")])
+    return members.select(name("track").alias("track"), "image", name("primary").alias("primary"), name("observation").alias("observation"))
 
 
 def _facts(spark: SparkSession, **values: float) -> DataFrame:

@@ -168,10 +168,6 @@ def test_graphs(spark):
     d = spark.createDataFrame([(1, 2), (2, 3)], "source long, target long")
     assert graphs.cyclic(d).isEmpty()
     assert graphs.cyclic(d.union(spark.createDataFrame([(3, 1)], d.schema))).count() == 3
-    t = spark.createDataFrame([(1, 1, 2, 1, 9.0), (2, 1, 3, 1, 8.0), (1, 2, 3, 1, 7.0), (1, 1, 3, 1, 6.0)], "image_a long, feature_a long, image_b long, feature_b long, confidence double")
-    members, rejected = graphs.tracks(t)
-    assert {(r.image, r.feature) for r in members.collect()} == {("1", "1"), ("2", "1"), ("3", "1")}
-    assert rejected.count() == 1
     p = cloud(spark, [(x, y, 0, 1) for x in range(8) for y in range(8)])
     leaves = graphs.octree_leaves(p, 8.0, 4).collect()
     assert sum(r.n for r in leaves) == 64 and max(r.n for r in leaves) <= 4
