@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators import curves
 from geoloom.registry import query
 from geoloom.session import shared_dir
 from geoloom.sources import dxf
@@ -41,3 +42,19 @@ def drawing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = {f"{k}{i}": F.round(F.col("points")[i][k], 6) + F.lit(0.0) for i in (0, 1) for k in "xy"}
     nation = F.regexp_extract("file", r"nation=(\d+)", 1).cast("int")
     return good.select(nation.alias("nation"), *[c.alias(n) for n, c in at.items()])
+
+
+def order_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cubic spline for each customer with four orders or more: their days and prices in order of time."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.struct("o_orderdate", "o_orderkey", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000).alias("x"), (F.col("o_totalprice") / 100).alias("y")).alias("o"))
+    c = o.groupBy("id").agg(F.array_sort(F.collect_list("o")).alias("all")).where("size(all) >= 4")
+    points = F.transform("all", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    n = F.size("all")
+    knots = F.concat(F.array_repeat(F.lit(0.0), 3), F.transform(F.sequence(F.lit(0), n - 3), lambda k: k.cast("double")), F.array_repeat((n - 3).cast("double"), 3))
+    return c.select("id", F.lit(3).alias("degree"), knots.alias("knots"), points.alias("points"), F.expr("cast(null as array<double>)").alias("weights"))
+
+
+#: Adaptive pieces are no SQL; tested against dense evaluations.
+@query("curve_chords")
+def curve_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.lengths(curves.chords(order_curves(spark, sf_dir), 1.0)).select("id", "n", F.round("length", 6).alias("length"))
