@@ -287,6 +287,7 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     mine = many.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(True).alias("own"))
     theirs = copies.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(False).alias("own"))
     with_pivots = mine.unionByName(theirs).join(open_, "family", "left_semi").join(pivots.select(F.col("pivot").alias("node"), F.lit(True).alias("pivot")), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    with_pivots = with_pivots.repartition("family", "block")  # else a family's blocks stay together after the join
     state = runtime.cut(closer_families(state.join(open_, "family", "left_semi"), with_pivots, threshold))
     parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
     if parts.isEmpty():
