@@ -14,21 +14,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     The component is its least node. Each round hooks every node's root to
     the least root seen over its edges, then jumps pointers; edges become
     edges between roots, and edges inside one root disappear, so the table
-    shrinks quickly. The state of each round is checkpointed. Rows with a
-    null end and loops are ignored; an empty table gives an empty result.
+    shrinks quickly. The state of each round is written as Parquet: its size is
+    known and its small files are read together, so that a round on few edges is
+    a few tasks and broadcast joins, whatever the number of shuffle partitions.
+    Rows with a null end and loops are ignored; an empty table gives an empty result.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = runtime.cut(edges)
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = runtime.written(edges, "components-edges")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     for _ in range(rounds):
         if edges.isEmpty():
             return labels
         # hook each root to its least neighbour root (a > b, so this makes a forest)
-        parent = runtime.cut(edges.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("up")))
+        parent = runtime.written(edges.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("up")), "components-parents")
         for _ in range(rounds):  # pointer jumping up to the forest's roots
             top = parent.select(F.col("root").alias("mid"), F.col("up").alias("far"))
-            parent = runtime.cut(parent.join(top, F.col("up") == F.col("mid"), "left").select("root", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")))
+            parent = runtime.written(parent.join(top, F.col("up") == F.col("mid"), "left").select("root", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "components-parents")
             moved = not parent.where("moved").isEmpty()
             parent = parent.drop("moved")
             if not moved:
@@ -37,6 +39,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = labels.join(to, F.col("component") == F.col("r"), "left").select("node", F.coalesce("up", "component").alias("component"))
         left = edges.join(to, F.col("a") == F.col("r"), "left").select(F.coalesce("up", "a").alias("a"), "b")
         both = left.join(to, F.col("b") == F.col("r"), "left").select("a", F.coalesce("up", "b").alias("b"))
-        labels = runtime.cut(labels)
-        edges = runtime.cut(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        labels = runtime.written(labels, "components-labels")
+        edges = runtime.written(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components-edges")
     raise RuntimeError("components did not settle")

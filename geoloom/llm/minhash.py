@@ -272,24 +272,24 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
         # the best class of each of PIVOTS slots: a sum that every task begins by itself, so a large family is no large group
         slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))
         best = placed.where("blocks > 1").join(shared, "node").groupBy("family", slot.alias("slot")).agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-        pivots = runtime.cut(best.select("pivot"))
+        pivots = runtime.written(best.select("pivot"), "minhash-pivots")
         copies = many.join(pivots, F.col("node") == F.col("pivot")).select("family", "node", "grams", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where("block <> home")
         units = units.unionByName(copies.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit))
-    found = runtime.cut(compared(units, threshold))
+    found = runtime.written(compared(units, threshold), "minhash-links")
     if not some:
         return found
     comp = connected_components(found)
     state = many.select("family", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
-    open_ = runtime.cut(parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family"))
+    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "minhash-parts")
+    open_ = runtime.written(parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family"), "minhash-open")
     if open_.isEmpty():
         return found
     mine = many.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(True).alias("own"))
     theirs = copies.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(False).alias("own"))
     with_pivots = mine.unionByName(theirs).join(open_, "family", "left_semi").join(pivots.select(F.col("pivot").alias("node"), F.lit(True).alias("pivot")), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
     with_pivots = with_pivots.repartition("family", "block")  # else a family's blocks stay together after the join
-    state = runtime.cut(closer_families(state.join(open_, "family", "left_semi"), with_pivots, threshold))
-    parts = runtime.cut(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
+    state = runtime.written(closer_families(state.join(open_, "family", "left_semi"), with_pivots, threshold), "minhash-closer")
+    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "minhash-parts")
     if parts.isEmpty():
         return found
     # a component of many classes has tiles of its own, which need no comparison among each other; sizes
@@ -305,7 +305,7 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     tiles = tiled.select("family", "tile", "cell", "step").distinct()
     near = (F.col("x.family") == F.col("y.family")) & (F.col("x.tile") < F.col("y.tile")) & (F.abs(F.col("x.step") - F.col("y.step")) <= 1)
     pairs = tiles.alias("x").join(tiles.alias("y"), near & ~F.coalesce(F.col("x.cell") == F.col("y.cell"), F.lit(False)))
-    pairs = runtime.cut(pairs.select(F.col("x.family").alias("family"), F.col("x.tile").alias("block"), F.col("y.tile").alias("other")))
+    pairs = runtime.written(pairs.select(F.col("x.family").alias("family"), F.col("x.tile").alias("block"), F.col("y.tile").alias("other")), "minhash-pairs")
     alone = tiles.where("cell is null").select("family", F.col("tile").alias("block"), F.col("tile").alias("other"))
     first = tiled.join(pairs.unionByName(alone).withColumn("tile", F.col("block")), ["family", "tile"]).withColumn("side", F.lit(0).cast("byte"))
     second = tiled.join(pairs.withColumn("tile", F.col("other")), ["family", "tile"]).withColumn("side", F.lit(1).cast("byte"))
@@ -320,7 +320,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     linkable = profiles.where("n > 0 and doc is not null")
     equal = linkable.groupBy("n", "low", "high").agg(F.min(F.struct("doc", "hash")).alias("rep"), F.min_by("keys", "doc").alias("keys"))
     classes = runtime.written(equal.select(F.monotonically_increasing_id().alias("node"), "rep.doc", "rep.hash", "n", "low", "high", "keys"), "minhash-classes")
-    stars = runtime.cut(candidate_stars(classes.select("node", "keys")))
+    stars = runtime.written(candidate_stars(classes.select("node", "keys")), "minhash-stars")
     families = connected_components(stars)
     comp = connected_components(family_links(docs, families, stars, classes, size, threshold))
     named = classes.select("node", "doc", "n", "low", "high").join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
