@@ -127,10 +127,15 @@ def fold_rows(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return key
 
 
+#: What a class's set carries of its place in a family.
+_PLACE = ["n", "family", "block", "blocks"]
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["node", "grams"])
+            grams = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), grams, *(batch.column(c) for c in _PLACE)], ["node", "grams", *_PLACE])
 
     return run
 
@@ -259,10 +264,12 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     placed = runtime.written(placed, "minhash-families")
     key = F.xxhash64("doc", "hash")
     marked, _ = runtime.split_by_bitmap(docs.withColumn("key", key), "key", runtime.bitmap(placed.select(key.alias("key")), "key"))
-    own = placed.select("node", F.col("doc").alias("own_doc"), F.col("hash").alias("own_hash"))
-    texts = marked.join(own, (F.col("doc") == F.col("own_doc")) & (F.col("hash") == F.col("own_hash"))).select("node", "text").dropDuplicates(["node"])
-    grams = texts.mapInArrow(_sets(size), "node long, grams binary")
-    held = runtime.written(grams.join(placed, "node").select("node", "grams", "n", "family", "block", "blocks"), "minhash-sets")
+    own = placed.select("node", *_PLACE, F.col("doc").alias("own_doc"), F.col("hash").alias("own_hash"))
+    texts = marked.join(own, (F.col("doc") == F.col("own_doc")) & (F.col("hash") == F.col("own_hash")))
+    texts = texts.dropDuplicates(["own_doc", "own_hash", "node"])  # the join's keys: its texts are not dealt again
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    grams = texts.select("node", "text", *_PLACE).mapInArrow(_sets(size), ", ".join(["node long", "grams binary", *(f"{c} {kinds[c]}" for c in _PLACE)]))
+    held = runtime.written(grams, "minhash-sets")
     unit = ["family", "block", "other", "side", "node", "grams"]
     units = held.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit)
     many = held.where("blocks > 1")
