@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
-from .components import connected_components
+from .components import EDGES, connected_components
 from .textkit import Words, fold, mix, whole
 
 SIZE, THRESHOLD = 4, 80
@@ -261,7 +261,8 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     whole = whole.select(F.col("component").alias("family"), blocks.alias("blocks"))
     placed = members.withColumnRenamed("component", "family").join(whole, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = runtime.written(placed, "minhash-families")
+    few = max(1, -(-families.count() // EDGES))  # files of tables of a row a class or fewer, as in the rounds of components
+    placed = runtime.written(placed.coalesce(few), "minhash-families")
     key = F.xxhash64("doc", "hash")
     marked, _ = runtime.split_by_bitmap(docs.withColumn("key", key), "key", runtime.bitmap(placed.select(key.alias("key")), "key"))
     own = placed.select("node", *_PLACE, F.col("doc").alias("own_doc"), F.col("hash").alias("own_hash"))
@@ -279,7 +280,7 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
         # the best class of each of PIVOTS slots: a sum that every task begins by itself, so a large family is no large group
         slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PIVOTS))
         best = placed.where("blocks > 1").join(shared, "node").groupBy("family", slot.alias("slot")).agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-        pivots = runtime.written(best.select("pivot"), "minhash-pivots")
+        pivots = runtime.written(best.select("pivot").coalesce(few), "minhash-pivots")
         copies = many.join(pivots, F.col("node") == F.col("pivot")).select("family", "node", "grams", F.col("block").alias("home"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block")).where("block <> home")
         units = units.unionByName(copies.withColumns({"other": F.lit(-1).cast("long"), "side": F.lit(0).cast("byte"), "block": F.col("block").cast("long")}).select(unit))
     found = runtime.written(compared(units, threshold), "minhash-links")
@@ -287,8 +288,8 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
         return found
     comp = connected_components(found)
     state = many.select("family", "node", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "minhash-parts")
-    open_ = runtime.written(parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family"), "minhash-open")
+    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).coalesce(few), "minhash-parts")
+    open_ = runtime.written(parts.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family").coalesce(few), "minhash-open")
     if open_.isEmpty():
         return found
     mine = many.select("family", F.col("block").cast("long").alias("block"), "node", "grams", F.lit(True).alias("own"))
@@ -296,7 +297,7 @@ def family_links(docs: DataFrame, families: DataFrame, stars: DataFrame, classes
     with_pivots = mine.unionByName(theirs).join(open_, "family", "left_semi").join(pivots.select(F.col("pivot").alias("node"), F.lit(True).alias("pivot")), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
     with_pivots = with_pivots.repartition("family", "block")  # else a family's blocks stay together after the join
     state = runtime.written(closer_families(state.join(open_, "family", "left_semi"), with_pivots, threshold), "minhash-closer")
-    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "minhash-parts")
+    parts = runtime.written(state.groupBy("family", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).coalesce(few), "minhash-parts")
     if parts.isEmpty():
         return found
     # a component of many classes has tiles of its own, which need no comparison among each other; sizes

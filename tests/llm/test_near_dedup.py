@@ -145,3 +145,65 @@ def test_rounds_on_few_rows_are_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert tasks < 4000, tasks
+
+
+def test_rounds_on_few_rows_are_few_files(spark, monkeypatch):
+    # a local file system without native code starts processes for each new file; one caught while it
+    # still shares the executor's memory counted that memory twice (4,483 MB of 3,000 in a check)
+    from geoloom.llm import runtime
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "TILE", 4)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(34)]
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    seen, real = [], runtime.written
+
+    def written(df, name, by=None):
+        out = real(df, name, by)
+        seen.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(runtime, "written", written)
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        compare(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    small = [n for name, n in seen if name.startswith("components-") or name in ("minhash-families", "minhash-parts", "minhash-pivots", "minhash-open")]
+    assert len(small) < 45 and sum(small) < 150, (len(small), sum(small))
+
+
+@pytest.mark.parametrize("edges", [1 << 17, 3])
+def test_components_of_tasks_and_rounds(spark, monkeypatch, edges):
+    from geoloom.llm import components
+
+    rnd = random.Random(edges)
+    pairs = [(k, k + 1) for k in range(40)] + [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(230)] + [(2000, k) for k in range(1990, 2030)] + [(7, None), (5000, 5000)]
+    up = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a in up and b in up:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    monkeypatch.setattr(components, "EDGES", edges)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    assert {r.node: r.component for r in components.connected_components(df).collect()} == {x: root(x) for x in up}
+    assert components.connected_components(df.limit(0)).collect() == []
+
+
+def test_joined_edges_are_stars():
+    import numpy as np
+
+    from geoloom.llm import components
+
+    node, least = components.joined(np.array([9, 5, -3, 8, 40]), np.array([5, 2, -7, 9, 41]))
+    assert dict(zip(node.tolist(), least.tolist())) == {5: 2, 8: 2, 9: 2, -3: -7, 41: 40}
