@@ -30,6 +30,7 @@ def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[lower], nodes[up[lower]]
 
 
+@runtime.releasing
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def star() -> pa.RecordBatch:
         a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))

@@ -100,6 +100,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def _profile(size: int, bands: int, rows: int):
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
@@ -132,6 +133,7 @@ _PLACE = ["n", "family", "block", "blocks"]
 
 
 def _sets(size: int):
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), size)], pa.binary())
@@ -189,6 +191,7 @@ def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 def _compare(threshold: int):
     """One unit (a block with its family's pivots, or two tiles) to links (a, b)."""
 
+    @runtime.releasing_group
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         side = table.column("side").to_numpy()
@@ -220,6 +223,7 @@ def _first_shingles(threshold: int):
     """One unit (a block with its family's pivots) to (node, first): the shingles of each class of the
     block of which a linked class must have one among its own."""
 
+    @runtime.releasing_group
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")]
         is_pivot, own = table.column("pivot").to_pylist(), table.column("own").to_pylist()

@@ -86,6 +86,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(name: str, capacity: int, encode_special_tokens: bool):
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -133,6 +134,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def _round(capacity: int, slack: int):
     """Packs a partition's bins, as items, into new bins."""
 
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = list(batches)
         if not tables:

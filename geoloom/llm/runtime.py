@@ -3,9 +3,13 @@ written intermediate tables and fixed-size membership bitmaps."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 22
 #: Rows and bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Groups of fewer bytes leave little behind.
+RELEASE_BYTES = 256 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,6 +107,48 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@functools.cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        return None
+
+
+def release() -> None:
+    """Gives back to the system what Arrow's and C's allocators keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = _malloc_trim()
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory at its end.
+
+    Spark keeps Python workers for later tasks, several for each core where a stage
+    needs two at once; what an idle one keeps counts for its executor all the time.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def releasing_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for applyInArrow, after each group but small ones."""
+
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= RELEASE_BYTES:
+            release()
+        return out
+
+    return group
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A hash of a row's id and text: what decides about a row, so that rows of one id are
     told apart."""

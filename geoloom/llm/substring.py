@@ -31,6 +31,7 @@ surely occur once, so that it takes no room in the shuffle.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -108,6 +109,7 @@ def plan_of(bytes_of: np.ndarray, parts: int, most: int) -> Plan:
 def _weigh(width: int, mer: int):
     """The bytes of a task's super-k-mers in each cell."""
 
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS)
         for batch in batches:
@@ -157,22 +159,22 @@ def _scatter(where_to: Plan, width: int, mer: int):
 
     buckets = int((where_to.first + where_to.shares).max())
 
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list]] = {}
-        known: dict[int, list] = {}
+        known: dict[int, array] = {}
         size = 0
         zip_up = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
             keys, blobs = [], []
-            for b, group in held.items():
+            for b in list(held):
+                group = held.pop(b)  # packed ones make room for the blobs
                 keys.append(b)
                 blobs.append(_pack(zip_up, [(doc, tag, at, text) for text, (doc, _, where) in group.items() for tag, at in where]))
-            for b, spans in known.items():
+            for b in list(known):
                 keys.append(b)
-                blobs.append(zip_up.compress(np.array(spans, np.int64).tobytes()))
-            held.clear()
-            known.clear()
+                blobs.append(zip_up.compress(known.pop(b).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -207,10 +209,13 @@ def _scatter(where_to: Plan, width: int, mer: int):
                             late, where = first[0], first[2]
                         else:
                             late, where = doc, [pos]
-                        known.setdefault(-1 - late % buckets, []).extend((late, tag, x, x + k + width - 1) for tag, x in where)
+                        spans = known.setdefault(-1 - late % buckets, array("q"))
+                        for tag, x in where:
+                            spans.extend((late, tag, x, x + k + width - 1))
                 if size > FLUSH_BYTES:
                     yield flush()
                     size = 0
+                    runtime.release()
         if held or known:
             yield flush()
 
@@ -282,6 +287,7 @@ def _repeats(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.nd
 def _gather(width: int):
     """Reduce side: one bucket to the word spans it removes."""
 
+    @runtime.releasing_group
     def run(table: pa.Table) -> pa.Table:
         blobs = [b.as_buffer() for chunk in table.column("blob").chunks for b in chunk]
         out = []
@@ -338,6 +344,7 @@ def _cover(spans: list | None, n: int) -> np.ndarray:
 def _strip(text_at: int):
     """Appends n_words, n_removed and kept_text to rows with gathered spans."""
 
+    @runtime.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column(text_at), batch.column(batch.num_columns - 1)

@@ -1,7 +1,10 @@
 """Window removal by row against brute force, with divided buckets."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -56,3 +59,39 @@ def test_very_long_text_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, row string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.row) for r in substring.remove_repeats(docs).collect()}
     assert got == {1: (50, 0, "b"), 2: (150_000, 50, "a"), 3: (1, 0, None)}
+
+
+#: Runs in a process of its own, as a worker does, and prints the MB held after a task beyond those before.
+KEPT = """
+import re
+import numpy as np
+import pyarrow as pa
+from geoloom.llm import substring
+
+def held():
+    return int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(n):
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{k:05d}" for k in range(50000)])
+    passage = " ".join(words[rng.integers(0, 50000, 60)])
+    for k in range(n):
+        texts = [" ".join(words[rng.integers(0, 50000, 400)]) + " " + passage for _ in range(1024)]
+        ids = pa.array(range(k * 1024, k * 1024 + 1024), pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array([0] * 1024, pa.int64()), pa.array(texts, pa.string()).cast(pa.binary())], ["doc", "row", "text"])
+
+for _ in batches(1):
+    pass
+del _
+plan = substring.plan_of(np.full(substring.CELLS, 60000), 12, substring.BUCKET_BYTES)
+before = held()
+assert sum(len(out) for out in substring._scatter(plan, 13, 4)(batches(5)))
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="Linux only")
+def test_an_idle_worker_keeps_little_of_a_task():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", KEPT], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert float(ran.stdout) < 48
