@@ -77,3 +77,15 @@ def test_merge(spark):
     told = {(r.block, r.camera, r.problem) for r in merges.merge_problems(bad, images).collect()}
     assert told == {("b", None, "transform"), ("c", 2, "no block"), ("a", 1, "overlap")}
     assert merges.merged_points(p.limit(0), blocks).count() == 0
+
+
+def test_copies_of_triangles_count_once_and_are_not_broadcast(spark):
+    flat = [-1.0, -1.0, 0.0, 1.0, -1.0, 0.0, 0.0, 2.0, 0.0]
+    a = spark.createDataFrame([(k, *flat) for k in range(9, 40)] + [(2, *[9.0] * 9)], MESH)
+    b = a.select((F.col("id") + 100).alias("id"), *[(F.col(c) + 0.5 * c.endswith("z")).alias(c) for c in CORNERS])
+    assert sorted(r.id for r in meshes._known(a).collect()) == [2, 9]
+    got = meshes.least_distance(a, b, 1.0).collect()[0]
+    assert (got.d2, got.side, got.id, got.triangle) == (0.25, 0, 2, 102)
+    found = meshes.within(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "sid long, sx double, sy double, sz double"), a, 2.0)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 0
+    assert [(r.tid, r.d2) for r in found.collect()] == [(9, 1.0)]
