@@ -89,3 +89,18 @@ def test_copies_of_triangles_count_once_and_are_not_broadcast(spark):
     found = meshes.within(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "sid long, sx double, sy double, sz double"), a, 2.0)
     assert found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 0
     assert [(r.tid, r.d2) for r in found.collect()] == [(9, 1.0)]
+
+
+def test_far_points_meet_few_triangles(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    at = rnd.uniform(0, 1000, (600, 1, 3)) * [1, 1, 0.1] + rnd.uniform(0, 9, (600, 3, 3))
+    m = spark.createDataFrame([(k, *map(float, t.ravel())) for k, t in enumerate(at)], MESH)
+    source = np.concatenate([rnd.uniform(-50, 1050, (60, 3)), rnd.uniform(-1e6, 1e6, (60, 3)), at[:9, 0]])
+    p = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(source)], "id long, x double, y double, z double")
+    pairs, real = [], meshes.with_distance
+    monkeypatch.setattr(meshes, "with_distance", lambda df: pairs.append(df.count()) or real(df))
+    got = {r.sid: r for r in meshes.nearest_triangles(p, m, 128.0).collect()}
+    assert len(got) == len(source) and sum(pairs) < len(source) * len(at) / 5
+    for k, x in enumerate(source):
+        every = [nearest_on(x, *t) for t in at]
+        assert got[k].d2 == pytest.approx(min(every), rel=1e-6, abs=1e-9) and every[got[k].tid] == pytest.approx(min(every), rel=1e-6, abs=1e-9)
