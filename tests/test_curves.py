@@ -75,3 +75,41 @@ def test_query(spark, sf_dir):
         us = [min(k / 400 * r.knots[-1], r.knots[-1]) for k in range(401)]
         p = dense(3, r.knots, [(q.x, q.y) for q in r.points], None, us)
         assert got[i].length == pytest.approx(sum(float(np.linalg.norm(b - a)) for a, b in zip(p, p[1:])), rel=2e-2)
+
+
+def loop(degree, knots, points, weights, tolerance):
+    """[(u0, u1)] of the pieces by one recursion for each span."""
+    out = []
+
+    def piece(u0, u1, times):
+        p = dense(degree, knots, points, weights, [u0, u0 * 0.75 + u1 * 0.25, (u0 + u1) / 2, u0 * 0.25 + u1 * 0.75, u1])
+        d = p[4] - p[0]
+        t = [min(1, max(0, float((q - p[0]) @ d) / (float(d @ d) or 1))) for q in p]
+        if times == curves.HALVINGS or max(float(np.linalg.norm(q - p[0] - x * d)) for q, x in zip(p[1:4], t[1:4])) <= tolerance:
+            return out.append((u0, u1))
+        piece(u0, (u0 + u1) / 2, times + 1)
+        piece((u0 + u1) / 2, u1, times + 1)
+
+    for k in range(degree, len(knots) - degree - 1):
+        if knots[k] < knots[k + 1]:
+            piece(knots[k], knots[k + 1], 0)
+    return out
+
+
+def test_pieces_equal_a_loop_in_one_job(spark, monkeypatch):
+    monkeypatch.setattr(curves, "AT_ONCE", 7)
+    rnd = random.Random(8)
+    rows = [(f"c{k}", d, clamped(n, d), [(rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(n)], w) for k, (d, n, w) in enumerate([(1, 5, None), (2, 9, [2.0]), (3, 12, [1.0, None, 0.5] * 4), (3, 4, None), (4, 9, [])])]
+    rows.append(("gap", 3, clamped(9, 3), [None if k == 0 else (rnd.uniform(-9, 9), None if k == 1 else 1.0 * k) for k in range(9)], None))
+    spark.sparkContext.setJobGroup("chords", "chords")
+    pieces = curves.chords(spark.createDataFrame(rows, CURVES.replace("id long", "id string")).coalesce(1), 0.01).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chords")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2
+    got = {}
+    for r in pieces:
+        got.setdefault(r.id, []).append((r.u0, r.u1))
+    assert min(u for u, _ in got.pop("gap")) == pytest.approx(2 / 6)  # spans with an unknown control point have no pieces
+    for i, d, knots, points, weights in rows[:-1]:
+        w = [1.0 if k >= len(weights) or weights[k] is None else weights[k] for k in range(len(points))] if weights else None
+        assert sorted(got[i]) == loop(d, knots, points, w, 0.01), i
