@@ -85,14 +85,14 @@ def merged_tile_features(features: DataFrame, most: int) -> DataFrame:
     """
     if most < 1:
         raise ValueError("the number of features must be positive")
-    f = features.withColumns({"x": F.col("x") + F.col("origin_x"), "y": F.col("y") + F.col("origin_y")})
-    known = F.bool_and(F.col("score").isNotNull()).over(Window.partitionBy("image"))
-    f = f.withColumn("rank_value", F.when(known, F.col("score")).otherwise(F.col("proxy")))
-    f = f.withColumn("key", F.struct((-F.col("rank_value")).alias("r"), "x", "y", "tile", "id"))
+    known = features.groupBy(F.col("image").alias("own")).agg(F.bool_and(F.col("score").isNotNull()).alias("known"))
+    f = features.withColumns({"x": F.col("x") + F.col("origin_x"), "y": F.col("y") + F.col("origin_y")}).join(known, F.col("image").eqNullSafe(F.col("own")))
+    value = F.when(F.col("known"), F.col("score")).otherwise(F.col("proxy"))
+    f = f.withColumn("key", F.struct((-value).alias("r"), "x", "y", "tile", "id"))
     kept = sampling.spaced(f.select("id", "x", "y", "key", "image"), TILE_RADIUS, "xy", "key", "image", closed=True)
-    best = Window.partitionBy("image").orderBy("key")
-    out = f.join(kept, "id", "left_semi").withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
-    return out.select("image", "id", "x", "y", F.col("rank_value").alias("score"))
+    best = Window.partitionBy("g").orderBy("o")
+    out = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    return out.select(F.col("g").alias("image"), "id", "o.x", "o.y", (-F.col("o.r")).alias("score"))
 
 
 def brushed(strokes: DataFrame, width: int, height: int) -> DataFrame:

@@ -199,3 +199,14 @@ def test_arcs_and_keys(spark):
     assert all(abs(math.hypot((p.x + q.x) / 2 - 1, (p.y + q.y) / 2 - 2) - 5) <= 0.011 for p, q in zip(a, a[1:]))
     names = spark.createDataFrame([("Img10",), ("img9",), ("IMG009b",), ("a",)], "n string")
     assert [r.n for r in names.orderBy(G.natural_key(F.col("n"))).collect()] == ["a", "img9", "IMG009b", "Img10"]
+
+
+def test_long_chains_and_many_copies_are_thinned_in_few_jobs(spark):
+    line = spark.range(400).selectExpr("id", "double(id) as x", "0d as y")
+    copies = spark.range(6000).selectExpr("id + 1000 as id", "double(id % 3) * 1.6 + 5000 as x", "0d as y")
+    odd = spark.createDataFrame([(8000, None, 0.0), (8001, float("nan"), 0.0), (8002, float("inf"), 0.0), (8003, float("inf"), 0.0)], "id long, x double, y double")
+    spark.sparkContext.setJobGroup("spaced", "spaced")
+    got = sorted(r.id for r in sampling.spaced(line.unionByName(copies).unionByName(odd), 1.5, "xy", "id").collect())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("spaced")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [*range(0, 400, 2), 1000, 1001, 1002, 8000, 8001, 8002, 8003] and len(jobs) < 150
