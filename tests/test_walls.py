@@ -142,3 +142,22 @@ def test_query_equals_a_loop(spark, sf_dir):
         plain = [x for x, near in own.values() if not near]
         assert (got[b].samples, got[b].wedge_samples, got[b].thin) == (len(plain), len(own) - len(plain), sum(x < 0.5 for x in plain))
         assert got[b].min_thickness == pytest.approx(min(plain))
+
+
+def test_copies_are_one_ray_and_one_shape(spark, monkeypatch):
+    sizes = [[3, 4, 0.4]] * 25 + [[3, 4, 0.7], [5, 4, 0.4]]
+    own = [(f + 6 * n, t) for n, high in enumerate(sizes) for f, t in box([0, 0, 0], high)]
+    sharp = [(f, [[x / 2 + 100, y / 2, z / 2] for x, y, z in t]) for f, t in wedge(20)]
+    own += [(f + 200 + 4 * n, t) for n in range(3) for f, t in sharp]
+    rows = [(1, f, k, *[float(x) for p in t for x in p]) for k, (f, t) in enumerate(own)]
+    mesh = spark.createDataFrame(rows, MESH).repartition(3)
+    counted, real = [], walls.first_hits
+    monkeypatch.setattr(walls, "first_hits", lambda left, shapes: counted.append((left.count(), shapes.count())) or real(left, shapes))
+    got = {(r.id, r.s): r for r in walls.thickness(mesh, 0.5, 60).collect()}
+    want = by_hand(own, 0.5, 60)
+    assert got.keys() == want.keys() and len(want) >= 6 * len(sizes)
+    assert counted == [(counted[0][0], 40)] and counted[0][0] <= 60 + 40
+    for k, (length, near) in want.items():
+        assert got[k].thickness == pytest.approx(length, rel=1e-9)
+        assert near or not got[k].wedge
+    assert 0 < sum(r.wedge for r in got.values()) < len(got)
